@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import decontaminate, minhash, packing, sharding, substring_dedup, warc
 
 QUERIES = {
+    "op1_sampled_splitters": sharding.op1,
+    "op4_suffix_array_decontamination": decontaminate.op4,
+    "op6_bbit_minhash": minhash.op6,
+    "op7_warc_index_first": warc.op7,
+    "op8_minimum_bin_slack": packing.op8,
     "op10_substring_dedup": substring_dedup.op10,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_warc_index_first": warc.OP7_SQL}
