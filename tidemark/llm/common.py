@@ -123,7 +123,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Words:
     """The words of a block: byte bounds, 64-bit codes, and the first word of each document."""
 
-    def __init__(self, raw: list[bytes], kind: np.ndarray = SPACED, lower: bool = False):
+    def __init__(self, raw: list[bytes], kind: np.ndarray = SPACED, lower: bool = False, beginnings: tuple[int, ...] = ()):
         self.data = b"\n" + b"\n".join(raw) + b"\n"
         buf = np.frombuffer(self.data, np.uint8)
         inside = kind[buf]
@@ -132,9 +132,11 @@ class Words:
         offsets = np.zeros(len(raw) + 1, np.int64)
         np.cumsum([len(x) + 1 for x in raw], out=offsets[1:])
         self.first = np.searchsorted(self.starts, offsets + 1)
-        self.codes = self._codes(buf, LOWER_VALUE if lower else BYTE_VALUE)
+        #: For each length asked for: codes of the first bytes of words that are longer, 0 for others.
+        self.beginnings = [np.zeros(len(self.starts), np.uint64) for _ in beginnings]
+        self.codes = self._codes(buf, LOWER_VALUE if lower else BYTE_VALUE, beginnings)
 
-    def _codes(self, buf: np.ndarray, value: np.ndarray) -> np.ndarray:
+    def _codes(self, buf: np.ndarray, value: np.ndarray, beginnings: tuple[int, ...]) -> np.ndarray:
         out = np.empty(len(self.starts), np.uint64)
         bounds = np.searchsorted(self.starts, np.arange(0, len(buf) + SEGMENT, SEGMENT))
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
@@ -146,6 +148,9 @@ class Words:
             np.cumsum(value[buf[lo:hi]] * up[: hi - lo], out=total[1:])
             s = self.starts[a:b] - lo
             out[a:b] = (total[self.ends[a:b] - lo] - total[s]) * down[s]
+            for k, codes in zip(beginnings, self.beginnings, strict=True):
+                long = np.flatnonzero(self.ends[a:b] - self.starts[a:b] > k)
+                codes[a + long] = mix((total[s[long] + k] - total[s[long]]) * down[s[long]] + np.uint64(k))
         return mix(out)
 
     @property
