@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, minhash, packing, sharding, substring_dedup, warc
+from . import decontaminate, kneser_ney, media, minhash, packing, sharding, substring_dedup, toxicity, warc
 
 QUERIES = {
     "op1_sampled_splitters": sharding.op1,
+    "op2_lossless_webp": media.op2,
+    "op3_nnpu_toxicity": toxicity.op3,
     "op4_suffix_array_decontamination": decontaminate.op4,
+    "op5_kneser_ney_quality": kneser_ney.op5,
     "op6_bbit_minhash": minhash.op6,
     "op7_warc_index_first": warc.op7,
     "op8_minimum_bin_slack": packing.op8,
