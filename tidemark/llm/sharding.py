@@ -144,13 +144,14 @@ def _edges(keys: DataFrame, splitters, starts, size: int, rows: int, shards: int
     out = []
     for w in wanted:
         best = here.agg(
-            F.min(F.when(F.col("at") >= w, F.struct("at", "n"))).alias("exact"),
+            F.min(F.struct(F.abs(F.col("at") - w).alias("d"), "at", "n")).alias("near"),
             F.min(F.when(F.col("__new") & (F.abs(F.col("at") - w) <= size * EDGE / shards), F.struct(F.abs(F.col("at") - w).alias("d"), "at", "n"))).alias("whole"),
         ).first()
         if best["whole"]:
             out.append((best["whole"]["at"], best["whole"]["n"]))
-        else:  # the first record from there on, which may be the first of a later range
-            out.append(min([x for x in starts.values() if x[0] >= w] + [tuple(best["exact"] or (size + 1, rows))]))
+        else:  # the record that begins nearest, which may be the first of a later range
+            ends = [*starts.values(), (size + 1, rows), *([(best["near"]["at"], best["near"]["n"])] if best["near"] else [])]
+            out.append(min(ends, key=lambda x: (abs(x[0] - w), x)))
     return sorted(out)
 
 
