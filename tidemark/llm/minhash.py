@@ -1,20 +1,20 @@
 """Near duplicates by b-bit MinHash: bands propose, packed low bits estimate, full sets decide.
 
 1.  One pass gives every document the number of its distinct word shingles, a 128-bit key of the
-    whole set, PERMS minima, their band keys, and the low BITS bits of each minimum packed into
-    longs.  The minima themselves are not kept.
+    whole set, BANDS band keys (each of ROWS minima), and a signature: the smallest shingle code
+    in each of BINS bins of the code space (bins without one copy another bin's), of which the
+    low BITS bits are kept and packed.  The minima themselves are not kept.
 2.  Documents with equal sets become one class; from here on only classes travel.
 3.  In each band bucket every member is paired with the bucket's smallest member (an aggregate,
     combined before the shuffle, joined back; no bucket is gathered and no bucket emits all its
     pairs).  Bit counts of the packed signatures give the similarity, corrected for the 2**-BITS
-    of low bits that agree by chance; pairs far below the threshold go (MARGIN: five standard
-    deviations of the estimate).
-4.  For each member one hub is confirmed on full shingle sets and components are formed; then the
-    other hub pairs that still join two components.
+    of low bits that agree by chance; pairs SIGMAS standard deviations below the threshold go.
+4.  For each member one hub is confirmed on full shingle sets, and components are formed.
 5.  Where a bucket still holds members of several components, its members outside the bucket's
-    commonest component are paired with all members of other components, so that every pair of
-    classes that shares a bucket ends in one component or is compared.  The estimate thins
-    them, full sets confirm them.
+    commonest component meet all members of other components (in lanes of LANE members, so that
+    a large bucket is spread over many tasks), so every pair of classes that shares a bucket ends in
+    one component or is compared.  A pair is put out in the first bucket that it shares, if the
+    estimate does not rule it out; full sets confirm it.
 
 With 32 bands of 4 rows a pair at similarity 0.75 shares no bucket with a chance of 5e-6.
 
@@ -38,10 +38,13 @@ from .graph import components
 SHINGLE = 5
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 75
-BANDS, ROWS, BITS = 32, 4, 2
+BANDS, ROWS = 32, 4
 PERMS = BANDS * ROWS
-#: Slack of the estimate: 5 standard deviations, sqrt(p * (1 - p) / 128) / (1 - 2**-BITS) at p = 0.81.
-MARGIN = 0.23
+BINS, BITS = 512, 4
+#: Standard deviations of the estimate by which a pair may miss the threshold and still be confirmed.
+SIGMAS = 4.0
+#: Members of one side that a task holds while those of the other pass by.
+LANE = 256
 #: Up to so many ids (8 bytes each) are broadcast to pick texts by id; beyond it ids are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Members that one task compares with a hub before the hub's members are spread over more.
@@ -51,7 +54,7 @@ _random = np.random.default_rng(977)
 FACTORS = _random.integers(0, 1 << 63, PERMS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ADDENDS = _random.integers(0, 1 << 63, PERMS, dtype=np.uint64)
 SIGNED = T.StructType(
-    [T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sig", T.ArrayType(T.LongType()))]
+    [T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())]
 )
 
 
@@ -75,7 +78,7 @@ def shingles(raw: list[bytes], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray
 
 def sign(k: int = SHINGLE):
     def run(batches):
-        schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.list_(pa.int64()))])
+        schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
         for part, raw in c.blocks(batches, limit=c.BLOCK_BYTES // 2):
             code, bounds = shingles(raw, k)
             n = np.diff(bounds)
@@ -91,12 +94,6 @@ def sign(k: int = SHINGLE):
             keys = np.zeros((BANDS, len(raw)), np.uint64)
             for i in range(PERMS):
                 keys[i // ROWS] = c.mix(keys[i // ROWS] * c.STEP + low[i] + np.uint64(i + 1))
-            bits = c.mix(low) & np.uint64((1 << BITS) - 1)
-            per = 64 // BITS
-            sig = np.zeros((PERMS // per, len(raw)), np.uint64)
-            for i in range(PERMS):
-                sig[i // per] |= bits[i] << np.uint64(BITS * (i % per))
-
             def lists(x):
                 width = len(x)
                 sizes = np.where(has, width, 0)
@@ -104,33 +101,119 @@ def sign(k: int = SHINGLE):
                 return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values))
 
             ids = part.column(part.schema.get_field_index("doc_id")).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n.astype(np.int64)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), lists(keys), lists(sig)], schema=schema)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n.astype(np.int64)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), lists(keys), pa.array([x.tobytes() if h else None for x, h in zip(_signatures(code, bounds), has, strict=True)], pa.binary())], schema=schema)
 
     return run
 
 
-def estimate(x: str, y: str):
-    """Similarity from two packed signatures: agreeing low bits, less those that agree by chance."""
-    odd = int("01" * 32, 2)
-    differ = []
-    for i in range(PERMS * BITS // 64):
-        d = F.col(x)[i].bitwiseXOR(F.col(y)[i])
-        differ.append(F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseAND(F.lit(odd))))
-    same = 1 - sum(differ[1:], differ[0]) / F.lit(float(PERMS))
-    chance = 2.0**-BITS
-    return (same - chance) / (1 - chance)
+def _signatures(code: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """For each text of a block the low bits of its bins' minima, two bins to a byte."""
+    n = len(bounds) - 1
+    doc = np.repeat(np.arange(n), np.diff(bounds))
+    place = doc * BINS + (code >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
+    first = np.ones(len(code), bool)  # codes of a text are in order, so a bin's first is its smallest
+    first[1:] = place[1:] != place[:-1]
+    value = np.full(n * BINS, -1, np.int16)
+    value[place[first]] = (c.mix(code[first]) & np.uint64((1 << BITS) - 1)).astype(np.int16)
+    value = value.reshape(n, BINS)
+    bins = np.arange(BINS, dtype=np.uint64)
+    full = np.diff(bounds) > 0
+    source = value.copy()
+    for attempt in range(1, 1 << 20):  # empty bins copy the bin that a hash of bin and attempt names
+        rows, cols = np.nonzero((value < 0) & full[:, None])
+        if not len(rows):
+            break
+        other = (c.mix(bins * np.uint64(1 << 20) + np.uint64(attempt)) % np.uint64(BINS)).astype(np.int64)
+        value[rows, cols] = source[rows, other[cols]]
+    value = np.where(value < 0, 0, value).astype(np.uint8)
+    return value[:, 0::2] | (value[:, 1::2] << 4)
+
+
+_MASK = np.uint64(int("0001" * 16, 2))
+
+
+def _agree(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bins whose low bits agree, from packed signatures as (..., 32) 64-bit words."""
+    d = x ^ y
+    d |= d >> np.uint64(1)
+    d |= d >> np.uint64(2)
+    return BINS - np.bitwise_count(d & _MASK).sum(-1, dtype=np.int64)
+
+
+def _likely(agree: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Similarity, corrected for low bits that agree by chance, and whether it may reach the threshold."""
+    chance, j = 2.0**-BITS, PERCENT / 100
+    est = (agree / BINS - chance) / (1 - chance)
+    union = (nx + ny) / (1 + j)
+    seen = BINS * -np.expm1(-union / BINS)  # bins that are their own, of which the others are copies
+    spread = np.sqrt((j * (1 - j) * np.maximum(1 - seen / union, 0.02) + (1 - j) * chance) / seen)
+    return est, est >= j - SIGMAS * spread
+
+
+def _words64(column: pa.Array, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, width)
+
+
+def _weigh(batches):
+    """(a, b, sa, sb, na, nb) to (a, b, est) where the estimate does not rule the pair out."""
+    for part in batches:
+        if part.num_rows:
+            na, nb = (part.column(i).to_numpy().astype(np.float64) for i in (4, 5))
+            est, ok = _likely(_agree(_words64(part.column(2), BINS * BITS // 64), _words64(part.column(3), BINS * BITS // 64)), na, nb)
+            keep = pa.array(ok)
+            yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep), pa.array(est[ok])], names=["a", "b", "est"])
+
+
+def _meet(batches):
+    """Lanes of mixed buckets, minor members first: pairs of different components, in the first bucket they share."""
+    width = BINS * BITS // 64
+    key, held = None, []
+
+    def pairs(hold, rows):
+        ids, comp, n, sig, bands = (np.concatenate([x[i] for x in hold]) for i in range(5))
+        oid, ocomp, on, osig, obands, omain = rows
+        for s in range(0, len(oid), 1024):
+            e = slice(s, s + 1024)
+            ok = (comp[:, None] != ocomp[None, e]) & (omain[None, e] | (ids[:, None] < oid[None, e]))
+            i, j = np.nonzero(ok)
+            for t in range(0, len(i), 1 << 16):
+                x, y = i[t : t + (1 << 16)], j[t : t + (1 << 16)] + s
+                _, fine = _likely(_agree(sig[x], osig[y]), n[x], on[y])
+                x, y = x[fine], y[fine]
+                first = (bands[x] == obands[y]).argmax(1) == key[2]
+                yield ids[x[first]], oid[y[first]]
+
+    for part in batches:
+        col = {n: part.column(i) for i, n in enumerate(part.schema.names)}
+        band, lane, kind, at = (col[n].to_numpy(zero_copy_only=False) for n in ("band", "lane", "kind", "at"))
+        change = np.flatnonzero((np.diff(band) != 0) | (np.diff(lane) != 0) | (np.diff(kind) != 0)) + 1
+        for s, e in zip([0, *change], [*change, len(band)], strict=True):
+            if s == e:
+                continue
+            here = (int(band[s]), int(lane[s]), int(at[s]))
+            if here != key:
+                key, held = here, []
+            own = part.slice(s, e - s)
+            own = {n: own.column(i) for i, n in enumerate(own.schema.names)}
+            ids, comp = own["doc_id"].to_numpy(), own["component"].to_numpy()
+            n, sig = own["n_shingles"].to_numpy().astype(np.float64), _words64(own["sig"], width)
+            bands = own["bands"].flatten().to_numpy().reshape(-1, BANDS)
+            if kind[s] == 0:
+                held.append((ids, comp, n, sig, bands))
+            elif held:
+                for a, b in pairs(held, (ids, comp, n, sig, bands, own["is_main"].to_numpy(zero_copy_only=False))):
+                    if len(a):
+                        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def _confirm(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     """Those of the pairs (a, b) whose full shingle sets are similar enough.  b: the side with many partners."""
     spark = docs.sparkSession
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    ids = c.save(ids)
-    bounded = ids.count() <= BROADCAST_IDS
+    bounded = pairs.count() <= BROADCAST_IDS // 2
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids) if bounded else ids.hint("shuffle_hash"), "doc_id", "left_semi")
     rows = c.save(rows)
     spread = pairs.groupBy("b").agg(F.ceil(F.count("*") / HUB_MEMBERS).alias("lanes"))
-    spread = c.save(spread)
     member = pairs.join(spread, "b").select("a", "b", F.pmod(F.xxhash64("a"), "lanes").cast("int").alias("lane"))
     member = member.join(rows, member.a == rows.doc_id).select("b", "lane", F.lit(1).alias("kind"), "a", "text")
     hub = spread.join(rows, spread.b == rows.doc_id).select("b", F.explode(F.sequence(F.lit(0), (F.col("lanes") - 1).cast("int"))).alias("lane"), F.lit(0).alias("kind"), F.col("b").alias("a"), "text")
@@ -160,66 +243,48 @@ def _confirm(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     return c.save(both.mapInArrow(run, "a long, b long").distinct())
 
 
-def _across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different components (an id without links is its own)."""
-    x = pairs.join(comp.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left")
-    x = x.join(comp.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
-    return x.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
-
-
 def near_duplicates(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of docs; see the module for the method and defined cases."""
     signed = c.save(docs.select("doc_id", "text").mapInArrow(sign(k), SIGNED))
-    floor = PERCENT / 100 - MARGIN
 
     # Classes of equal sets.
     some = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = some.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    classes = some.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     classes = c.save(classes)
-    sigs = classes.select("doc_id", "sig")
 
     # Rows with one doc_id but different texts are one document: link their classes.
     twice = some.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     again = some.join(twice, "doc_id", "left_semi").join(classes.select("k1", "k2", F.col("doc_id").alias("rep")), ["k1", "k2"])
     again = again.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
 
-    keys = classes.select("doc_id", F.explode("bands").alias("band"))
+    keys = classes.select("doc_id", F.posexplode("bands").alias("at", "band"))
     buckets = keys.groupBy("band").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("top")).where("hub < top").select("band", "hub")
     members = c.save(keys.join(buckets, "band"))
     c.release(docs.sparkSession)
     pairs = members.where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
-
-    def scored(p: DataFrame) -> DataFrame:
-        p = p.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")), "a")
-        p = p.join(sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb")), "b")
-        return p.select("a", "b", estimate("sa", "sb").alias("est")).where(F.col("est") >= floor)
-
-    hubs = c.save(scored(pairs))
+    pairs = pairs.join(classes.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa"), F.col("n_shingles").alias("na")), "a")
+    pairs = pairs.join(classes.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb"), F.col("n_shingles").alias("nb")), "b")
+    hubs = pairs.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(_weigh, "a long, b long, est double")
     # First the smallest hub that is very likely a link, else the likeliest.
     rank = F.when(F.col("est") >= PERCENT / 100 + 0.05, F.struct(F.lit(1).alias("sure"), (-F.col("b")).alias("by"))).otherwise(F.struct(F.lit(0).alias("sure"), (F.col("est") * 1_000_000).cast("long").alias("by")))
-    best = hubs.groupBy("a").agg(F.max_by("b", rank).alias("b"))
-    links = _confirm(docs, best.select("a", "b"), k).unionAll(again)
-    comp = c.save(components(links))
-    rest = c.save(_across(hubs.select("a", "b").join(best, ["a", "b"], "left_anti"), comp))
-    if not rest.isEmpty():
-        links = links.unionAll(_confirm(docs, rest, k))
-        comp = c.save(components(links))
+    best = c.save(hubs.groupBy("a").agg(F.max_by("b", rank).alias("b")))
+    links = _confirm(docs, best, k).unionAll(again)
+    comp = components(links)
 
     # Buckets of several components: those outside the commonest, against all the others.
-    placed = members.join(comp.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    placed = c.save(placed)
+    placed = c.save(members.select("band", "at", "doc_id").join(comp.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
     sizes = placed.groupBy("band", "component").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("band", "main")
-    minor = placed.join(mixed, "band").where("component <> main").select("band", F.col("doc_id").alias("a"), F.col("component").alias("ca"))
-    minor = minor.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")), "a")
-    others = placed.join(mixed, "band").select("band", F.col("doc_id").alias("b"), F.col("component").alias("cb"), "main")
-    others = others.join(sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb")), "b")
-    met = minor.join(others, "band").where((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))) & (estimate("sa", "sb") >= floor))
-    met = met.select("a", "b").distinct().join(hubs.select("a", "b"), ["a", "b"], "left_anti")
-    met = c.save(met)
+    mixed = sizes.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most")).where("all > most").withColumn("lanes", F.ceil((F.col("all") - F.col("most")) / LANE).cast("int")).drop("all", "most")
+    there = placed.join(mixed, "band").join(classes.select("doc_id", "n_shingles", "sig", "bands"), "doc_id")
+    there = there.withColumn("is_main", F.col("component") == F.col("main"))
+    rest = ["doc_id", "component", "n_shingles", "sig", "bands", "is_main"]
+    minor = there.where("not is_main").select("band", F.pmod(F.xxhash64("doc_id"), "lanes").cast("int").alias("lane"), "at", F.lit(0).alias("kind"), *rest)
+    others = there.select("band", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"), "at", F.lit(1).alias("kind"), *rest)
+    lanes = minor.unionAll(others).repartition(c.partitions(docs.sparkSession, 0, 1), "band", "lane").sortWithinPartitions("band", "lane", "kind")
+    met = c.save(lanes.mapInArrow(_meet, "a long, b long").join(best, ["a", "b"], "left_anti"))
     if not met.isEmpty():
         links = links.unionAll(_confirm(docs, met, k))
-        comp = c.save(components(links))
+        comp = components(links)
 
     own = signed.join(classes.select("k1", "k2", F.col("doc_id").alias("rep")), ["k1", "k2"], "left")
     own = own.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left")
