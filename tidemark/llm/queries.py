@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, kneser_ney, media, minhash, packing, sharding, substring_dedup, toxicity, warc
+from . import decontaminate, kneser_ney, licenses, media, minhash, packing, sharding, substring_dedup, toxicity, warc
 
 QUERIES = {
     "op1_sampled_splitters": sharding.op1,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_bbit_minhash": minhash.op6,
     "op7_warc_index_first": warc.op7,
     "op8_minimum_bin_slack": packing.op8,
+    "op9_license_scan": licenses.op9,
     "op10_substring_dedup": substring_dedup.op10,
 }
 
