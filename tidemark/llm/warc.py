@@ -1,32 +1,33 @@
-"""WARC archives: the index comes first, then the archives, then coalesced byte-range reads.
-
-1.  Records are dealt to archives by a hash of the page.  Their headers and payloads have a known
-    length before anything is written, so a running sum over each archive's records (ordered by
-    page) gives every record its offset.  This index (archive, offset, length, URL, digest, page,
-    kind) is written first.
-2.  The archives are written by Spark's own text writer, a record per row and CR LF between rows,
-    which is how WARC ends a record; rows come in the order of the index, so its offsets hold.
-    Lost tasks are written again under Spark's commit protocol.
-3.  Reading takes index rows (all, or a selection), orders them by archive and offset, joins
-    ranges whose gap is at most GAP bytes into reads of at most READ bytes, and cuts the records
-    out.  Reads go through the file system that the archive's URI names.
+"""WARC archives: an index of every record, and coalesced byte-range reads of the records it selects.
+
+1.  A task writes its records to archives of its own, each record a gzip member as usual, and
+    gives out an index row per record: archive, offset, length, URL, digest, page and kind.
+    The index is written before anything is read.  An archive's name is new for each attempt of
+    a task, and only the index rows of the attempt that ended well are kept, so a lost
+    task leaves at most a file that nothing points to.
+2.  Reading takes index rows (all, or a selection), orders them by archive and offset, joins
+    ranges whose gap is at most GAP bytes into reads of at most READ bytes (one longer record is a read of
+    its own), cuts the records out and unpacks them.  Files are reached through the file
+    system that their URI names.
 
 Equal payloads of at least REVISIT bytes are stored once: the record of the largest page_id is
 the response, the others are revisit records with the digest and no payload.
 
 Defined cases: null html is an empty payload; rows without page_id are responses with an empty
 record id part and are not revisited; rows that repeat the largest page_id of a payload are
-responses all; CR LF in an URL becomes a space, a null URL is left out; an empty table gives
-empty archives and no rows.  Columns other than page_id, url and html are not read.
+responses all; line ends in an URL become a space, a null URL is left out; an empty table gives
+an empty index and no rows.  Columns other than page_id, url and html are not read.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+import uuid
 from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as c
@@ -34,6 +35,8 @@ from . import common as c
 REVISIT = 1000
 ARCHIVE_BYTES = 32 << 20
 GAP, READ = 64 << 10, 8 << 20
+#: Digests shared by several pages (48 bytes each) that may be broadcast; more are joined by a shuffle.
+BROADCAST_DIGESTS = 500_000
 END = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
 
@@ -43,7 +46,8 @@ def records(pages: DataFrame) -> DataFrame:
     html = F.coalesce("html", F.lit(""))
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.regexp_replace("url", "[\r\n]+", " ").alias("url"), html.alias("html"), F.sha1(F.encode(html, "UTF-8")).alias("digest"), F.octet_length(html).cast("long").alias("bytes"))
     shared = own.where((F.col("bytes") >= REVISIT) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    own = own.join(shared, "digest", "left")
+    shared = c.save(shared)
+    own = own.join(F.broadcast(shared) if shared.count() <= BROADCAST_DIGESTS else shared, "digest", "left")
     again = F.col("page_id") < F.col("first")
     return own.select("page_id", "url", "digest", "bytes", F.when(again, "revisit").otherwise("response").alias("kind"), F.when(again, F.col("first")).alias("refers_to"), F.when(again, "").otherwise(F.col("html")).alias("body"))
 
@@ -57,7 +61,7 @@ def _line(name: str, value) -> F.Column:
 
 
 def with_record(rows: DataFrame) -> DataFrame:
-    """Adds the record: WARC header, empty line, body and the first CR LF of the two that end it (the writer adds the other)."""
+    """Adds the record: WARC header, empty line, body and the two CR LF that end it."""
     head = F.concat(
         F.lit(f"WARC/1.1{END}"),
         _line("WARC-Type", F.col("kind")),
@@ -71,32 +75,55 @@ def with_record(rows: DataFrame) -> DataFrame:
         _line("Content-Length", F.octet_length("body").cast("string")),
         F.lit(END),
     )
-    return rows.withColumn("record", F.concat(head, "body", F.lit(END)))
-
-
-def write(pages: DataFrame, folder: str) -> tuple[DataFrame, str]:
-    """Write index and archives below folder; the index as read back, and the archives' folder."""
-    spark = pages.sparkSession
-    size = pages.agg(F.coalesce(F.sum(F.octet_length("html")), F.lit(0)).alias("b")).first()["b"]
-    archives = c.partitions(spark, size, ARCHIVE_BYTES)
-    rows = with_record(records(pages)).withColumn("archive", F.pmod(F.xxhash64("page_id", "url", "digest"), F.lit(archives)).cast("int"))
-    rows = rows.withColumn("length", (F.octet_length("record") + len(END)).cast("long"))
-    order = ["page_id", "digest", "url", "kind"]
-    before = Window.partitionBy("archive").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    index = rows.select("archive", "page_id", "url", "digest", "kind", "length").withColumn("offset", F.sum("length").over(before) - F.col("length"))
-    index.write.option("compression", "zstd").parquet(f"{folder}/index")
-    body = rows.select("archive", *order, "record").repartition(archives, "archive").sortWithinPartitions("archive", *order)
-    body.select("archive", F.col("record").alias("value")).write.option("lineSep", END).partitionBy("archive").text(f"{folder}/archives")
-    return spark.read.schema(index.schema).parquet(f"{folder}/index"), f"{folder}/archives"
+    return rows.withColumn("record", F.concat(head, "body", F.lit(END + END)))
+
 
+INDEX = "archive string, offset long, length long, page_id long, url string, digest string, kind string"
 
-def _open(uri: str):
+
+def _system(uri: str):
+    """The file system that a URI names, and the path there."""
     from pyarrow import fs
 
     if urlparse(uri).scheme in ("", "file"):
-        return fs.LocalFileSystem().open_input_file(unquote(urlparse(uri).path))
-    system, path = fs.FileSystem.from_uri(uri)
-    return system.open_input_file(path)
+        return fs.LocalFileSystem(), unquote(urlparse(uri).path)
+    return fs.FileSystem.from_uri(uri)
+
+
+def _writer(folder: str):
+    def run(batches):
+        system, path = _system(folder)
+        system.create_dir(path, recursive=True)
+        out = name = None
+        offset = 0
+        for batch in batches:
+            rows: dict[str, list] = {n: [] for n in ("archive", "offset", "length")}
+            for record in batch.column(batch.schema.get_field_index("record")).to_pylist():
+                if out is None:
+                    name, offset = f"{uuid.uuid4().hex}.warc.gz", 0
+                    out = system.open_output_stream(f"{path}/{name}", compression=None)
+                raw = gzip.compress(record.encode(), 6, mtime=0)
+                out.write(raw)
+                for n, x in zip(rows, (f"{folder}/{name}", offset, len(raw)), strict=True):
+                    rows[n].append(x)
+                offset += len(raw)
+                if offset >= ARCHIVE_BYTES:
+                    out.close()
+                    out = None
+            rest = {n: batch.column(batch.schema.get_field_index(n)) for n in ("page_id", "url", "digest", "kind")}
+            yield pa.RecordBatch.from_pydict({"archive": pa.array(rows["archive"], pa.string()), "offset": pa.array(rows["offset"], pa.int64()), "length": pa.array(rows["length"], pa.int64())} | rest)
+        if out is not None:
+            out.close()
+
+    return run
+
+
+def write(pages: DataFrame, folder: str) -> DataFrame:
+    """Write archives below folder, and the index beside them; gives the index as read back."""
+    rows = with_record(records(pages)).select("page_id", "url", "digest", "kind", "record")
+    index = rows.mapInArrow(_writer(f"{folder}/archives"), INDEX)
+    index.write.option("compression", "zstd").parquet(f"{folder}/index")
+    return pages.sparkSession.read.schema(INDEX).parquet(f"{folder}/index")
 
 
 def coalesced(ranges: list[tuple[int, int]], gap: int = GAP, read: int = READ) -> list[tuple[int, int]]:
@@ -123,23 +150,18 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[: int(fields["content-length"])]
 
 
-def read(index: DataFrame, folder: str) -> DataFrame:
+def read(index: DataFrame) -> DataFrame:
     """The records that index rows select: (page_id, url, kind, digest, refers_to, bytes, body_sha1, body)."""
-    spark = index.sparkSession
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.col("path").alias("file"), F.regexp_extract("path", r"archive=(\d+)/", 1).cast("int").alias("archive"))
-    # A file per archive: the list of files is small beside the records.
-    picked = index.select("archive", "offset", "length").join(files, "archive")
-    picked = picked.repartition(c.partitions(spark, 0, 1), "archive").sortWithinPartitions("archive", "offset")
+    picked = index.select("archive", "offset", "length").repartition(c.partitions(index.sparkSession, 0, 1), "archive").sortWithinPartitions("archive", "offset")
 
     def run(batches):
-        rows: list[tuple] = []
         for batch in batches:
-            rows += zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("file", "offset", "length")), strict=True)
-            while rows:
-                file = rows[0][0]
-                here = [r for r in rows if r[0] == file]
-                rows = rows[len(here) :]
-                yield from _fetch(file, [r[1:] for r in here])
+            names, *ranges = (batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("archive", "offset", "length"))
+            start = 0
+            for i in range(1, len(names) + 1):
+                if i == len(names) or names[i] != names[start]:
+                    yield from _fetch(names[start], list(zip(*(x[start:i] for x in ranges), strict=True)))
+                    start = i
 
     return picked.mapInArrow(run, "page_id long, url string, kind string, digest string, refers_to long, bytes long, body_sha1 string, body binary")
 
@@ -149,14 +171,15 @@ def _fetch(file: str, ranges: list[tuple[int, int]]):
     kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
     number = lambda x: int(x[10:-1]) if x and x[10:-1] else None  # noqa: E731  <urn:page:N>
     at = 0
-    with _open(file) as f:
+    system, path = _system(file)
+    with system.open_input_file(path) as f:
         for start, stop in coalesced(ranges):
             f.seek(start)
             raw = f.read(stop - start)
             out = []
             while at < len(ranges) and ranges[at][0] + ranges[at][1] <= stop and ranges[at][0] >= start:
                 offset, length = ranges[at]
-                fields, body = parse(raw[offset - start : offset - start + length])
+                fields, body = parse(gzip.decompress(raw[offset - start : offset - start + length]))
                 digest = fields["warc-payload-digest"].removeprefix("sha1:")
                 sha1 = hashlib.sha1(body).hexdigest()
                 if fields["warc-type"] == "response" and sha1 != digest:
@@ -168,8 +191,7 @@ def _fetch(file: str, ranges: list[tuple[int, int]]):
 
 def op7(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
-    index, archives = write(pages, c.scratch_dir(spark))
-    back = read(index, archives)
+    back = read(write(pages, c.scratch_dir(spark)))
     return back.select("page_id", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to")
 
 
