@@ -2,13 +2,13 @@
 
 1.  One pass gives every document the number of its distinct word shingles, a 128-bit key of the
     whole set, BANDS band keys (each of ROWS minima), and a signature: the smallest shingle code
-    in each of BINS bins of the code space (bins without one copy another bin's), of which the
-    low BITS bits are kept and packed.  The minima themselves are not kept.
+    in each of BINS bins of the code space, of which BITS low bits are kept and packed (1 to 15;
+    0: an empty bin).  The minima themselves are not kept.
 2.  Documents with equal sets become one class; from here on only classes travel.
 3.  In each band bucket every member is paired with the bucket's smallest member (an aggregate,
     combined before the shuffle, joined back; no bucket is gathered and no bucket emits all its
-    pairs).  Bit counts of the packed signatures give the similarity, corrected for the 2**-BITS
-    of low bits that agree by chance; pairs SIGMAS standard deviations below the threshold go.
+    pairs).  Bit counts of the packed signatures give the similarity, corrected for the one in
+    15 of low bits that agree by chance; pairs SIGMAS standard deviations below the threshold go.
 4.  For each member one hub is confirmed on full shingle sets, and components are formed.
 5.  Where a bucket still holds members of several components, its members outside the bucket's
     commonest component meet all members of other components (in lanes of LANE members, so that
@@ -113,40 +113,37 @@ def _signatures(code: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     place = doc * BINS + (code >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
     first = np.ones(len(code), bool)  # codes of a text are in order, so a bin's first is its smallest
     first[1:] = place[1:] != place[:-1]
-    value = np.full(n * BINS, -1, np.int16)
-    value[place[first]] = (c.mix(code[first]) & np.uint64((1 << BITS) - 1)).astype(np.int16)
+    value = np.zeros(n * BINS, np.uint8)
+    value[place[first]] = c.mix(code[first]) % np.uint64((1 << BITS) - 1) + np.uint64(1)
     value = value.reshape(n, BINS)
-    bins = np.arange(BINS, dtype=np.uint64)
-    full = np.diff(bounds) > 0
-    source = value.copy()
-    for attempt in range(1, 1 << 20):  # empty bins copy the bin that a hash of bin and attempt names
-        rows, cols = np.nonzero((value < 0) & full[:, None])
-        if not len(rows):
-            break
-        other = (c.mix(bins * np.uint64(1 << 20) + np.uint64(attempt)) % np.uint64(BINS)).astype(np.int64)
-        value[rows, cols] = source[rows, other[cols]]
-    value = np.where(value < 0, 0, value).astype(np.uint8)
     return value[:, 0::2] | (value[:, 1::2] << 4)
 
 
 _MASK = np.uint64(int("0001" * 16, 2))
 
 
-def _agree(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Bins whose low bits agree, from packed signatures as (..., 32) 64-bit words."""
-    d = x ^ y
-    d |= d >> np.uint64(1)
-    d |= d >> np.uint64(2)
-    return BINS - np.bitwise_count(d & _MASK).sum(-1, dtype=np.int64)
-
-
-def _likely(agree: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Similarity, corrected for low bits that agree by chance, and whether it may reach the threshold."""
-    chance, j = 2.0**-BITS, PERCENT / 100
-    est = (agree / BINS - chance) / (1 - chance)
-    union = (nx + ny) / (1 + j)
-    seen = BINS * -np.expm1(-union / BINS)  # bins that are their own, of which the others are copies
-    spread = np.sqrt((j * (1 - j) * np.maximum(1 - seen / union, 0.02) + (1 - j) * chance) / seen)
+def _marks(x: np.ndarray) -> np.ndarray:
+    """One bit for each group of BITS that is not zero."""
+    x = x | (x >> np.uint64(1))
+    return (x | (x >> np.uint64(2))) & _MASK
+
+
+def _likely(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Similarity from packed signatures (rows of 64-bit words), and whether it may reach the threshold.
+
+    Of the bins that either fills, those filled by both with equal bits agree; of different minima one in 15 agrees
+    by chance.  The deviation is that of a sample of the union without replacement, and of the chance agreements.
+    """
+    count = lambda m: np.bitwise_count(m).sum(-1, dtype=np.int64)
+    mx, my = _marks(x), _marks(y)
+    both = mx & my
+    differ = count(_marks(x ^ y) & both)
+    seen = np.maximum(count(mx | my), 1)
+    others = (1 << BITS) - 2
+    est = (count(both) - differ - differ / others) / seen
+    j = PERCENT / 100
+    sampled = np.minimum(seen * (1 + j) / (nx + ny), 1)
+    spread = np.sqrt((j * (1 - j) * np.maximum(1 - sampled, 0.02) + (1 - j) / (others + 1)) / seen)
     return est, est >= j - SIGMAS * spread
 
 
@@ -159,7 +156,7 @@ def _weigh(batches):
     for part in batches:
         if part.num_rows:
             na, nb = (part.column(i).to_numpy().astype(np.float64) for i in (4, 5))
-            est, ok = _likely(_agree(_words64(part.column(2), BINS * BITS // 64), _words64(part.column(3), BINS * BITS // 64)), na, nb)
+            est, ok = _likely(_words64(part.column(2), BINS * BITS // 64), _words64(part.column(3), BINS * BITS // 64), na, nb)
             keep = pa.array(ok)
             yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep), pa.array(est[ok])], names=["a", "b", "est"])
 
@@ -178,7 +175,7 @@ def _meet(batches):
             i, j = np.nonzero(ok)
             for t in range(0, len(i), 1 << 16):
                 x, y = i[t : t + (1 << 16)], j[t : t + (1 << 16)] + s
-                _, fine = _likely(_agree(sig[x], osig[y]), n[x], on[y])
+                _, fine = _likely(sig[x], osig[y], n[x], on[y])
                 x, y = x[fine], y[fine]
                 first = (bands[x] == obands[y]).argmax(1) == key[2]
                 yield ids[x[first]], oid[y[first]]
@@ -209,7 +206,7 @@ def _meet(batches):
 def _confirm(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     """Those of the pairs (a, b) whose full shingle sets are similar enough.  b: the side with many partners."""
     spark = docs.sparkSession
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct()
     bounded = pairs.count() <= BROADCAST_IDS // 2
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids) if bounded else ids.hint("shuffle_hash"), "doc_id", "left_semi")
     rows = c.save(rows)
