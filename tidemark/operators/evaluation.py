@@ -45,8 +45,8 @@ def spearman(rows: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
         return per.select(*group, c, (below + (F.col("k") + 1) / 2).alias(f"rank_{c}"))
 
     both = known.join(ranks(x), [*group, x]).join(ranks(y), [*group, y])
-    out = both.groupBy(*group).agg(F.count("*").alias("n"), F.corr(f"rank_{x}", f"rank_{y}").alias("rho"), F.var_pop(f"rank_{x}").alias("vx"), F.var_pop(f"rank_{y}").alias("vy"))
-    return out.select(*group, "n", F.when((F.col("n") >= 3) & (F.col("vx") > 0) & (F.col("vy") > 0), F.col("rho")).alias("rho"))
+    out = both.groupBy(*group).agg(F.count("*").alias("n"), F.covar_pop(f"rank_{x}", f"rank_{y}").alias("cov"), F.stddev_pop(f"rank_{x}").alias("sx"), F.stddev_pop(f"rank_{y}").alias("sy"))
+    return out.select(*group, "n", F.when(F.col("n") >= 3, F.try_divide("cov", F.col("sx") * F.col("sy"))).alias("rho"))
 
 
 def quartile_bands(rows: DataFrame, group: list[str], value: str, key: str) -> DataFrame:

@@ -40,8 +40,9 @@ def append_days(bars: DataFrame, path: str) -> DataFrame:
         known = rows.select(*day).limit(0)
     seen = known.withColumn("seen", F.lit(True))
     marked = rows.join(F.broadcast(seen) if known.count() < 100_000 else seen, day, "left")
-    report = marked.groupBy(*day).agg(F.first("seen").isNull().alias("is_new")).cache()
-    report.count()
+    # A row per day of the batch; taken now, since after the write every day would count as seen.
+    told = marked.groupBy(*day).agg(F.first("seen").isNull().alias("is_new"))
+    report = spark.createDataFrame(told.collect(), told.schema)
     new = marked.where("seen is null").drop("seen")
     new.repartition(*PARTITIONS).sortWithinPartitions(*PARTITIONS, "native_symbol").write.mode("append").option("compression", "zstd").partitionBy(*PARTITIONS).parquet(path)
     return report
