@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from . import common as c
 
-POSITIVES, UNLABELLED, FEATURES = 4000, 12000, 8192
+POSITIVES, UNLABELLED, FEATURES = 3000, 8000, 8192
 #: A word must be in so many learned texts.
 LEAST_TEXTS = 4
 #: Beginnings of words, in bytes.
