@@ -61,8 +61,13 @@ def code_lengths(counts: dict[int, int], most: int = 15) -> dict[int, int]:
         floor = max(2 * floor, sum(counts.values()) >> (most - 1), 1)
 
 
+_REVERSED = [0] * 32768
+for _i in range(1, 32768):
+    _REVERSED[_i] = _REVERSED[_i >> 1] >> 1 | (_i & 1) << 14
+
+
 def _reverse(code: int, n: int) -> int:
-    return int(f"{code:0{n}b}"[::-1], 2) if n else 0
+    return _REVERSED[code] >> (15 - n)
 
 
 def canonical(lengths: dict[int, int]) -> dict[int, tuple[int, int]]:
@@ -527,15 +532,16 @@ def _put_code(out: Writer, lengths: dict[int, int], size: int) -> None:
 
 
 def _arrays(lengths: dict[int, int], size: int) -> tuple[np.ndarray, np.ndarray]:
-    values, sizes = np.zeros(size, np.uint64), np.zeros(size, np.int64)
+    values, sizes = [0] * size, [0] * size
     for s, (code, n) in canonical(lengths).items():
         values[s], sizes[s] = code, n
-    return values, sizes
+    return np.array(values, np.uint64), np.array(sizes, np.int64)
 
 
 def _histogram(x: np.ndarray) -> dict[int, int]:
-    n = np.bincount(x, minlength=1)
-    return {int(s): int(n[s]) for s in np.flatnonzero(n)}
+    n = np.bincount(x)
+    some = np.flatnonzero(n)
+    return dict(zip(some.tolist(), n[some].tolist(), strict=True))
 
 
 def _put_pixels(out: Writer, rgba: np.ndarray, main: bool, cache: int = 0, groups: int = 0) -> None:
@@ -652,7 +658,8 @@ def encode(pixels: np.ndarray, transforms: list[tuple] | None = None, cache: int
         raise ValueError("size out of range")
     pixels = np.ascontiguousarray(pixels)
     if transforms is None:
-        if len(np.unique(_numbers(pixels))) <= 16:
+        flat = _numbers(pixels).ravel()
+        if len(set(flat[:128].tolist())) <= 16 and len(np.unique(flat)) <= 16:
             transforms = [("palette",)]
         else:
             some = pixels[:64]  # enough to tell which transform suits
