@@ -7,7 +7,9 @@ then computed with numpy for the whole block at once.
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -43,11 +45,11 @@ def save(df: DataFrame, codec: str = "zstd") -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark drop shuffle files of finished stages whose results have been saved."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark drop shuffle files of finished stages whose results have been saved, before the next ones are written."""
+    for _ in range(2):  # the second round finds what the first one let go of
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def partitions(spark: SparkSession, bytes_: int, each: int) -> int:

@@ -304,6 +304,7 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, digest: bool =
     # Reports already known travel with the leaves and are spread by their own part.
     sent = sent.repartitionById(groups, F.pmod("part", F.lit(groups)).cast("int"))
     reports = c.save(sent.mapInArrow(subtrees(deals, groups), LEAVES))
+    del sent
     c.release(spark)
 
     names = [x for x in docs.columns if x not in (KEY,)]
