@@ -1,4 +1,4 @@
 """The library's queries by name, and the SQL that each is held against."""
 
-from . import evaluation, judgement, outcomes, records, streams, technical  # noqa: F401
+from . import chart, evaluation, judgement, outcomes, records, streams, technical  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
