@@ -14,11 +14,14 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task turns into arrays at once (one longer text is a block of its own).
 BLOCK_BYTES = 1 << 20
+#: Rows of a batch between Spark and Python.
+BATCH_ROWS = 1000
 #: Bytes hashed with one table of powers.
 SEGMENT = 1 << 20
 
@@ -62,28 +65,37 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
 
 
 # --------------------------------------------------------------------------- blocks of texts
+def small_batches(spark: SparkSession) -> None:
+    """Fewer rows a batch between Spark and Python than the 10,000 that suit narrow rows: texts are long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null counts as empty."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
     if pa.types.is_null(column.type):
         return [b""] * len(column)
-    raw = column.cast(pa.large_binary()) if not pa.types.is_large_binary(column.type) else column
+    raw = column if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else column.cast(pa.large_binary())
     return [x or b"" for x in raw.to_pylist()]
 
 
 def blocks(batches, column: str = "text", limit: int = BLOCK_BYTES):
     """Cut record batches into runs of rows with at most limit bytes of text: (rows, their texts)."""
     for batch in batches:
-        raw = texts(batch.column(batch.schema.get_field_index(column)))
-        start = size = 0
-        for i, x in enumerate(raw):
-            if size and size + len(x) > limit:
-                yield batch.slice(start, i - start), raw[start:i]
-                start, size = i, 0
-            size += len(x) + 1
-        if len(raw) > start:
-            yield batch.slice(start), raw[start:]
+        raw = batch.column(batch.schema.get_field_index(column))
+        if not len(raw):
+            continue
+        sizes = np.zeros(len(raw), np.int64) if pa.types.is_null(raw.type) else pc.binary_length(raw).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(sizes + 1)
+        start = 0
+        while start < len(raw):
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
+            part = batch.slice(start, stop - start)
+            yield part, texts(part.column(part.schema.get_field_index(column)))
+            start = stop
 
 
 # --------------------------------------------------------------------------- words

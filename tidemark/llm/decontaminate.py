@@ -160,7 +160,7 @@ def marker(query: Query):
     """Adds one slice's hits to each document: hit words as bits, items, and longest matches with their places."""
 
     def run(batches):
-        for part, raw in c.blocks(batches, limit=8 * c.BLOCK_BYTES):
+        for part, raw in c.blocks(batches, limit=4 * c.BLOCK_BYTES):
             words = c.Words(raw, kind=c.ALNUM, lower=True)
             q, place, length = search(words, query)
             n = len(words.codes)
@@ -214,6 +214,7 @@ def slices(benchmark: DataFrame, window: int, most: int = SLICE_WORDS):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slice_words: int = SLICE_WORDS) -> DataFrame:
     """docs with n_words, n_hit, items (ids, ascending), matches (longest, with places), longest and contaminated."""
+    c.small_batches(docs.sparkSession)
     docs = docs.drop("n_words", "n_hit", "items", "matches", "longest", "contaminated")
     state = docs.withColumns({"__words": F.lit(None).cast("long"), "__n_hit": F.lit(0).cast("long"), "__hits": F.lit(None).cast("binary"), "__matches": F.lit(None).cast(MATCH)})
     passes = list(slices(benchmark, window, slice_words))

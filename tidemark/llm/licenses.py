@@ -140,6 +140,7 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, least:
     """docs with matches: (license, dice, level, first_word, n_words) of every passage that is like a template."""
     own = Templates(templates or TEMPLATES, least)
     docs = docs.drop("matches")
+    c.small_batches(docs.sparkSession)
 
     def run(batches):
         kind = pa.list_(pa.struct([("license", pa.string()), ("dice", pa.float64()), ("level", pa.string()), ("first_word", pa.int64()), ("n_words", pa.int64())]))

@@ -60,6 +60,7 @@ def _store(column: str):
 def store(docs: DataFrame, column: str = "text") -> DataFrame:
     """docs with n_bytes, payload_bytes and media (WebP) in the place of a text column, written to the shared folder."""
     docs = docs.drop("n_bytes", "payload_bytes", "media")
+    c.small_batches(docs.sparkSession)
     rest = [f for f in docs.schema.fields if f.name != column]
     kind = T.StructType([*rest, T.StructField("n_bytes", T.LongType()), T.StructField("payload_bytes", T.LongType()), T.StructField("media", T.BinaryType())])
     return c.save(docs.mapInArrow(_store(column), kind), "uncompressed")

@@ -242,6 +242,7 @@ def _confirm(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of docs; see the module for the method and defined cases."""
+    c.small_batches(docs.sparkSession)
     signed = c.save(docs.select("doc_id", "text").mapInArrow(sign(k), SIGNED))
 
     # Classes of equal sets.

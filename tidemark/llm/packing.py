@@ -166,6 +166,7 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = None, e
 
     With digest, ids_crc32 stands in the place of ids.
     """
+    c.small_batches(docs.sparkSession)
     kind = PIECE
     if digest:
         kind = T.StructType([T.StructField("ids_crc32", T.LongType()) if f.name == "ids" else f for f in PIECE.fields])

@@ -42,7 +42,7 @@ MIN_WORDS = 13
 GROUP_WORDS = 2_000_000
 DEAL_BYTES = 24 << 20
 #: Text bytes within which equal windows are joined before the shuffle.
-SLAB_BYTES = 12 << 20
+SLAB_BYTES = 8 << 20
 #: Bytes of text sampled to find heavy prefixes.
 PLAN_BYTES = 8 << 20
 LAST = np.iinfo(np.int64).max
@@ -293,6 +293,7 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, digest: bool =
     SHA-256 of kept_text stands in its place, so that texts need not leave the task.
     """
     spark = docs.sparkSession
+    c.small_batches(spark)
     k = min_words
     last = "kept_sha256" if digest else "kept_text"
     docs = with_key(docs.drop("n_words", "n_removed", "spans", last))

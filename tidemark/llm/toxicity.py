@@ -159,6 +159,7 @@ def _scorer(features: np.ndarray, weights: np.ndarray, bias: float):
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with score (0 to 1), predicted (score >= threshold) and held_out (never learned from)."""
     docs = docs.drop("score", "predicted", "held_out")
+    c.small_batches(docs.sparkSession)
     model = fit(docs, labels)
     scored = docs.mapInArrow(_scorer(*model), T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
     return scored.withColumns({"predicted": (F.col("score") >= threshold).cast("int"), "held_out": F.coalesce(remainder() == 2, F.lit(False))})

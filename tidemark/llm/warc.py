@@ -120,6 +120,7 @@ def _writer(folder: str):
 
 def write(pages: DataFrame, folder: str) -> DataFrame:
     """Write archives below folder, and the index beside them; gives the index as read back."""
+    c.small_batches(pages.sparkSession)
     rows = with_record(records(pages)).select("page_id", "url", "digest", "kind", "record")
     index = rows.mapInArrow(_writer(f"{folder}/archives"), INDEX)
     index.write.option("compression", "zstd").parquet(f"{folder}/index")
