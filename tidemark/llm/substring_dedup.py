@@ -42,7 +42,7 @@ MIN_WORDS = 13
 GROUP_WORDS = 2_000_000
 DEAL_BYTES = 24 << 20
 #: Text bytes within which equal windows are joined before the shuffle.
-SLAB_BYTES = 8 << 20
+SLAB_BYTES = 4 << 20
 #: Bytes of text sampled to find heavy prefixes.
 PLAN_BYTES = 8 << 20
 LAST = np.iinfo(np.int64).max
@@ -102,7 +102,7 @@ def group_of(words: np.ndarray, at: np.ndarray, heavy: list[np.ndarray], groups:
         found = np.minimum(np.searchsorted(known, here), len(known) - 1)
         open_ = open_[known[found] == here]
         code[open_] = prefix_code(words, at[open_], length + 1)
-    return (code >> np.uint64(33)).astype(np.int64) % groups
+    return ((code >> np.uint64(33)) % np.uint64(groups)).astype(np.int32)
 
 
 # --------------------------------------------------------------------------- leaves
@@ -140,6 +140,7 @@ def leaves(k: int, heavy: list[np.ndarray], groups: int, deals: int):
 
     def flush(slab):
         keys, codes, group = (np.concatenate(x) for x in zip(*slab, strict=True))
+        slab.clear()
         order = np.lexsort((keys, codes))
         keys, codes, group = keys[order], codes[order], group[order]
         head = np.ones(len(codes), bool)
@@ -168,7 +169,7 @@ def leaves(k: int, heavy: list[np.ndarray], groups: int, deals: int):
             size += len(words.data)
             if size >= SLAB_BYTES and slab:
                 yield from flush(slab)
-                slab, size = [], 0
+                size = 0
         if slab:
             yield from flush(slab)
 
