@@ -18,7 +18,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language model of trusted text does not reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return kneser_ney.score(docs.select(*COLUMNS), labels).where("kept").select(*COLUMNS)
+    return kneser_ney.kept(docs.select(*COLUMNS), labels).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

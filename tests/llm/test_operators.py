@@ -209,6 +209,64 @@ def test_kneser_ney_odd(spark, odd):
     assert kneser_ney.score(df.limit(0), spark.createDataFrame([], "doc_id long, quality int")).count() == 0
 
 
+def word_nats_plain(trusted, text, own):
+    """Modified Kneser-Ney over pairs of words, written out; a trusted text's own grams that no other has are unknown."""
+    pairs = lambda t: list(zip(["", *t.split()], t.split()))
+    two = collections.Counter(g for t in trusted for g in pairs(t))
+    one, said, before = collections.Counter(b for _, b in two), collections.Counter(), collections.Counter()
+    for (a, b), n in two.items():
+        said[b] += n
+        before[a] += n
+
+    def discounts(table):
+        n = collections.Counter(table.values())
+        if not all(n[i] for i in (1, 2, 3, 4)):
+            return [0.5, 0.75, 0.9]
+        y = n[1] / (n[1] + 2 * n[2])
+        return [min(max(i - (i + 1) * y * n[i + 1] / n[i], 0.05), i - 0.05) for i in (1, 2, 3)]
+
+    d1, d2 = discounts(one), discounts(two)
+    held = sum(d1[min(n, 3) - 1] for n in one.values()) / (len(one) + 1)
+    mine = pairs(text)
+    mine2, mine1, mine0 = (collections.Counter(x) if own else collections.Counter() for x in (mine, [b for _, b in mine], [a for a, _ in mine]))
+    out = 0.0
+    for a, b in mine:
+        low = (one[b] - d1[min(one[b], 3) - 1] if said[b] > mine1[b] else 0) + held
+        low /= sum(one.values())
+        if two[a, b] > mine2[a, b]:
+            back = sum(d2[min(n, 3) - 1] for (x, _), n in two.items() if x == a)
+            low = (two[a, b] - d2[min(two[a, b], 3) - 1] + back * low) / before[a]
+        elif before[a] > mine0[a]:
+            low *= sum(d2[min(n, 3) - 1] for (x, _), n in two.items() if x == a) / before[a]
+        out -= math.log(low)
+    return out
+
+
+def test_words_in_wrong_order_are_surprising(spark):
+    rng = np.random.default_rng(3)
+    chain = {f"{x}word{i}": [f"{x}word{j}" for j in rng.integers(0, 60, 2)] for x in ("", "ж", "Q") for i in range(60)}
+
+    def text(x):
+        out = [f"{x}word{rng.integers(60)}"]
+        while len(out) < 50:
+            out.append(chain[out[-1]][rng.integers(2)])
+        return out
+
+    good = [text(("", "ж", "Q")[i % 3]) for i in range(150)]
+    wrong = [list(rng.permutation(x)) for x in (text("") for _ in range(20))]
+    rows = [(i, "en", " ".join(x)) for i, x in enumerate(good + wrong)] + [(0, "en", " ".join(good[0])), (500, "en", "東京都 word1")]
+    labels = spark.createDataFrame([(i, 1) for i in range(120)], "doc_id long, quality int")
+    got = kneser_ney.score(spark.createDataFrame(rows, "doc_id long, lang string, text string"), labels).collect()
+    assert len(got) == len(rows)
+    trusted = [r.text for r in got if r.doc_id < 120]
+    for r in got:
+        if r.doc_id in (0, 3, 125, 149, 151, 160):
+            assert r.word_nats == pytest.approx(word_nats_plain(trusted, r.text, r.doc_id < 120))
+    assert next(r.n_words for r in got if r.doc_id == 500) == 4
+    kept = {r.doc_id for r in got if r.kept}
+    assert len(kept & set(range(120, 150))) >= 28 and not kept & set(range(150, 170))
+
+
 # ---------------------------------------------------------------- op6
 def linked(rows):
     sets = {}

@@ -1,22 +1,22 @@
-"""Quality by an interpolated modified Kneser-Ney n-gram model of trusted text.
-
-Symbols are classes of characters (64: letters a to z, capitals, digits, blanks, common marks,
-and groups of the others), grams are four symbols of one document, so a gram is 24 bits.
-
-1.  Tasks count the grams of trusted documents and the grams that any document asks for, join
-    equal grams before the shuffle, and give (gram, count) rows, sharded by gram.
-2.  Lower orders count the different symbols seen before a gram (continuation counts).  Counts of
-    counts give three discounts per order; totals and the numbers of followers seen once,
-    twice or more often give each context's back-off weight.  These are tables sharded by gram
-    or context.
-3.  The grams asked for are joined to the counts and contexts of each order, the highest first,
-    which gives every gram its interpolated log probability.
-4.  That table has at most 2**24 entries of 8 bytes whatever the corpus (the proven bound of what
-    is broadcast; a task lays them out as 64 MB of floats).  One more pass over the texts sums log probabilities per document.
-5.  Each language's trusted documents give a distribution of nats per symbol (counted in bins of
-    0.001, so nothing is gathered); a document is rejected above its language's QUANTILE by more
-    than SLACK.  The nats of short documents are drawn to the language's median, as if PRIOR
-    symbols of it came with them.
+"""Quality by two interpolated modified Kneser-Ney models of trusted text: of words, and of character classes.
+
+Words: runs of letters and digits as they are (nothing is folded), and single characters of scripts
+written without blanks.
+
+1.  Tasks count the pairs of following words of trusted documents; pairs, words and contexts are tables
+    sharded by gram that grow with the trusted text.  Counts of counts give the discounts.
+2.  Every document's words and pairs, joined per document, are joined by gram to those tables, and
+    the log probabilities are summed by document.  Nothing of it passes the driver or a broadcast.
+3.  perplexity and threshold are those of words.
+
+Character classes (64: letters a to z, capitals, digits, blanks, common marks, and groups of the others)
+see spelling and noise.  Grams are four symbols of one document, so a gram is 24 bits: this
+table has at most 2**24 entries whatever the corpus, and goes to the tasks.  It is beside the words, not
+in their place.
+
+A document is rejected if either measure lies above its language's QUANTILE of trusted documents
+(nats per symbol or word, counted in bins of 0.001, so nothing is gathered) by more than a slack.
+The nats of short documents are drawn to the language's median, as if PRIOR units of it came with them.
 
 Which documents are trusted: labels.quality = 1.  Languages with fewer than LEAST trusted
 documents use the distribution of all languages.
@@ -24,13 +24,14 @@ documents use the distribution of all languages.
 Defined cases: null or empty text has no symbols, no perplexity, and is kept; a null language is a
 language of its own; repeated labels count once; unlabelled rows and rows without doc_id are
 scored like others; without any trusted text all is kept; an empty table gives an empty table.
-Columns pass through; those named like a new one (n_symbols, nats, perplexity, threshold, kept)
-are replaced.
+Columns pass through; those named like a new one (n_symbols, nats, n_words, word_nats, perplexity,
+threshold, kept) are replaced.
 """
 
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 
 import numpy as np
@@ -47,6 +48,10 @@ QUANTILE, SLACK, PRIOR, LEAST = 0.99, 0.25, 40, 30
 BROADCAST_IDS = 1_000_000
 #: Languages whose bounds (a row each) may be broadcast.
 BROADCAST_LANGUAGES = 10_000
+#: The same for nats per word.
+WORD_PRIOR, WORD_SLACK = 20, 0.25
+#: Parts of the documents whose words are looked up one after the other, for the disk that their shuffles take.
+ROUNDS = 4
 #: Text bytes whose grams a task joins before it gives them out.
 SLAB_BYTES = 16 << 20
 OWN_MARKS = ".,'\"-()!?:;/@#"
@@ -173,51 +178,199 @@ def _scorer(table):
             columns = {name: part.column(i) for i, name in enumerate(part.schema.names)}
             columns["n_symbols"] = pa.array(np.diff(bounds))
             columns["nats"] = pa.array(-(total[bounds[1:]] - total[bounds[:-1]]))
+            columns["n_words"] = pa.array(c.Words([UNSPACED.sub(rb" \g<0> ", x) for x in raw], kind=c.ALNUM).counts)
             yield pa.RecordBatch.from_pydict(columns)
 
     return run
 
 
-def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs with n_symbols, nats (their sum), perplexity (per symbol), threshold (its bound) and kept."""
-    spark = docs.sparkSession
-    c.small_batches(spark)
-    docs = docs.drop("n_symbols", "nats", "perplexity", "threshold", "kept", "__trusted")
-    ids = c.save(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("__label")).distinct())
-    bounded = ids.count() <= BROADCAST_IDS
-    marked = docs.join(F.broadcast(ids) if bounded else ids, docs["doc_id"] == ids["__label"], "left").withColumn("__trusted", F.col("__label").isNotNull()).drop("__label")
+# --------------------------------------------------------------------------- words
+#: Characters of scripts written without blanks (East and South-East Asian): each is a word of its own.
+UNSPACED = re.compile(rb"[\xe3-\xe9][\x80-\xbf]{2}|\xe0[\xb8-\xbb][\x80-\xbf]|\xe1[\x80-\x82\x9e\x9f][\x80-\xbf]|\xf0[\xa0-\xbf][\x80-\xbf]{2}")
+#: The word that stands before each text.
+OPENING = np.uint64(0x9E6C63D0876A9A47)
 
-    known = model(marked).toArrow()
-    table = spark.sparkContext.broadcast((known.column("gram").to_numpy().astype(np.int32), known.column("logp").to_numpy().astype(np.float32)))
-    from pyspark.sql import types as T
 
-    kind = T.StructType([*marked.schema.fields, T.StructField("n_symbols", T.LongType()), T.StructField("nats", T.DoubleType())])
-    scored = marked.mapInArrow(_scorer(table), kind)
+def units(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For every word of a block: its code, that of the word before, that of the pair, and its text's index."""
+    w = c.Words([UNSPACED.sub(rb" \g<0> ", x) for x in raw], kind=c.ALNUM)
+    before = np.empty_like(w.codes)
+    before[1:] = w.codes[:-1]
+    before[w.first[:-1][w.counts > 0]] = OPENING
+    return w.codes, before, (before << np.uint64(1) | before >> np.uint64(63)) ^ w.codes, w.doc_of()
+
+
+def _long(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
+
+
+def _pairs(batches):
+    """(a, b, n): the pairs of words of trusted texts, joined in each slab."""
+    held: list = []
+    size = 0
+
+    def flush():
+        if held:
+            code, a, b, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            _, first, at = np.unique(code, return_index=True, return_inverse=True)
+            total = np.bincount(at, weights=n).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([_long(a[first]), _long(b[first]), pa.array(total)], names=["a", "b", "n"])
+            held.clear()
+
+    for _, raw in c.blocks(batches):
+        word, before, code, _ = units(raw)
+        if len(word):
+            found, first, n = np.unique(code, return_index=True, return_counts=True)
+            held.append((found, before[first], word[first], n))
+        size += sum(map(len, raw))
+        if size >= SLAB_BYTES:
+            yield from flush()
+            size = 0
+    yield from flush()
+
 
-    narrow = scored.select(F.coalesce("lang", F.lit("")).alias("l"), "__trusted", "n_symbols", "nats")
-    bins = narrow.where("__trusted and n_symbols > 0").groupBy("l", F.floor(F.col("nats") / F.col("n_symbols") * 1000).alias("bin")).agg(F.count("*").alias("n"))
-    bins = c.save(bins)
+def _asked(batches):
+    """(key, gram, n, m): each document's words and pairs, joined per document; n as what is said, m as what stands before."""
+    for part, raw in c.blocks(batches):
+        word, before, code, doc = units(raw)
+        if not len(word):
+            continue
+        key = part.column(part.schema.get_field_index("__key")).to_numpy(zero_copy_only=False)
+        said = np.ones(len(word), np.int32)
+        for gram, n, m, at in ((np.concatenate([word, before]), np.concatenate([said, 0 * said]), np.concatenate([0 * said, said]), np.concatenate([doc, doc])), (code, said, 0 * said, doc)):
+            order = np.lexsort((gram, at))
+            gram, at, n, m = gram[order], at[order], n[order], m[order]
+            start = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (at[1:] != at[:-1])]))
+            yield pa.RecordBatch.from_arrays([pa.array(key[at[start]]), _long(gram[start]), *(pa.array(np.add.reduceat(x, start, dtype=np.int32)) for x in (n, m))], names=["key", "gram", "n", "m"])
+
+
+def word_model(trusted: DataFrame) -> tuple[DataFrame, float]:
+    """(gram, c, gain, t, back) for each word and pair of trusted texts, and the log probability of an unknown word.
+
+    A text's log probability is the unknown word's for each of its words, plus gain for each known
+    word and pair, plus back (the log back-off weight) for each known word that stands before
+    another: so words and pairs are looked up independently and only sums meet.  c and t are how often
+    a gram was said and stood before another.
+    """
+    pairs = c.save(trusted.select("text").mapInArrow(_pairs, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")))
+    c.release(trusted.sparkSession)
+    gram = F.shiftleft("a", 1).bitwiseOR(F.shiftrightunsigned("a", 63)).bitwiseXOR(F.col("b"))  # as in units()
+    by = lambda n, d: F.when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2])
+    high = _discounts(pairs)
+    before = pairs.groupBy("a").agg(F.sum("n").alias("t"), F.sum(by(F.col("n"), high)).alias("held")).select("a", "t", F.log(F.col("held") / F.col("t")).alias("back"))
+    said = c.save(pairs.groupBy("b").agg(F.sum("n").alias("c"), F.count("*").alias("n")))
+    low = _discounts(said)
+    total = said.agg(F.sum("n").alias("n"), F.sum(by(F.col("n"), low)).alias("held"), F.count("*").alias("words")).first()
+    if not total["n"]:
+        return pairs.select(gram.alias("gram"), F.col("n").alias("c"), F.lit(0.0).alias("gain"), F.lit(0).cast("long").alias("t"), F.lit(0.0).alias("back")), 0.0
+    rest = total["held"] / (total["words"] + 1)
+    unknown = math.log(rest / total["n"])
+    words = said.select("b", "c", F.log((F.col("n") - by(F.col("n"), low) + rest) / total["n"]).alias("lp"))
+    words = c.save(words.join(before, F.col("a") == F.col("b"), "full"))
+    known = words.select(F.coalesce("b", "a").alias("gram"), F.coalesce("c", F.lit(0)).alias("c"), F.coalesce(F.col("lp") - unknown, F.lit(0.0)).cast("float").alias("gain"), F.coalesce("t", F.lit(0)).alias("t"), F.coalesce("back", F.lit(0.0)).alias("back"))
+    both = pairs.join(words.where("a is not null").select("a", "t", "back"), "a").join(words.where("b is not null").select("b", "lp"), "b")
+    p = (F.col("n") - by(F.col("n"), high)) / F.col("t") + F.exp(F.col("back") + F.col("lp"))
+    return c.save(known.unionAll(both.select(gram.alias("gram"), F.col("n").alias("c"), (F.log(p) - F.col("back") - F.col("lp")).cast("float").alias("gain"), F.lit(0).cast("long").alias("t"), F.lit(0.0).alias("back")))), unknown
+
+
+def word_sums(marked: DataFrame) -> tuple[DataFrame, float]:
+    """(key, words, gain) per document (equal rows together) under the word model, and the unknown word's log probability.
+
+    A trusted document's own words and pairs count as unknown if no other trusted text has them:
+    else its nats would be those of a text learned by heart.  Documents come in ROUNDS, whose
+    shuffles are let go one by one; the join is by gram, and a gram has a row per document, not one
+    per occurrence.  Partitions of frequent grams are split (skew join).
+    """
+    model, unknown = word_model(marked.where("__trusted"))
+    out = None
+    for i in range(ROUNDS):
+        c.release(marked.sparkSession)
+        asked = marked.where(F.pmod(F.shiftright("__key", 1), F.lit(ROUNDS)) == i).select("text", "__key").mapInArrow(_asked, "key long, gram long, n int, m int")
+        own = F.col("key").bitwiseAND(F.lit(1)) == 1
+        gain = F.when(~own | (F.col("c") > F.col("n")), F.col("n") * F.col("gain")).otherwise(0.0) + F.when(~own | (F.col("t") > F.col("m")), F.col("m") * F.col("back")).otherwise(0.0)
+        got = c.save(asked.join(model.hint("merge"), "gram").groupBy("key").agg(F.sum(gain).alias("gain")))
+        out = got if out is None else out.unionAll(got)
+    return out, unknown
+
+
+def _limits(rows: DataFrame, value: str) -> tuple[DataFrame, object]:
+    """Per language (l) of trusted rows: median and high quantile of value in bins of 0.001; and those of all languages."""
+    bins = c.save(rows.where(F.col("__trusted") & F.col(value).isNotNull()).groupBy("l", F.floor(F.col(value) * 1000).alias("bin")).agg(F.count("*").alias("n")))
     both = bins.unionAll(bins.groupBy("bin").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("l"), "bin", "n"))
     order = Window.partitionBy("l").orderBy("bin")
     both = both.withColumns({"upto": F.sum("n").over(order), "all": F.sum("n").over(Window.partitionBy("l"))})
     at = lambda q: F.min(F.when(F.col("upto") >= F.col("all") * q, F.col("bin"))) / 1000 + 0.001
-    limits = c.save(both.groupBy("l").agg(at(0.5).alias("__m"), at(QUANTILE).alias("__h"), F.first("all").alias("all")))
-    default = limits.where("l is null").first()
-    if default is None:
-        return scored.select(*docs.columns, "n_symbols", "nats", F.exp(F.try_divide("nats", "n_symbols")).alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("kept"))
-    by = limits.where(F.col("l").isNotNull() & (F.col("all") >= LEAST)).select(F.col("l").alias("__l"), "__m", "__h")
+    limits = c.save(both.groupBy("l").agg(at(0.5).alias("m"), at(QUANTILE).alias("h"), F.first("all").alias("all")))
+    by = limits.where(F.col("l").isNotNull() & (F.col("all") >= LEAST)).select(F.col("l").alias("__l"), F.col("m").alias("__m"), F.col("h").alias("__h"))
     if by.count() <= BROADCAST_LANGUAGES:
         by = F.broadcast(by)
-    out = scored.withColumn("__l", F.coalesce("lang", F.lit(""))).join(by, "__l", "left")
-    middle, high = F.coalesce("__m", F.lit(default["__m"])), F.coalesce("__h", F.lit(default["__h"])) + SLACK
-    drawn = (F.col("nats") + PRIOR * middle) / (F.col("n_symbols") + PRIOR)
-    return out.select(*docs.columns, "n_symbols", "nats", F.exp(F.try_divide("nats", "n_symbols")).alias("perplexity"), F.exp(high).alias("threshold"), (drawn <= high).alias("kept"))
+    return by, limits.where("l is null").first()
+
+
+def _bounded(rows: DataFrame, nats: str, n: str, prior: int, slack: float, high: str, ok: str) -> DataFrame:
+    """rows with a bound (high, nats per unit) and whether they stay below it (ok); without trusted text all do."""
+    by, default = _limits(rows.withColumn("__x", F.try_divide(nats, n)), "__x")
+    if default is None:
+        return rows.withColumns({high: F.lit(None).cast("double"), ok: F.lit(True)})
+    middle, bound = F.coalesce("__m", F.lit(default["m"])), F.coalesce("__h", F.lit(default["h"])) + slack
+    drawn = (F.col(nats) + prior * middle) / (F.col(n) + prior)
+    return rows.join(by, F.col("l") == F.col("__l"), "left").withColumns({high: bound, ok: drawn <= bound}).drop("__l", "__m", "__h")
+
+
+MADE = ["n_symbols", "nats", "n_words", "word_nats", "perplexity", "threshold", "kept"]
+
+
+def _marked(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs with __trusted, and a key that equal rows share (its last bit says whether they are trusted)."""
+    ids = c.save(labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("__label")).distinct())
+    bounded = ids.count() <= BROADCAST_IDS
+    marked = docs.drop(*MADE, "__trusted", "__key").join(F.broadcast(ids) if bounded else ids, docs["doc_id"] == ids["__label"], "left").withColumn("__trusted", F.col("__label").isNotNull()).drop("__label")
+    key = F.xxhash64("doc_id", "lang", "text").bitwiseAND(F.lit(-2)).bitwiseOR(F.col("__trusted").cast("long"))
+    return marked.withColumn("__key", key)
+
+
+def judged(marked: DataFrame) -> DataFrame:
+    """Without texts: doc_id, lang, key and what the models say of each row."""
+    spark = marked.sparkSession
+    known = model(marked).toArrow()
+    table = spark.sparkContext.broadcast((known.column("gram").to_numpy().astype(np.int32), known.column("logp").to_numpy().astype(np.float32)))
+    from pyspark.sql import types as T
+
+    rows = marked.select("doc_id", "lang", "text", "__trusted", "__key")
+    kind = T.StructType([*rows.schema.fields, T.StructField("n_symbols", T.LongType()), T.StructField("nats", T.DoubleType()), T.StructField("n_words", T.LongType())])
+    rows = c.save(rows.mapInArrow(_scorer(table), kind).drop("text"))
+    sums, unknown = word_sums(marked)
+    copies = rows.groupBy("__key").agg(F.count("*").alias("__copies"))
+    sums = copies.join(sums.withColumnRenamed("key", "__key"), "__key", "left")
+    word_nats = -(F.col("n_words") * unknown + F.coalesce(F.col("gain") / F.col("__copies"), F.lit(0.0)))
+    rows = c.save(rows.join(sums, "__key").withColumn("word_nats", word_nats).drop("gain", "__copies").withColumn("l", F.coalesce("lang", F.lit(""))))
+    rows = _bounded(rows, "nats", "n_symbols", PRIOR, SLACK, "__high", "__ok")
+    rows = _bounded(rows, "word_nats", "n_words", WORD_PRIOR, WORD_SLACK, "__word_high", "__word_ok")
+    kept = F.col("__ok") & F.col("__word_ok")
+    return rows.select("doc_id", "lang", "__key", "n_symbols", "nats", "n_words", "word_nats", F.exp(F.try_divide("word_nats", "n_words")).alias("perplexity"), F.exp("__word_high").alias("threshold"), kept.alias("kept"))
+
+
+def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs with n_symbols, nats (their sum), n_words, word_nats, perplexity (per word), threshold (its bound) and kept."""
+    c.small_batches(docs.sparkSession)
+    marked = _marked(docs, labels)
+    found = c.save(judged(marked).select("__key", *MADE).dropDuplicates(["__key"]))
+    return marked.drop("__trusted").join(found, "__key").drop("__key")
+
+
+def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that are not rejected; texts move only if rejected rows are very many."""
+    c.small_batches(docs.sparkSession)
+    marked = _marked(docs, labels)
+    gone = c.save(judged(marked).where("not kept").select("__key").distinct())
+    bounded = gone.count() <= BROADCAST_IDS
+    return marked.join(F.broadcast(gone) if bounded else gone, "__key", "left_anti").drop("__key", "__trusted")
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")
-    out = score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return out.select("doc_id", "lang", "n_symbols", "nats", "perplexity", "threshold", "kept")
+    c.small_batches(spark)
+    return judged(_marked(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))).select("doc_id", "lang", *MADE)
 
 
 assert len(OWN_MARKS) <= 14 and math.log2(SYMBOLS) == BITS
