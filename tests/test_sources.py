@@ -80,3 +80,24 @@ def test_sinks(spark, tmp_path):
         sinks.write_artifacts({"one": old}, str(tmp_path / "w"))
     with pytest.raises(ValueError):
         sinks.write_day(old.withColumn("trade_date", F.lit("2026-01-06").cast("date")), str(tmp_path / "d"), "2026-01-05")
+
+
+def test_replay_of_many_shuffled_files(spark, tmp_path):
+    from tidemark.plans.registry import QUERIES
+
+    rows = [(i, i % 5, "view", f"2024-01-{1 + i % 30:02d} 00:00:{i // 30:02d}", float(i), f"p{(i * 7) % 3}") for i in range(360)]
+    for k in range(12):  # the newest days come first, each file with days of its own
+        part = sorted(rows, key=lambda r: r[3], reverse=True)[k * 30 : k * 30 + 30]
+        df = spark.createDataFrame(part, "event_id long, user_id long, event_type string, ts string, value double, props string")
+        df.withColumn("ts", df["ts"].cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    assert QUERIES["stream_dedup"](spark, str(tmp_path)).count() == 360
+    days = {str(r.day): r.n for r in QUERIES["stream_daily_counts"](spark, str(tmp_path)).collect()}
+    assert days == {f"2024-01-{d:02d}": 12 for d in range(1, 28)}
+    want = []
+    for user in range(5):
+        before, number = None, 0
+        for r in sorted((r for r in rows if r[1] == user), key=lambda r: (r[3], r[0])):
+            if r[5] != before:
+                before, number = r[5], number + 1
+                want.append((r[0], user, number))
+    assert sorted(map(tuple, QUERIES["stream_revisions"](spark, str(tmp_path)).collect())) == sorted(want)
