@@ -365,6 +365,17 @@ def test_coalesced():
 
 
 # ---------------------------------------------------------------- op8
+def test_added_tokens():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer, encode = Tokenizer.from_file(path), packing.encoder(path)
+    end = "<|endoftext|>"
+    for text in (f"{end}at the start", f"in the {end} middle", f"in the{end}middle", f"at the end{end}", f"{end}{end} twice \n{end}", end, f"<|endoftext{end}|>", "<|endoftext|", "<|fim|> none", ""):
+        assert list(encode(text)) == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 def test_packing(spark, docs, odd):
     import public_tokenizers
     from tokenizers import Tokenizer
