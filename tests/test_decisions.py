@@ -37,3 +37,16 @@ def test_answers(spark):
     got = decisions.validate_answers(spark.createDataFrame(rows, "a string"), "a", ["BUY", "PASS"]).collect()
     assert [r.status for r in got] == ["ACCEPTED", "REJECTED", "REJECTED", "ACCEPTED_WITH_WARNINGS"]
     assert got[1].errors == ["UNKNOWN_DECISION", "PROBABILITY_OUT_OF_RANGE"] and got[2].errors == ["NO_DECISION", "NO_PROBABILITY"]
+
+
+def test_whole_texts_and_members(spark, tmp_path):
+    from tidemark.plans import QUERIES
+
+    line = "plain words " * 20
+    rows = [(1, f"{line}1234 end", "a", "en"), (2, f"{line}licence\nx", "a", "en"), (3, f"{line}licence\ny", "a", "en"), (4, f"{line} other\nlicence", None, "en"), (5, f"{line} other", None, "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda q: {r[0]: r[1] for r in QUERIES[q](spark, str(tmp_path)).collect()}
+    assert run("redaction_whole") == {r[0]: r[1].replace("1234", "[CODE]") for r in rows}
+    assert run("title_line_classify") == {1: "OTHER", 2: "LICENSE", 3: "LICENSE", 4: "OTHER", 5: "OTHER"}
+    assert run("near_miss_line_members") == {1: 1, 2: 2, 3: 2, 4: 4, 5: 4}
+    assert run("near_miss_members") == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4}

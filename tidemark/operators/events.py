@@ -30,15 +30,29 @@ def tokens(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != ""))
 
 
+def _classes(rows: DataFrame, key: str, group: list[str], text: str) -> tuple[DataFrame, DataFrame]:
+    sets = rows.select(key, *group, F.array_sort(tokens(F.col(text))).alias("t")).where(F.size("t") > 0)
+    return sets, sets.groupBy(*group, "t").agg(F.min(key).alias("id"))
+
+
+def near_members(rows: DataFrame, key: str, group: list[str], text: str) -> DataFrame:
+    """(key, id): the class of equal token sets that each row of near_pairs' input belongs to, by its representative."""
+    sets, classes = _classes(rows, key, group, text)
+    same = [sets[g].eqNullSafe(classes[g]) for g in group]
+    match = sets["t"] == classes["t"]
+    for s in same:
+        match &= s
+    return sets.join(classes, match).select(sets[key], classes["id"])
+
+
 def near_pairs(rows: DataFrame, key: str, group: list[str], text: str, least: float = 0.6) -> DataFrame:
     """Pairs of one group whose token sets have Jaccard similarity of at least `least`.
 
     Equal sets are one class with a representative; classes meet only on a token among their first
     n - ceil(least * n) + 1 in order of rarity: sets as similar as asked must share one of those.
-    Gives (left, right, similarity) between representatives, smaller key left.
+    Gives (left, right, similarity) between representatives, smaller key left; near_members says whom they stand for.
     """
-    sets = rows.select(key, *group, F.array_sort(tokens(F.col(text))).alias("t")).where(F.size("t") > 0)
-    classes = sets.groupBy(*group, "t").agg(F.min(key).alias("id"))
+    _, classes = _classes(rows, key, group, text)
     each = classes.select(*group, "id", "t", F.explode("t").alias("token"))
     often = each.groupBy(*group, "token").agg(F.count("*").alias("n"))
     ranked = each.join(often, [*group, "token"])

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import indicators as i
+from ..functions.text import redacted
 from ..operators import episodes as ep
 from ..operators import material as mt
 from ..sources import market as m
@@ -188,6 +189,12 @@ def redaction(spark, d):
     return m.table(spark, d, "documents").where("text is not null").select("doc_id", F.regexp_replace(F.substring("text", 1, 200), r"\b[0-9]{4}\b", "[CODE]").alias("text"))
 
 
+@query("redaction_whole")
+def redaction_whole(spark, d):
+    """Free-standing codes are masked in the whole text."""
+    return m.table(spark, d, "documents").where("text is not null").select("doc_id", redacted("text").alias("text"))
+
+
 @query("open_episode_conflicts", "SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders WHERE o_orderstatus = 'O' GROUP BY 1, 2 HAVING count(*) > 1")
 def open_episode_conflicts(spark, d):
     return m.table(spark, d, "orders").where("o_orderstatus = 'O'").groupBy("o_custkey", "o_orderpriority").agg(F.count("*").alias("n")).where("n > 1")
