@@ -1,20 +1,21 @@
-"""What the operators of this subpackage share: the shared scratch folder, blocks of texts, and word codes.
+"""What the operators of this subpackage share: the shared scratch folder, blocks of texts, words and their codes.
 
 Texts travel as Arrow batches into tasks.  A block of documents becomes one byte buffer in
 which a line feed parts the texts; words, their 64-bit codes and the codes of word windows are
-then computed with numpy for the whole block at once.
+then computed with numpy for the whole block at once.  Codes only find what may be equal: where
+a hit, a link or a removal is decided, the words themselves are compared (same_words, word_ids).
 """
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
+from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,19 +23,22 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 1 << 20
 #: Rows of a batch between Spark and Python.
 BATCH_ROWS = 1000
-#: Bytes hashed with one table of powers.
-SEGMENT = 1 << 20
+#: Words of more bytes are hashed and compared one by one.
+LONG_WORD = 256
+#: A key is often if more than one in OFTEN rows has it; so there are fewer than OFTEN such keys.
+OFTEN = 1000
 
-MULT = 0x9E3779B97F4A7C15
-INVERSE = pow(MULT, -1, 1 << 64)
 STEP = np.uint64(0xD6E8FEB86659FD93)
+SEED = np.uint64(0x9E3779B97F4A7C15)
 
 
 # --------------------------------------------------------------------------- shared folder
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a temporary folder only where that is unset (tests)."""
+    """A new folder below spark.checkpoint.dir.  Where that is unset: a temporary folder in local mode, else an error."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("tidemark.scratch", "")
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-tidemark-")
         spark.conf.set("tidemark.scratch", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
@@ -47,12 +51,13 @@ def save(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop shuffle files of finished stages whose results have been saved, before the next ones are written."""
-    for _ in range(2):  # the second round finds what the first one let go of
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+def file_system(uri: str):
+    """The file system that a URI names, and the path there, for tasks."""
+    from pyarrow import fs
+
+    if urlparse(uri).scheme in ("", "file"):
+        return fs.LocalFileSystem(), unquote(urlparse(uri).path)
+    return fs.FileSystem.from_uri(uri)
 
 
 def partitions(spark: SparkSession, bytes_: int, each: int) -> int:
@@ -64,6 +69,27 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
     return docs.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0)).alias("b")).first()["b"]
 
 
+def often_keys(left: DataFrame, key: str) -> list:
+    """Keys of more than one in OFTEN rows of left (and more than 100): fewer than OFTEN."""
+    counts = save(left.groupBy(key).agg(F.count("*").alias("__n")))
+    total = counts.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("n")).first()["n"]
+    return [r[key] for r in counts.where(F.col("__n") > max(total // OFTEN, 100)).select(key).collect()]
+
+
+def join_split(left: DataFrame, right: DataFrame, key: str, often: list | None = None) -> DataFrame:
+    """left joined by key to right, which has one row a key; often keys of left don't meet in one task.
+
+    The rows of right for often keys, fewer than OFTEN, are broadcast; all others are joined by
+    a shuffle.  left is read several times, so it should be a saved table.
+    """
+    often = often_keys(left, key) if often is None else often
+    if not often:
+        return left.join(right, key)
+    names = F.broadcast(left.sparkSession.createDataFrame([(x,) for x in often], left.select(key).schema))
+    rare = left.join(names, key, "left_anti").join(right, key)
+    return rare.unionByName(left.join(F.broadcast(right.join(names, key, "left_semi")), key))
+
+
 # --------------------------------------------------------------------------- blocks of texts
 def small_batches(spark: SparkSession) -> None:
     """Fewer rows a batch between Spark and Python than the 10,000 that suit narrow rows: texts are long."""
@@ -107,21 +133,8 @@ SPACED = ~SPACES
 ALNUM = np.zeros(256, bool)
 ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x41:0x5B] = ALNUM[0x80:] = True
 
-_values = np.random.default_rng(20240607).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-BYTE_VALUE = _values
-LOWER_VALUE = _values.copy()
-LOWER_VALUE[0x41:0x5B] = _values[0x61:0x7B]
-_powers: dict[str, np.ndarray] = {}
-
-
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers["up"]) < n:
-        size = max(n, SEGMENT + 4096)
-        with np.errstate(over="ignore"):
-            up, down = np.full(size, MULT, np.uint64), np.full(size, INVERSE, np.uint64)
-            up[0] = down[0] = 1
-            _powers["up"], _powers["down"] = np.cumprod(up), np.cumprod(down)
-    return _powers["up"], _powers["down"]
+LOWER = bytes(x + 32 if 0x41 <= x <= 0x5A else x for x in range(256))
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -135,37 +148,48 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The words of a block: byte bounds, 64-bit codes, and the first word of each document."""
+    """The words of a block: byte bounds, 64-bit codes, and the first word of each document.
+
+    kind says of every byte value to which kind of word it belongs (0: to none); a word is a run of
+    bytes of one kind.  With lower, A-Z are lower-cased in data.  A code mixes the word's 8-byte pieces one after the
+    other with its length and a seed; long words take xxh3 of their bytes instead.
+    """
 
-    def __init__(self, raw: list[bytes], kind: np.ndarray = SPACED, lower: bool = False, beginnings: tuple[int, ...] = ()):
-        self.data = b"\n" + b"\n".join(raw) + b"\n"
+    def __init__(self, raw: list[bytes], kind: np.ndarray = SPACED, lower: bool = False, beginnings: tuple[int, ...] = (), seed: int = 0):
+        data = b"\n" + b"\n".join(raw) + b"\n"
+        self.data = data.translate(LOWER) if lower else data
         buf = np.frombuffer(self.data, np.uint8)
-        inside = kind[buf]
-        edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
-        self.starts, self.ends = edges[0::2], edges[1::2]
+        kinds = kind[buf]
+        edges = np.flatnonzero(kinds[1:] != kinds[:-1]) + 1
+        self.starts, self.ends = edges[kinds[edges] != 0], edges[kinds[edges - 1] != 0]
         offsets = np.zeros(len(raw) + 1, np.int64)
         np.cumsum([len(x) + 1 for x in raw], out=offsets[1:])
         self.first = np.searchsorted(self.starts, offsets + 1)
-        #: For each length asked for: codes of the first bytes of words that are longer, 0 for others.
-        self.beginnings = [np.zeros(len(self.starts), np.uint64) for _ in beginnings]
-        self.codes = self._codes(buf, LOWER_VALUE if lower else BYTE_VALUE, beginnings)
-
-    def _codes(self, buf: np.ndarray, value: np.ndarray, beginnings: tuple[int, ...]) -> np.ndarray:
-        out = np.empty(len(self.starts), np.uint64)
-        bounds = np.searchsorted(self.starts, np.arange(0, len(buf) + SEGMENT, SEGMENT))
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            if a == b:
-                continue
-            lo, hi = int(self.starts[a]), int(self.ends[b - 1])
-            up, down = _tables(hi - lo + 1)
-            total = np.zeros(hi - lo + 1, np.uint64)
-            np.cumsum(value[buf[lo:hi]] * up[: hi - lo], out=total[1:])
-            s = self.starts[a:b] - lo
-            out[a:b] = (total[self.ends[a:b] - lo] - total[s]) * down[s]
-            for k, codes in zip(beginnings, self.beginnings, strict=True):
-                long = np.flatnonzero(self.ends[a:b] - self.starts[a:b] > k)
-                codes[a + long] = mix((total[s[long] + k] - total[s[long]]) * down[s[long]] + np.uint64(k))
-        return mix(out)
+        self.pieces = pieces(self.data)
+        self.key = mix(SEED + np.array([seed], np.uint64))[0]
+        self.codes = self._codes()
+        #: For each length (at most 8) asked for: codes of the first bytes of words that are longer, 0 for others.
+        self.beginnings = []
+        for k in beginnings:
+            codes = np.zeros(len(self.starts), np.uint64)
+            long = np.flatnonzero(self.ends - self.starts > k)
+            codes[long] = mix((self.pieces[self.starts[long]] & _MASKS[k]) ^ mix(self.key + np.array([k + 1000], np.uint64))[0])
+            self.beginnings.append(codes)
+
+    def _codes(self) -> np.ndarray:
+        size = self.ends - self.starts
+        code = mix(self.key ^ size.astype(np.uint64))
+        at, left, open_ = self.starts, size, slice(None)
+        for _ in range(LONG_WORD // 8):
+            if not len(at):
+                break
+            code[open_] = mix(code[open_] * STEP ^ (self.pieces[at] & _MASKS[np.minimum(left, 8)]))
+            more = np.flatnonzero(left > 8)
+            open_ = np.arange(len(code))[open_][more]
+            at, left = at[more] + 8, left[more] - 8
+        for i in np.flatnonzero(size > LONG_WORD).tolist():
+            code[i] = xxhash.xxh3_64_intdigest(self.data[self.starts[i] : self.ends[i]], int(self.key))
+        return code
 
     @property
     def counts(self) -> np.ndarray:
@@ -177,20 +201,56 @@ class Words:
 
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Start word and code of every window of k consecutive words of one document."""
+        at = self.whole(k)
+        return (at, roll(self.codes, k)[at]) if len(at) else (at, np.empty(0, np.uint64))
+
+    def whole(self, k: int) -> np.ndarray:
+        """Start word of every window of k consecutive words of one document."""
         n = len(self.codes) - k + 1
         if n <= 0:
-            return np.empty(0, np.int64), np.empty(0, np.uint64)
+            return np.empty(0, np.int64)
         ok = np.ones(n, bool)
         cut = (self.first[1:-1, None] - np.arange(1, k)).ravel() if k > 1 else np.empty(0, np.int64)
         ok[cut[(cut >= 0) & (cut < n)]] = False
-        code = roll(self.codes, k)
-        at = np.flatnonzero(ok)
-        return at, code[at]
+        return np.flatnonzero(ok)
 
     def word(self, i: int) -> bytes:
         return self.data[self.starts[i] : self.ends[i]]
 
 
+def pieces(data: bytes) -> np.ndarray:
+    """The eight bytes from each place of data on, as a number (zeros stand beyond its end)."""
+    return np.ndarray(len(data), "<u8", data + b"\0" * 8, 0, (1,))
+
+
+def same_words(a: Words, i: np.ndarray, b: Words, j: np.ndarray) -> np.ndarray:
+    """Whether word i of a and word j of b have the same bytes, for arrays of words."""
+    i, j = np.asarray(i), np.asarray(j)
+    x, y, size = a.starts[i], b.starts[j], a.ends[i] - a.starts[i]
+    same = size == b.ends[j] - b.starts[j]
+    open_ = np.flatnonzero(same)
+    for k in range(0, LONG_WORD, 8):
+        if not len(open_):
+            break
+        mask = _MASKS[np.minimum(size[open_] - k, 8)]
+        differ = (a.pieces[x[open_] + k] & mask) != (b.pieces[y[open_] + k] & mask)
+        same[open_[differ]] = False
+        open_ = open_[~differ]
+        open_ = open_[size[open_] > k + 8]
+    for o in open_.tolist():
+        same[o] = a.word(i[o]) == b.word(j[o])
+    return same
+
+
+def word_ids(w: Words) -> np.ndarray:
+    """A number for each word, equal exactly for words of equal bytes."""
+    _, first, ids = np.unique(w.codes, return_index=True, return_inverse=True)
+    if not same_words(w, np.arange(len(ids)), w, first[ids]).all():  # one code of several words
+        names: dict[bytes, int] = {}
+        ids = np.array([names.setdefault(w.word(i), len(names)) for i in range(len(w.codes))], np.int64)
+    return ids
+
+
 def roll(codes: np.ndarray, k: int) -> np.ndarray:
     """Codes of all runs of k values, an array shorter by k - 1."""
     n = len(codes) - k + 1

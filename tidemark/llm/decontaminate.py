@@ -3,25 +3,27 @@
 Each block of documents is a shard with its own suffix array over words.  The array holds the
 suffixes whose first words (as many as the shortest item has, three at most) start some test
 suffix; no other suffix can hold a window of an item.  It is ordered word by word, by 64-bit
-word codes.  Every test suffix is binary-searched in every shard; its two neighbours in the
-order give its longest verbatim match there, and the interval around it all places where a
-whole window of the item occurs.  Texts are whole within a shard, so a document's verdict needs
-no shuffle.
+word codes, to the depth of a window.  Every test suffix is binary-searched in every shard; the
+interval it spans holds all places where codes say that a whole window of the item occurs, and the
+words themselves decide.  Windows that follow each other in both texts make up the longest verbatim
+matches.  Texts are whole within a shard, so a document's verdict needs no shuffle.
 
-The benchmark goes to the tasks in slices of at most SLICE_WORDS words (its proven bound); a
-benchmark of more words passes the documents once per slice, chained, with what has been hit
-carried along each document, so its size has no limit.
+A Spark job cuts the benchmark into slices of at most SLICE_WORDS words (an item of more words is a
+slice alone), each a file in the shared folder.  Every slice is a pass over the documents, chained, with
+what has been hit carried along each document; a pass reads its own slice inside the tasks, so the
+driver holds the names of slices only.
 
 Defined cases: null text, empty text or text without words: no words, nothing hit, not
 contaminated.  Items with null or no words occur nowhere.  Items of fewer words than a window
 are one window.  Rows with one item_id are separate texts of one item, which counts once.  Equal
-windows in several items count for each.  Other columns pass through; columns named like a new
+windows in several items count for each.  item_id may be of any type; ids that are not whole
+numbers are given as strings.  Other columns pass through; columns named like a new
 one (n_words, n_hit, items, longest, matches, contaminated) are replaced.
 """
 
 from __future__ import annotations
 
-import hashlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,30 +36,29 @@ from . import common as c
 WINDOW = 10
 #: Words of the benchmark that a task holds at once: 8 bytes each and as many again for its indexes.
 SLICE_WORDS = 2_000_000
-MATCH = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("item_word", T.LongType()), T.StructField("doc_word", T.LongType()), T.StructField("length", T.LongType())]))
+
+
+def match_type(item: T.DataType) -> T.ArrayType:
+    item = T.LongType() if isinstance(item, T.IntegralType) else T.StringType()
+    return T.ArrayType(T.StructType([T.StructField("item_id", item), T.StructField("item_word", T.LongType()), T.StructField("doc_word", T.LongType()), T.StructField("length", T.LongType())]))
 
 
 class Query:
-    """A slice of the benchmark: its word codes, the suffix starts that begin a window, and their needed depths."""
-
-    def __init__(self, items: list[tuple[int, np.ndarray]], window: int):
-        self.window = window
-        self.words = np.concatenate([w for _, w in items])
-        self.start, self.need, self.room, self.item, self.offset = [], [], [], [], []
-        at = 0
-        for item, w in items:
-            need = min(window, len(w))
-            for i in range(len(w) - need + 1):
-                self.start.append(at + i)
-                self.need.append(need)
-                self.room.append(len(w) - i)
-                self.item.append(item)
-                self.offset.append(i)
-            at += len(w)
-        self.start, self.need, self.room, self.item, self.offset = (np.array(x, np.int64) for x in (self.start, self.need, self.room, self.item, self.offset))
-        self.depth = int(min(3, self.need.min()))
-        head = self.words[self.start[:, None] + np.arange(self.depth)]
-        self.heads = np.unique(_head(list(head.T)))
+    """A slice of the benchmark: its words, the suffix starts that begin a window, and their needed depths."""
+
+    def __init__(self, ids: list, texts: list[str], window: int):
+        self.words = words = c.Words([t.encode() for t in texts], kind=c.ALNUM, lower=True)
+        size = words.counts
+        need = np.minimum(size, window)
+        here = np.where(size > 0, size - need + 1, 0)
+        item = np.repeat(np.arange(len(ids)), here)
+        self.offset = np.arange(len(item)) - np.repeat(np.cumsum(here) - here, here)
+        self.ids = np.array([*ids, None], object)[:-1][item]
+        self.start, self.need, self.room = words.first[item] + self.offset, need[item], size[item] - self.offset
+        if len(self.start):
+            self.depth = int(min(3, self.need.min()))
+            head = words.codes[self.start[:, None] + np.arange(self.depth)]
+            self.heads = np.unique(_head(list(head.T)))
 
 
 def _head(columns: list[np.ndarray]) -> np.ndarray:
@@ -82,7 +83,7 @@ def suffix_array(words: c.Words, query: Query) -> tuple[np.ndarray, np.ndarray]:
     rank = np.zeros(len(at), np.int64)
     open_ = np.arange(len(at))
     depth = 0
-    while len(open_) and depth < query.room.max():
+    while len(open_) and depth < query.need.max():
         code = np.where(left[open_] > depth, words.codes[np.minimum(at[open_] + depth, len(words.codes) - 1)], np.uint64(0))
         order = np.lexsort((code, rank[open_]))
         o, code = open_[order], code[order]
@@ -126,7 +127,7 @@ def _bound(words, sa, left, query: Query, which, depth, above: bool) -> np.ndarr
     while len(open_):
         mid = (lo[open_] + hi[open_]) // 2
         q = which[open_]
-        common, less = _compare(words, sa[mid], left[mid], query.words, query.start[q], query.room[q], depth[open_])
+        common, less = _compare(words, sa[mid], left[mid], query.words.codes, query.start[q], query.room[q], depth[open_])
         right = less | (above & (common >= depth[open_]))
         lo[open_[right]] = mid[right] + 1
         hi[open_[~right]] = mid[~right]
@@ -134,50 +135,53 @@ def _bound(words, sa, left, query: Query, which, depth, above: bool) -> np.ndarr
     return lo
 
 
-def search(words: c.Words, query: Query):
-    """Every test suffix in one shard: (suffix, shard word, longest match there) of whole-window occurrences."""
-    sa, left = suffix_array(words, query)
+def search(words: c.Words, query: Query) -> tuple[np.ndarray, np.ndarray]:
+    """Every test suffix in one shard: (suffix, shard word) of whole-window occurrences."""
     none = np.empty(0, np.int64)
+    if not len(query.start):
+        return none, none
+    sa, left = suffix_array(words, query)
     if not len(sa):
-        return none, none, none
+        return none, none
     q = np.arange(len(query.start))
     lo = _bound(words.codes, sa, left, query, q, query.need, above=False)
     near = np.minimum(lo, len(sa) - 1)
-    common, _ = _compare(words.codes, sa[near], left[near], query.words, query.start, query.room, query.need)
+    common, _ = _compare(words.codes, sa[near], left[near], query.words.codes, query.start, query.room, query.need)
     q = q[(lo < len(sa)) & (common >= query.need)]
     if not len(q):
-        return none, none, none
+        return none, none
     lo = lo[q]
     hi = _bound(words.codes, sa, left, query, q, query.need[q], above=True)
     n = hi - lo
-    place = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+    place = sa[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
     q = np.repeat(q, n)
-    length, _ = _compare(words.codes, sa[place], left[place], query.words, query.start[q], query.room[q], query.room[q])
-    return q, sa[place], length
+    same = np.ones(len(q), bool)
+    for i in range(int(query.need[q].max())):  # codes have found them, words decide
+        some = np.flatnonzero(same & (query.need[q] > i))
+        same[some] = c.same_words(words, place[some] + i, query.words, query.start[q[some]] + i)
+    return q[same], place[same]
 
 
-def marker(query: Query):
+def marker(file: str | None, window: int, match: pa.DataType):
     """Adds one slice's hits to each document: hit words as bits, items, and longest matches with their places."""
 
     def run(batches):
+        query = load(file, window) if file else Query([], [], window)
         for part, raw in c.blocks(batches, limit=4 * c.BLOCK_BYTES):
             words = c.Words(raw, kind=c.ALNUM, lower=True)
-            q, place, length = search(words, query)
+            q, place = search(words, query)
             n = len(words.codes)
             hit = c.cover(n, place, query.need[q]) if len(q) else np.zeros(n, bool)
+            # Windows that follow each other in an item and in a document are one match.
+            order = np.lexsort((place, place - query.start[q]))
+            q, place = q[order], place[order]
+            line = place - query.start[q]
             doc = np.searchsorted(words.first, place, side="right") - 1
+            begin = np.flatnonzero((np.diff(line, prepend=-n - 1) != 0) | (np.diff(place, prepend=-2) != 1) | (np.diff(doc, prepend=-1) != 0) | (query.offset[q] == 0))
             told: dict[int, list] = {}
-            # The longest match of an item that starts at a place covers those that start inside it.
-            order = np.lexsort((place, query.item[q], doc))
-            last = None
-            for i in order.tolist():
-                d, item, p, end = int(doc[i]), int(query.item[q[i]]), int(place[i]), int(place[i] + length[i])
-                delta = p - int(query.offset[q[i]])
-                mark = (d, item, delta)
-                if last and last[0] == mark and end <= last[1]:
-                    continue
-                last = (mark, end)
-                told.setdefault(d, []).append({"item_id": item, "item_word": int(query.offset[q[i]]), "doc_word": p - int(words.first[d]), "length": int(length[i])})
+            for i, j in zip(begin, np.append(begin[1:], len(q)), strict=False):
+                d = int(doc[i])
+                told.setdefault(d, []).append({"item_id": query.ids[q[i]], "item_word": int(query.offset[q[i]]), "doc_word": int(place[i] - words.first[d]), "length": int(j - i - 1 + query.need[q[i]])})
             old_hits, old_matches = part.column(part.schema.get_field_index("__hits")), part.column(part.schema.get_field_index("__matches"))
             hits, matches, n_hit = [], [], []
             for d in range(len(raw)):
@@ -187,56 +191,76 @@ def marker(query: Query):
                     own = own | np.unpackbits(np.frombuffer(had, np.uint8), count=len(own)).view(bool)
                 n_hit.append(int(own.sum()))
                 hits.append(np.packbits(own).tobytes() if n_hit[-1] else None)
-                before = old_matches[d].as_py() if told.get(d) is None or old_matches[d].is_valid else None
+                before = old_matches[d].as_py() if old_matches[d].is_valid else None
                 matches.append([*(before or []), *told.get(d, [])] or None)
             columns = {name: part.column(i) for i, name in enumerate(part.schema.names)}
-            match = pa.list_(pa.struct([("item_id", pa.int64()), ("item_word", pa.int64()), ("doc_word", pa.int64()), ("length", pa.int64())]))
             yield pa.RecordBatch.from_pydict(columns | {"__words": pa.array(words.counts.astype(np.int64)), "__n_hit": pa.array(n_hit, pa.int64()), "__hits": pa.array(hits, pa.binary()), "__matches": pa.array(matches, match)})
 
     return run
 
 
-def slices(benchmark: DataFrame, window: int, most: int = SLICE_WORDS):
-    """The benchmark's items as word codes, in slices of bounded size (an item of more words is a slice alone)."""
-    got, size = [], 0
-    for r in benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").toLocalIterator():
-        codes = c.Words([r["text"].encode()], kind=c.ALNUM, lower=True).codes
-        if not len(codes):
-            continue
-        if got and size + len(codes) > most:
-            yield Query(got, window)
-            got, size = [], 0
-        got.append((r["item_id"] if r["item_id"] is not None else -1, codes))
-        size += len(codes)
-    if got:
-        yield Query(got, window)
+def slices(benchmark: DataFrame, most: int = SLICE_WORDS) -> list[str]:
+    """Files with a slice of the benchmark each: the item ids and texts of at most so many words."""
+    spark = benchmark.sparkSession
+    item = benchmark.schema["item_id"].dataType
+    ids = F.col("item_id").cast("long" if isinstance(item, T.IntegralType) else "string")
+    items = benchmark.where("text is not null").select(ids.alias("item_id"), F.col("text").cast("string").alias("text"))
+    kind = T.StructType([T.StructField("ids", T.ArrayType(items.schema["item_id"].dataType)), T.StructField("texts", T.ArrayType(T.StringType()))])
+    schema = pa.schema([("ids", pa.list_(pa.int64() if isinstance(item, T.IntegralType) else pa.string())), ("texts", pa.list_(pa.string()))])
+
+    def cut(batches):
+        got: list[tuple] = []
+        size = 0
+        row = lambda: pa.RecordBatch.from_pylist([{"ids": [x[0] for x in got], "texts": [x[1] for x in got]}], schema)
+        for batch in batches:
+            for r in batch.to_pylist():
+                n = len(c.Words([r["text"].encode()], kind=c.ALNUM).codes)
+                if got and size + n > most:
+                    yield row()
+                    got, size = [], 0
+                got.append((r["item_id"], r["text"]))
+                size += n
+        if got:
+            yield row()
+
+    # Words have two bytes at least with what parts them, mostly many more.
+    tasks = max(1, c.text_bytes(items) // (most * 4))
+    path = c.scratch_dir(spark)
+    items.repartition(tasks).mapInArrow(cut, kind).write.option("maxRecordsPerFile", 1).parquet(path)
+    return sorted(spark.read.schema(kind).parquet(path).inputFiles())
+
+
+@lru_cache(2)
+def load(file: str, window: int) -> Query:
+    """The slice in a file, read by a task."""
+    import pyarrow.parquet as pq
+
+    system, path = c.file_system(file)
+    rows = pq.read_table(path, filesystem=system, partitioning=None).to_pylist()
+    return Query([x for r in rows for x in r["ids"]], [x for r in rows for x in r["texts"]], window)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slice_words: int = SLICE_WORDS) -> DataFrame:
     """docs with n_words, n_hit, items (ids, ascending), matches (longest, with places), longest and contaminated."""
     c.small_batches(docs.sparkSession)
     docs = docs.drop("n_words", "n_hit", "items", "matches", "longest", "contaminated")
-    state = docs.withColumns({"__words": F.lit(None).cast("long"), "__n_hit": F.lit(0).cast("long"), "__hits": F.lit(None).cast("binary"), "__matches": F.lit(None).cast(MATCH)})
-    passes = list(slices(benchmark, window, slice_words))
-    for query in passes or [None]:
-        state = state.mapInArrow(marker(query) if query else _count, state.schema)
+    match = match_type(benchmark.schema["item_id"].dataType)
+    item = match.elementType["item_id"].dataType
+    arrow = pa.list_(pa.struct([("item_id", pa.int64() if isinstance(item, T.LongType) else pa.string()), ("item_word", pa.int64()), ("doc_word", pa.int64()), ("length", pa.int64())]))
+    state = docs.withColumns({"__words": F.lit(None).cast("long"), "__n_hit": F.lit(0).cast("long"), "__hits": F.lit(None).cast("binary"), "__matches": F.lit(None).cast(match)})
+    for file in slices(benchmark, slice_words) or [None]:
+        state = state.mapInArrow(marker(file, window, arrow), state.schema)
     return state.select(
         *docs.columns,
         F.col("__words").alias("n_words"),
-        F.coalesce("__n_hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.array_sort(F.array_distinct(F.coalesce(F.transform("__matches", lambda m: m["item_id"]), F.array().cast("array<long>")))).alias("items"),
-        F.coalesce("__matches", F.array().cast(MATCH)).alias("matches"),
+        F.col("__n_hit").alias("n_hit"),
+        F.array_sort(F.array_distinct(F.coalesce(F.transform("__matches", lambda m: m["item_id"]), F.array().cast(T.ArrayType(item))))).alias("items"),
+        F.coalesce("__matches", F.array().cast(match)).alias("matches"),
         F.coalesce(F.array_max(F.transform("__matches", lambda m: m["length"])), F.lit(0)).cast("long").alias("longest"),
         F.col("__hits").isNotNull().alias("contaminated"),
     )
 
 
-def _count(batches):
-    for part, raw in c.blocks(batches):
-        columns = {name: part.column(i) for i, name in enumerate(part.schema.names)}
-        yield pa.RecordBatch.from_pydict(columns | {"__words": pa.array(c.Words(raw, kind=c.ALNUM, lower=True).counts.astype(np.int64))})
-
-
 def op4(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -1,21 +1,19 @@
 """Substring dedup: prefix-partitioned suffix trees over the words of all documents.
 
-1.  Variable-length prefixes.  A hashed sample of the documents (it only plans, it never decides)
-    shows which one-word prefixes start more suffixes than a share of a task's memory; these are
-    split by their second word, heavy pairs by their third, and so on.  Each suffix belongs to
-    the group of its shortest prefix that is not heavy; groups are spread over so many tasks
-    that each holds about GROUP_WORDS suffixes.
-2.  Before the shuffle every task keeps one leaf per distinct window and slab of documents, that
-    of the smallest doc_id; the slab's other leaves below the same node are known to repeat it
-    and are reported at once.  So a passage that a third of all documents share sends one leaf
-    per slab, not one per document.
-3.  A group's task orders its suffixes.  Only nodes at a depth of min_words words or more matter,
-    so suffixes are ordered by 64-bit codes of their first min_words words, and a run of equal
-    codes is such a deep internal node (codes are compared within a group only, so the chance of
-    two windows being taken for one does not grow with the corpus as long as groups do not).
-    The node's smallest document keeps its words; each other leaf goes back to its document.
-4.  Reports and texts meet, dealt by document; overlapping windows merge into the maximal
-    repeated spans, which are cut.
+1.  Variable-length prefixes.  A suffix's prefix is its first word; where that word starts more
+    suffixes than a part of a group should hold, its first two words, then three.  A hashed sample,
+    counted by Spark, finds those words and pairs; it grows with the groups, only plans and never decides.
+2.  A window of min_words words belongs to the group of the prefix, of all that stand inside it, whose
+    code is smallest.  That depends on the window's words alone, so equal windows meet in one group; and
+    as neighbouring windows mostly share that prefix, they travel together as one run of text.  Each word
+    travels about 3 times, not min_words times, and whole words travel.
+3.  Before the shuffle every slab of documents keeps, of runs of equal words, those of the smallest
+    doc_id; the others are known to repeat it and are reported at once.  So a passage that a third of all
+    documents share sends a run per slab, not one per document.
+4.  A group's task orders its suffixes word by word (words are compared by their bytes) and finds the
+    suffix tree's deep internal nodes: leaves whose common prefix has min_words words or more.  The
+    node's smallest document keeps its words; the other leaves' windows are reported as spans.
+5.  Spans meet their documents in a join; together they are the maximal repeated spans, which are cut.
 
 Defined cases: a null or empty text has no words; texts of fewer than min_words words have no
 window; repeats inside one document stay; rows with equal doc_id count as one document, and each
@@ -38,254 +36,305 @@ from pyspark.sql import types as T
 from . import common as c
 
 MIN_WORDS = 13
-#: Suffixes that one group's task should hold, and text bytes that a task of the last step should.
-GROUP_WORDS = 2_000_000
-DEAL_BYTES = 24 << 20
-#: Text bytes within which equal windows are joined before the shuffle.
+#: Words of the longest prefix.
+PREFIX_WORDS = 3
+#: Suffixes that one group should hold; the groups' tasks (more groups share tasks, one after the other).
+GROUP_WORDS, MOST_TASKS = 700_000, 100_000
+#: Text bytes within which equal runs are joined before the shuffle.
 SLAB_BYTES = 4 << 20
-#: Bytes of text sampled to find heavy prefixes.
-PLAN_BYTES = 8 << 20
+#: Sampled text bytes that find heavy prefixes: at least, and for each group.
+PLAN_BYTES, PLAN_GROUP_BYTES = 8 << 20, 4096
+#: A prefix is heavy if it starts more than one in HEAVY * groups suffixes, or more than one in MOST_HEAVY:
+#: so there are fewer than MOST_HEAVY heavy words and as many heavy pairs, of 8 bytes each.
+HEAVY, MOST_HEAVY = 16, 1 << 20
 LAST = np.iinfo(np.int64).max
 
-KEY, PART = "__key", "__part"
-LEAVES = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("keys", T.BinaryType()), T.StructField("codes", T.BinaryType())])
+KEY, ROW = "__key", "__row"
+SENT = T.StructType([T.StructField("group", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("raw", T.LongType()), T.StructField("load", T.BinaryType())])
+REPORT = T.StructType([T.StructField(KEY, T.LongType()), T.StructField(ROW, T.LongType()), T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())])
+SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
+_ONE_LINE = bytes(0x20 if c.SPACES[x] else x for x in range(256))
 
 
 def with_key(docs: DataFrame) -> DataFrame:
-    """The order of documents: doc_id, then (without one) a hash of the text."""
+    """The order of documents: doc_id, then (without one) a hash of the text; and a number of the row's text."""
     spare = F.lit(int(LAST)) - F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 40))
-    return docs.withColumn(KEY, F.coalesce(F.col("doc_id").cast("long"), spare))
+    return docs.withColumns({KEY: F.coalesce(F.col("doc_id").cast("long"), spare), ROW: F.xxhash64("doc_id", "text")})
 
 
 # --------------------------------------------------------------------------- prefixes
-def plan_prefixes(docs: DataFrame, total_bytes: int, groups: int, k: int) -> list[np.ndarray]:
-    """For each length, the codes of prefixes that are too heavy for a group and are split further."""
-    share = max(1, -(-total_bytes // PLAN_BYTES))
-    raw = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(share)) == 0).select("text")
-
-    def count(batches):
-        for part, block in c.blocks(batches):
-            codes = c.Words(block).codes
-            if len(codes):
-                yield pa.RecordBatch.from_pydict({"codes": [codes.tobytes()], "n": [len(block)]})
-
-    got = [np.frombuffer(r["codes"], np.uint64) for r in raw.mapInArrow(count, "codes binary, n long").collect()]
-    words = np.concatenate([np.empty(0, np.uint64), *got])
-    limit = max(2, len(words) / groups / 8)
-    heavy: list[np.ndarray] = []
-    at = np.arange(len(words))
-    for length in range(1, k):
-        at = at[at + length <= len(words)]
-        code = prefix_code(words, at, length)
-        found, n = np.unique(code, return_counts=True)
-        found = found[n > limit]
-        if not len(found):
-            break
-        heavy.append(found)
-        at = at[np.isin(code, found)]
-    return heavy
-
-
-def prefix_code(words: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    out = words[at]
+def prefix_code(words: np.ndarray, length: int) -> np.ndarray:
+    """Codes of the prefixes of some words of all suffixes that have so many."""
+    out = words[: len(words) - length + 1]
     for i in range(1, length):
-        out = out * c.STEP + words[at + i]
+        out = out * c.STEP + words[i : len(words) - length + 1 + i]
     return c.mix(out)
 
 
-def group_of(words: np.ndarray, at: np.ndarray, heavy: list[np.ndarray], groups: int) -> np.ndarray:
-    """The group of the suffixes that start at the given words: that of their shortest light prefix."""
-    code = prefix_code(words, at, 1)
-    open_ = np.arange(len(at))
+def plan_prefixes(docs: DataFrame, total_bytes: int, groups: int, longest: int) -> list[np.ndarray]:
+    """For each length below the longest, the codes of prefixes that are too heavy for a group, in order."""
+    share = max(1, total_bytes // (PLAN_BYTES + PLAN_GROUP_BYTES * groups))
+    some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(share)) == 0).select("text")
+
+    def count(batches):
+        for _, raw in c.blocks(batches, limit=SLAB_BYTES):
+            words = c.Words(raw).codes
+            for length in range(1, longest):
+                if len(words) >= length:
+                    code, n = np.unique(prefix_code(words, length), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), length)), pa.array(code.view(np.int64)), pa.array(n)], names=["length", "code", "n"])
+
+    if longest < 2:
+        return []
+    counts = c.save(some.mapInArrow(count, "length long, code long, n long").groupBy("length", "code").agg(F.sum("n").alias("n")))
+    words = counts.where("length = 1").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    limit = max(2, words / groups / HEAVY, words / MOST_HEAVY)
+    found = counts.where(F.col("n") > limit).select("length", "code").toArrow()
+    length, code = (found.column(i).to_numpy() for i in (0, 1))
+    return [np.sort(code[length == i].view(np.uint64)) for i in range(1, longest)]
+
+
+def prefixes(words: np.ndarray, heavy: list[np.ndarray]) -> np.ndarray:
+    """For every suffix the code of its shortest prefix that is not heavy (or of the longest)."""
+    out = prefix_code(words, 1)
+    open_ = np.arange(len(words))
     for length, known in enumerate(heavy, 1):
-        here = code[open_]
+        if not len(known):
+            break
+        here = out[open_]
         found = np.minimum(np.searchsorted(known, here), len(known) - 1)
         open_ = open_[known[found] == here]
-        code[open_] = prefix_code(words, at[open_], length + 1)
-    return ((code >> np.uint64(33)) % np.uint64(groups)).astype(np.int32)
-
-
-# --------------------------------------------------------------------------- leaves
-def _pack_keys(keys: np.ndarray) -> bytes:
-    """Differences of 4 bytes where all fit (they compress), else 8 bytes; the first byte tells."""
-    step = np.diff(keys, prepend=keys[:1])
-    if len(keys) and np.abs(step).max() < 1 << 30:
-        return b"\x04" + keys[:1].tobytes() + step.astype(np.int32).tobytes()
-    return b"\x08" + keys.tobytes()
-
-
-def _unpack_keys(raw: bytes) -> np.ndarray:
-    if raw[:1] == b"\x04":
-        return np.frombuffer(raw, np.int64, 1, 1)[0] + np.cumsum(np.frombuffer(raw, np.int32, -1, 9), dtype=np.int64)
-    return np.frombuffer(raw, np.int64, -1, 1)
-
-
-def _row(part: int, kind: int, keys: np.ndarray, codes: np.ndarray) -> dict:
-    return {"part": int(part), "kind": kind, "keys": _pack_keys(keys), "codes": codes.tobytes()}
-
-
-def _batch(rows: list[dict]) -> pa.RecordBatch:
-    schema = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("codes", pa.binary())])
-    return pa.RecordBatch.from_pylist(rows, schema)
-
-
-def _cut(order_by: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """A stable order by small numbers, and the bounds of each."""
-    order = np.argsort(order_by.astype(np.uint16 if n <= 65536 else np.int64), kind="stable")
-    return order, np.searchsorted(order_by[order], np.arange(n + 1))
-
-
-def leaves(k: int, heavy: list[np.ndarray], groups: int, deals: int):
-    """Per slab: one leaf per distinct window for its group (kind 0), and the repeats already known (kind 1)."""
-
-    def flush(slab):
-        keys, codes, group = (np.concatenate(x) for x in zip(*slab, strict=True))
-        slab.clear()
-        order = np.lexsort((keys, codes))
-        keys, codes, group = keys[order], codes[order], group[order]
-        head = np.ones(len(codes), bool)
-        head[1:] = codes[1:] != codes[:-1]
-        same = np.zeros(len(codes), bool)  # the same document again
-        same[1:] = ~head[1:] & (keys[1:] == keys[:-1])
-        first = np.maximum.accumulate(np.where(head, np.arange(len(codes)), 0))
-        known = ~head & ~same & (keys > keys[first])
-        yield from _deal(keys[known], codes[known], deals, groups)
-        keys, codes, group = keys[head], codes[head], group[head]
-        o = np.lexsort((keys, group))
-        keys, codes, group = keys[o], codes[o], group[o]
-        bounds = np.searchsorted(group, np.arange(groups + 1))
-        rows = [_row(g, 0, keys[a:b], codes[a:b]) for g, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a]
-        for i in range(0, len(rows), 64):
-            yield _batch(rows[i : i + 64])
+        open_ = open_[open_ + length < len(words)]
+        out[open_] = prefix_code(words, length + 1)[open_]
+    return out
+
+
+def smallest(values: np.ndarray, width: int) -> np.ndarray:
+    """The smallest of each run of width values."""
+    out, have = values, 1
+    while have < width:
+        step = min(have, width - have)
+        out = np.minimum(out[: len(out) - step], out[step:])
+        have += step
+    return out
+
+
+# --------------------------------------------------------------------------- runs of windows
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of all runs that start at start and have size, one run after the other."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+def runs(words: c.Words, k: int, heavy: list[np.ndarray], groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows of one document and group: first word, word after the last, group."""
+    at = words.whole(k)
+    if not len(at):
+        return at, at, at
+    mark = smallest(prefixes(words.codes, heavy), k - len(heavy))[at]
+    doc = np.searchsorted(words.first, at, side="right")
+    new = np.ones(len(at), bool)
+    new[1:] = (mark[1:] != mark[:-1]) | (doc[1:] != doc[:-1])
+    start = np.flatnonzero(new)
+    last = np.append(start[1:], len(at)) - 1
+    return at[start], at[last] + k, (c.mix(mark[start]) % np.uint64(groups)).astype(np.int64)
+
+
+def _unlike(words: c.Words, start: np.ndarray, size: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs to send, and runs whose words a run of a smaller document in the same slab has too."""
+    word = _spread(start, size)
+    run = np.repeat(np.arange(len(start)), size)
+    code = np.add.reduceat(c.mix(words.codes[word] + (word - start[run]).astype(np.uint64) * c.STEP), np.cumsum(size) - size)
+    order = np.lexsort((key, code, size))
+    o, p = order[1:], order[:-1]
+    head = np.ones(len(order), bool)
+    head[1:] = (size[o] != size[p]) | (code[o] != code[p])
+    first = np.empty(len(order), np.int64)
+    first[order] = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
+    later = np.flatnonzero(key > key[first])
+    pair = _spread(start[later], size[later])
+    same = c.same_words(words, pair, words, _spread(start[first[later]], size[later]))
+    if len(later):
+        later = later[np.logical_and.reduceat(same, np.cumsum(size[later]) - size[later])]
+    sent = np.ones(len(start), bool)
+    sent[later] = False
+    return np.flatnonzero(sent), later
+
+
+def _row(group: int, kind: int, arrays: list[np.ndarray], text: bytes = b"") -> tuple:
+    load = b"".join(x.tobytes() for x in arrays) + text
+    return int(group), kind, len(arrays[0]), len(load), pa.compress(load, "zstd", asbytes=True)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=SENT.names)
+
+
+def leaves(k: int, heavy: list[np.ndarray], groups: int):
+    """Per slab: a row of runs for each group (kind 0), and a row of the repeats already known (kind 1)."""
 
     def run(batches):
-        slab, size = [], 0
-        for part, raw in c.blocks(batches):
+        for part, raw in c.blocks(batches, limit=SLAB_BYTES):
             words = c.Words(raw)
-            at, code = words.windows(k)
-            if len(at):
-                key = c.long_array(part.column(part.schema.get_field_index(KEY)))
-                slab.append((key[words.doc_of()[at]], code, group_of(words.codes, at, heavy, groups)))
-            size += len(words.data)
-            if size >= SLAB_BYTES and slab:
-                yield from flush(slab)
-                size = 0
-        if slab:
-            yield from flush(slab)
+            start, stop, group = runs(words, k, heavy, groups)
+            if not len(start):
+                continue
+            doc = np.searchsorted(words.first, start, side="right") - 1
+            key, row = (c.long_array(part.column(part.schema.get_field_index(n)))[doc] for n in (KEY, ROW))
+            begin = start - words.first[doc]
+            sent, known = _unlike(words, start, stop - start, key)
+            rows = []
+            if len(known):
+                rows.append(_row(int(key[known[0]]) % groups, 1, [key[known], row[known], begin[known], begin[known] + (stop - start)[known]]))
+            sent = sent[np.argsort(group[sent], kind="stable")]
+            low = words.starts[start[sent]]
+            size = words.ends[stop[sent] - 1] - low + 1
+            flat = np.frombuffer(words.data.translate(_ONE_LINE), np.uint8)[_spread(low, size)]
+            ends = np.cumsum(size)
+            flat[ends - 1] = 10
+            flat = flat.tobytes()
+            cut = np.flatnonzero(np.diff(group[sent], prepend=-1))
+            for a, b in zip(cut, [*cut[1:], len(sent)], strict=True):
+                i = sent[a:b]
+                rows.append(_row(group[i[0]], 0, [key[i], row[i], begin[i]], flat[ends[a] - size[a] : ends[b - 1]]))
+                if len(rows) >= 64:
+                    yield _batch(rows)
+                    rows = []
+            if rows:
+                yield _batch(rows)
 
     return run
 
 
-def _deal(keys: np.ndarray, codes: np.ndarray, deals: int, groups: int):
-    """Reports for documents, parted as the texts of the last step will be (kind 1)."""
-    if not len(keys):
-        return
-    part = keys % deals
-    order = np.lexsort((keys, part))
-    keys, codes, part = keys[order], codes[order], part[order]
-    bounds = np.flatnonzero(np.diff(part, prepend=-1))
-    rows = [_row(part[a], 1, keys[a:b], codes[a:b]) for a, b in zip(bounds, [*bounds[1:], len(part)], strict=True)]
-    for i in range(0, len(rows), 64):
-        yield _batch(rows[i : i + 64])
-
-
-def subtrees(deals: int, groups: int):
-    """Per group: order the leaves, find the deep internal nodes, report leaves that are not the node's first."""
+# --------------------------------------------------------------------------- subtrees
+def deep_nodes(ids: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes below nodes of k words or more, in order, and the first of each node; ids number the words."""
+    bits = max(1, int(ids.max()).bit_length())
+    each = max(1, 63 // bits)
+    rank = np.zeros(len(at), np.int64)
+    open_ = np.arange(len(at))
+    depth = 0
+    while depth < k and len(open_):  # suffixes that are alone so far are leaves of shallower nodes
+        step = min(each, k - depth)
+        key = np.zeros(len(open_), np.int64)
+        for j in range(depth, depth + step):
+            key = key << bits | ids[at[open_] + j]
+        order = np.lexsort((key, rank[open_])) if depth else np.argsort(key, kind="stable")
+        open_, key = open_[order], key[order]
+        base = rank[open_]
+        new = np.ones(len(open_), bool)
+        new[1:] = (base[1:] != base[:-1]) | (key[1:] != key[:-1])
+        rank[open_] = np.cumsum(new)
+        open_ = open_[~(new & np.append(new[1:], True))]
+        depth += step
+    return open_, np.flatnonzero(np.diff(rank[open_], prepend=-1))
+
+
+def spans(key: np.ndarray, row: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of words of rows, those that touch as one."""
+    order = np.lexsort((start, row, key))
+    key, row, start, stop = key[order], row[order], start[order], stop[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
+    # Within a row, a span goes on while a start is not beyond what came before it.
+    owner = np.cumsum(new)
+    reach = np.maximum.accumulate(stop + owner * (1 << 40)) - owner * (1 << 40)
+    new[1:] |= start[1:] > reach[:-1]
+    at = np.flatnonzero(new)
+    return key[at], row[at], start[at], reach[np.append(at[1:], len(key)) - 1] if len(at) else reach
+
+
+def _reports(key, row, start, stop) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in spans(key, row, start, stop)], names=REPORT.names)
+
+
+def subtrees(k: int):
+    """Rows of a group follow each other: order its suffixes, find deep nodes, report leaves that are not the node's first."""
+
+    def tree(got: list):
+        key, row, begin = (np.concatenate([x[i] for x in got]) for i in range(3))
+        words = c.Words(b"".join(x[3] for x in got).split(b"\n")[:-1])
+        at = words.whole(k)
+        leaf, node = deep_nodes(c.word_ids(words), at, k)
+        if not len(leaf):
+            return
+        at = at[leaf]
+        run = np.searchsorted(words.first, at, side="right") - 1
+        own = key[run]
+        owner = np.repeat(np.minimum.reduceat(own, node), np.diff(np.append(node, len(own))))
+        later = np.flatnonzero(own > owner)
+        if len(later):
+            start = (begin[run] + at - words.first[run])[later]
+            yield _reports(own[later], row[run[later]], start, start + k)
 
     def run(batches):
-        got: dict[int, list] = {}
+        now, got = None, []
         for batch in batches:
-            ready = []
             for r in batch.to_pylist():
+                load = pa.decompress(r["load"], r["raw"], "zstd", asbytes=True)
+                n = r["n"]
                 if r["kind"]:
-                    ready.append(r)
-                else:
-                    got.setdefault(r["part"], []).append((_unpack_keys(r["keys"]), np.frombuffer(r["codes"], np.uint64)))
-            if ready:
-                yield _batch(ready)
-        for group in sorted(got):
-            keys, codes = (np.concatenate(x) for x in zip(*got.pop(group), strict=True))
-            order = np.argsort(codes)
-            codes = codes[order]
-            equal = np.zeros(len(codes) + 1, bool)
-            equal[1:-1] = codes[1:] == codes[:-1]
-            deep = equal[1:] | equal[:-1]  # leaves below a deep internal node
-            codes, keys = codes[deep], keys[order[deep]]
-            if not len(codes):
-                continue
-            node = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
-            owner = np.repeat(np.minimum.reduceat(keys, node), np.diff(np.append(node, len(codes))))
-            later = keys > owner
-            yield from _deal(keys[later], codes[later], deals, groups)
+                    yield _reports(*np.frombuffer(load, np.int64).reshape(4, n))
+                    continue
+                if r["group"] != now:
+                    if got:
+                        yield from tree(got)
+                    now, got = r["group"], []
+                got.append((*np.frombuffer(load, np.int64, 3 * n).reshape(3, n), load[24 * n :]))
+        if got:
+            yield from tree(got)
 
     return run
 
 
-# --------------------------------------------------------------------------- cutting
-def _pair(keys: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    return c.mix(keys.astype(np.uint64) * np.uint64(c.MULT) + codes)
+def repeats(docs: DataFrame, k: int = MIN_WORDS) -> DataFrame:
+    """(__key, __row, start, stop): spans of words of docs (with_key) that stand in a document of smaller key too."""
+    spark = docs.sparkSession
+    total = c.text_bytes(docs)
+    groups = c.partitions(spark, total // 6, GROUP_WORDS)
+    heavy = plan_prefixes(docs, total, groups, min(PREFIX_WORDS, k))
+    sent = docs.select(KEY, ROW, "text").mapInArrow(leaves(k, heavy, groups), SENT)
+    tasks = min(groups, MOST_TASKS)
+    sent = sent.repartitionById(tasks, F.pmod("group", F.lit(tasks)).cast("int"))
+    if groups > tasks:
+        sent = sent.sortWithinPartitions("group")
+    return c.save(sent.mapInArrow(subtrees(k), REPORT))
 
 
-def cutter(k: int, names: list[str], full: bool):
-    """Reports of a deal come first, then its texts: cut the words of reported windows."""
+# --------------------------------------------------------------------------- cutting
+def cutter(names: list[str], full: bool):
+    """Texts without the words of their spans."""
+    span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def run(batches):
-        reports, told, ready = [], set(), None
         for part, raw in c.blocks(batches):
-            kind = part.column(part.schema.get_field_index("__kind")).to_numpy(zero_copy_only=False)
-            if kind[0] == 0:
-                for r in part.select(["__keys", "__codes"]).slice(0, int((kind == 0).sum())).to_pylist():
-                    keys = _unpack_keys(r["__keys"])
-                    told.update(np.unique(keys).tolist())
-                    reports.append(_pair(keys, np.frombuffer(r["__codes"], np.uint64)))
-                skip = int((kind == 0).sum())
-                part, raw = part.slice(skip), raw[skip:]
-                if not raw:
-                    continue
-            if ready is None:
-                ready = np.unique(np.concatenate([np.empty(0, np.uint64), *reports]))
-                reports = []
-            yield _cleaned(part, raw, k, names, ready, told, full)
+            told = part.column(part.schema.get_field_index("__spans")).to_pylist()
+            n_words, n_removed, cut, kept = [], [], [], []
+            for x, found in zip(raw, told, strict=True):
+                words = x.split()
+                n_words.append(len(words))
+                if found:
+                    gone = np.zeros(len(words), bool)
+                    for s in found:
+                        gone[s["start"] : s["stop"]] = True
+                    edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
+                    cut.append([{"start": int(a), "stop": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)])
+                    n_removed.append(int(gone.sum()))
+                    words = compress(words, ~gone)
+                else:
+                    cut.append([])
+                    n_removed.append(0)
+                kept.append(b" ".join(words))
+            columns = {n: part.column(part.schema.get_field_index(n)) for n in names}
+            columns |= {"n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "spans": pa.array(cut, span)}
+            if full:
+                columns["kept_text"] = pa.array(kept, pa.binary()).cast(pa.string())
+            else:
+                columns["kept_sha256"] = pa.array([hashlib.sha256(x).hexdigest() for x in kept])
+            yield pa.RecordBatch.from_pydict(columns)
 
     return run
 
 
-def _cleaned(part, raw, k, names, ready, told, full):
-    key = c.long_array(part.column(part.schema.get_field_index(KEY)))
-    hit = [i for i, x in enumerate(key.tolist()) if x in told]
-    masks = {}
-    if hit:
-        words = c.Words([raw[i] for i in hit])
-        at, code = words.windows(k)
-        pair = _pair(key[np.array(hit)][words.doc_of()[at]], code)
-        found = ready[np.minimum(np.searchsorted(ready, pair), len(ready) - 1)] == pair
-        gone = c.cover(len(words.codes), at[found], k)
-        for j, i in enumerate(hit):
-            masks[i] = gone[words.first[j] : words.first[j + 1]]
-    n_words, n_removed, spans, kept = [], [], [], []
-    for i, x in enumerate(raw):
-        words = x.split()
-        gone = masks.get(i)
-        n_words.append(len(words))
-        if gone is None or not gone.any():
-            n_removed.append(0)
-            spans.append([])
-        else:
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
-            spans.append([{"start": int(a), "stop": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)])
-            n_removed.append(int(gone.sum()))
-            words = compress(words, ~gone)
-        kept.append(b" ".join(words))
-    span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-    columns = {n: part.column(part.schema.get_field_index(n)) for n in names}
-    columns |= {"n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "spans": pa.array(spans, span)}
-    if full:
-        columns["kept_text"] = pa.array(kept, pa.binary()).cast(pa.string())
-    else:
-        columns["kept_sha256"] = pa.array([hashlib.sha256(x).hexdigest() for x in kept])
-    return pa.RecordBatch.from_pydict(columns)
-
-
 def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, digest: bool = False) -> DataFrame:
     """Cut every window of min_words words that also starts in a document of smaller doc_id.
 
@@ -293,32 +342,16 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, digest: bool =
     repeats of this document) and kept_text, the words left joined by one space; with digest, the
     SHA-256 of kept_text stands in its place, so that texts need not leave the task.
     """
-    spark = docs.sparkSession
-    c.small_batches(spark)
-    k = min_words
+    c.small_batches(docs.sparkSession)
     last = "kept_sha256" if digest else "kept_text"
     docs = with_key(docs.drop("n_words", "n_removed", "spans", last))
-    total = c.text_bytes(docs)
-    groups = c.partitions(spark, total // 6, GROUP_WORDS)
-    deals = c.partitions(spark, total, DEAL_BYTES) | 1
-    heavy = plan_prefixes(docs, total, groups, k)
-    sent = docs.select(KEY, "text").mapInArrow(leaves(k, heavy, groups, deals), LEAVES)
-    # Reports already known travel with the leaves and are spread by their own part.
-    sent = sent.repartitionById(groups, F.pmod("part", F.lit(groups)).cast("int"))
-    reports = c.save(sent.mapInArrow(subtrees(deals, groups), LEAVES))
-    del sent
-    c.release(spark)
-
-    names = [x for x in docs.columns if x not in (KEY,)]
+    told = repeats(docs, min_words).groupBy(KEY, ROW).agg(F.collect_list(F.struct("start", "stop")).alias("__spans"))
+    names = [x for x in docs.columns if x not in (KEY, ROW)]
     if digest:
         names = ["doc_id"]
-        docs = docs.select("doc_id", "text", KEY)
-    rows = docs.select(*[F.col(n) for n in dict.fromkeys([*names, "text"])], F.col(KEY), F.lit(1).alias("__kind"), F.lit(None).cast("binary").alias("__keys"), F.lit(None).cast("binary").alias("__codes"), F.pmod(KEY, F.lit(deals)).cast("int").alias(PART))
-    told = reports.select(*[F.lit(None).cast(docs.schema[n].dataType).alias(n) for n in dict.fromkeys([*names, "text"])], F.lit(None).cast("long").alias(KEY), F.lit(0).alias("__kind"), F.col("keys").alias("__keys"), F.col("codes").alias("__codes"), F.col("part").alias(PART))
-    both = told.unionByName(rows).repartitionById(deals, F.col(PART)).sortWithinPartitions("__kind")
-    span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
-    out = T.StructType([*[T.StructField(n, docs.schema[n].dataType) for n in names], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", span), T.StructField(last, T.StringType())])
-    return both.mapInArrow(cutter(k, names, not digest), out)
+        docs = docs.select("doc_id", "text", KEY, ROW)
+    out = T.StructType([*[docs.schema[n] for n in names], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", SPAN), T.StructField(last, T.StringType())])
+    return docs.join(told.hint("shuffle_hash"), [KEY, ROW], "left").drop(KEY, ROW).mapInArrow(cutter(names, not digest), out)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

@@ -24,7 +24,6 @@ from __future__ import annotations
 import gzip
 import hashlib
 import uuid
-from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -81,18 +80,9 @@ def with_record(rows: DataFrame) -> DataFrame:
 INDEX = "archive string, offset long, length long, page_id long, url string, digest string, kind string"
 
 
-def _system(uri: str):
-    """The file system that a URI names, and the path there."""
-    from pyarrow import fs
-
-    if urlparse(uri).scheme in ("", "file"):
-        return fs.LocalFileSystem(), unquote(urlparse(uri).path)
-    return fs.FileSystem.from_uri(uri)
-
-
 def _writer(folder: str):
     def run(batches):
-        system, path = _system(folder)
+        system, path = c.file_system(folder)
         system.create_dir(path, recursive=True)
         out = name = None
         offset = 0
@@ -151,8 +141,12 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[: int(fields["content-length"])]
 
 
-def read(index: DataFrame) -> DataFrame:
-    """The records that index rows select: (page_id, url, kind, digest, refers_to, bytes, body_sha1, body)."""
+def read(index: DataFrame, bodies: bool = True) -> DataFrame:
+    """The records that index rows select: (page_id, url, kind, digest, refers_to, bytes, body_sha1, body).
+
+    bytes is the length of a response's body as read back, and what a revisit record says of its payload.  Without
+    bodies, they are read and checked in the tasks and left there.
+    """
     picked = index.select("archive", "offset", "length").repartition(c.partitions(index.sparkSession, 0, 1), "archive").sortWithinPartitions("archive", "offset")
 
     def run(batches):
@@ -161,18 +155,18 @@ def read(index: DataFrame) -> DataFrame:
             start = 0
             for i in range(1, len(names) + 1):
                 if i == len(names) or names[i] != names[start]:
-                    yield from _fetch(names[start], list(zip(*(x[start:i] for x in ranges), strict=True)))
+                    yield from _fetch(names[start], list(zip(*(x[start:i] for x in ranges), strict=True)), bodies)
                     start = i
 
     return picked.mapInArrow(run, "page_id long, url string, kind string, digest string, refers_to long, bytes long, body_sha1 string, body binary")
 
 
-def _fetch(file: str, ranges: list[tuple[int, int]]):
+def _fetch(file: str, ranges: list[tuple[int, int]], bodies: bool):
     names = ["page_id", "url", "kind", "digest", "refers_to", "bytes", "body_sha1", "body"]
     kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
     number = lambda x: int(x[10:-1]) if x and x[10:-1] else None  # noqa: E731  <urn:page:N>
     at = 0
-    system, path = _system(file)
+    system, path = c.file_system(file)
     with system.open_input_file(path) as f:
         for start, stop in coalesced(ranges):
             f.seek(start)
@@ -185,14 +179,14 @@ def _fetch(file: str, ranges: list[tuple[int, int]]):
                 sha1 = hashlib.sha1(body).hexdigest()
                 if fields["warc-type"] == "response" and sha1 != digest:
                     raise ValueError(f"damaged record at {offset} of {file}")
-                out.append((number(fields["warc-record-id"]), fields.get("warc-target-uri"), fields["warc-type"], digest, number(fields.get("warc-refers-to")), int(fields["x-payload-length"]), sha1, body))
+                out.append((number(fields["warc-record-id"]), fields.get("warc-target-uri"), fields["warc-type"], digest, number(fields.get("warc-refers-to")), len(body) if fields["warc-type"] == "response" else int(fields["x-payload-length"]), sha1, body if bodies else None))
                 at += 1
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
-    back = read(write(pages, c.scratch_dir(spark)))
+    back = read(write(pages, c.scratch_dir(spark)), bodies=False)
     return back.select("page_id", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to")
 
 
