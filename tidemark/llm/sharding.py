@@ -10,7 +10,14 @@ and so its shard: shards hold near-equal bytes and consecutive keys.  A shard's
 the nearest end of the group of equal texts it falls into if that costs at most EDGE of a
 shard; larger groups are split there.
 
-Law: `bytes`.
+Law: `bytes`.  A shard's size differs from total / shards by less than EDGE of it at each end, or by
+less than the size of the largest text.  A group of equal texts is split only where keeping it whole
+would cost more than that: kept whole, a group of a third of all bytes would fill two shards and leave
+others short by the same.
+
+What comes to the driver is bounded whatever the input: at most MOST_RANGES ranges (of more bytes
+each then), SAMPLES_PER_RANGE keys for each of them on average (24 bytes a key), eight times that in
+the ranges that are subdivided, and one row of totals per range.
 
 Defined cases: null text has size 1 and groups with empty text; rows without doc_id order first
 within their text; equal rows take consecutive slots in any order; very long texts may leave
@@ -28,47 +35,64 @@ from pyspark.sql import functions as F
 from . import common as c
 
 SHARDS = 8
-#: Samples a range gets on average; collected samples are SAMPLES_PER_RANGE * ranges keys of 16 bytes.
+#: Samples a range gets on average.
 SAMPLES_PER_RANGE = 8
-#: Sum of sizes that a range should have, and the least number of ranges.
-RANGE_BYTES, LEAST_RANGES = 64 << 20, 1024
+#: Sum of sizes that a range should have, and the least and greatest number of ranges.
+RANGE_BYTES, LEAST_RANGES, MOST_RANGES = 64 << 20, 1024, 32_768
 #: Part of a shard by which its edge may move so that equal texts stay together.
 EDGE = 0.005
 
 
-def _draw(rows: DataFrame, rate, seed: int) -> list:
-    """Keys drawn with chance size * rate (at most 1); the draw is a hash, not a random number."""
+Keys = tuple[np.ndarray, np.ndarray]
+
+
+def _draw(rows: DataFrame, rate, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys drawn with chance size * rate (at most 1), and their weights; the draw is a hash, not a random number."""
     u = F.pmod(F.xxhash64("__h", "__id", "text_crc32", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    return rows.where(u < F.col("__w") * rate).select("__h", "__id", F.greatest(F.lit(1.0), F.col("__w") * rate).alias("w")).collect()
+    got = rows.where(u < F.col("__w") * rate).select("__h", "__id", F.greatest(F.lit(1.0), F.col("__w") * rate).alias("w")).toArrow()
+    h, i, w = (got.column(k).to_numpy() for k in range(3))
+    order = np.lexsort((w, i, h))
+    return h[order], i[order], w[order]
 
 
-def _quantiles(keys: list, ranges: int) -> list[tuple[int, int]]:
-    keys = sorted((r["__h"], r["__id"], r["w"]) for r in keys)
-    if not keys or ranges < 2:
-        return []
-    total = np.cumsum([k[2] for k in keys])
+def _quantiles(h: np.ndarray, i: np.ndarray, w: np.ndarray, ranges: int) -> Keys:
+    """The keys (in order) at the ends of equal shares of their weight."""
+    if not len(h) or ranges < 2:
+        return h[:0], i[:0]
+    total = np.cumsum(w)
     at = np.searchsorted(total, total[-1] * np.arange(1, ranges) / ranges)
-    return sorted({keys[i][:2] for i in at})
+    return _distinct(h[at], i[at])
+
+
+def _distinct(h: np.ndarray, i: np.ndarray) -> Keys:
+    order = np.lexsort((i, h))
+    h, i = h[order], i[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (i[1:] != i[:-1])
+    return h[new], i[new]
 
 
-def _locate(splitters: list[tuple[int, int]]):
-    """A column function: how many splitters are at most a key."""
-    h = np.array([s[0] for s in splitters], np.int64)
-    i = np.array([s[1] for s in splitters], np.int64)
+def _below(splitters: Keys, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many splitters are at most each key."""
+    h, i = splitters
+    out = np.searchsorted(h, x, side="left")
+    top = np.searchsorted(h, x, side="right")
+    for j in np.flatnonzero(out < top):  # the hash of a group that has splitters inside
+        out[j] += np.searchsorted(i[out[j] : top[j]], y[j], side="right")
+    return out.astype(np.int32)
+
+
+def _locate(splitters: Keys):
+    """A column function: the range of a key."""
 
     @F.pandas_udf("int")
     def place(a: pd.Series, b: pd.Series) -> pd.Series:
-        x, y = a.to_numpy(np.int64), b.to_numpy(np.int64)
-        out = np.searchsorted(h, x, side="left")
-        top = np.searchsorted(h, x, side="right")
-        for j in np.flatnonzero(out < top):  # the hash of a group that has splitters inside
-            out[j] += np.searchsorted(i[out[j] : top[j]], y[j], side="right")
-        return pd.Series(out.astype(np.int32))
+        return pd.Series(_below(splitters, a.to_numpy(np.int64), b.to_numpy(np.int64)))
 
     return place
 
 
-def _totals(rows: DataFrame, splitters) -> dict[int, tuple[int, int, float]]:
+def _totals(rows: DataFrame, splitters: Keys) -> dict[int, tuple[int, int, float]]:
     by = rows.groupBy(_locate(splitters)("__h", "__id").alias("r")).agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.sum("__w").alias("w"))
     return {r["r"]: (r["size"], r["n"], r["w"]) for r in by.collect()}
 
@@ -87,22 +111,21 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     weight = F.col("size") + F.lit(all_["size"] / all_["n"])
     rows, keys = rows.withColumn("__w", weight), keys.withColumn("__w", weight)
     total = 2.0 * all_["size"]
-    ranges = max(LEAST_RANGES, all_["size"] // RANGE_BYTES)
-    splitters = _quantiles(_draw(keys, F.lit(SAMPLES_PER_RANGE * ranges / total), 1), ranges)
+    ranges = min(MOST_RANGES, max(LEAST_RANGES, all_["size"] // RANGE_BYTES))
+    splitters = _quantiles(*_draw(keys, F.lit(SAMPLES_PER_RANGE * ranges / total), 1), ranges)
     totals = _totals(keys, splitters)
     for attempt in range(2, 5):  # subdivide overfull ranges by samples of their own
         over = {r: min(64, int(np.ceil(w * ranges / total))) for r, (_, n, w) in totals.items() if w > 2 * total / ranges and n > 1}
         if not over:
             break
         part = keys.withColumn("r", _locate(splitters)("__h", "__id")).where(F.col("r").isin(list(over)))
-        found = _draw(part.select("__h", "__id", "text_crc32", "__w"), F.lit(8 * SAMPLES_PER_RANGE * ranges / total), attempt)
-        finder: dict[int, list] = {}
-        for x in found:
-            finder.setdefault(_place_one(splitters, (x["__h"], x["__id"])), []).append(x)
-        more = {s for r, xs in finder.items() if r in over for s in _quantiles(xs, over[r])}
-        if not more - set(splitters):
+        h, i, w = _draw(part.select("__h", "__id", "text_crc32", "__w"), F.lit(8 * SAMPLES_PER_RANGE * ranges / total), attempt)
+        of = _below(splitters, h, i)  # in order, as the keys are
+        cuts = [_quantiles(*(x[slice(*np.searchsorted(of, [r, r + 1]))] for x in (h, i, w)), n) for r, n in over.items()]
+        more = _distinct(*(np.concatenate([a, *b]) for a, b in zip(splitters, zip(*cuts, strict=True), strict=True)))
+        if len(more[0]) == len(splitters[0]):
             break
-        splitters = sorted(set(splitters) | more)
+        splitters = more
         totals = _totals(keys, splitters)
 
     before, starts = (0, 0), {}
@@ -122,12 +145,6 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     return placed.select(*docs.columns, "size", "text_crc32", index.cast("int").alias("shard"), (F.col("__n") + F.col("__k") - first).cast("long").alias("slot"))
 
 
-def _place_one(splitters: list[tuple[int, int]], key: tuple[int, int]) -> int:
-    import bisect
-
-    return bisect.bisect_right(splitters, key)
-
-
 def _edges(keys: DataFrame, splitters, starts, size: int, rows: int, shards: int) -> list[tuple[int, int]]:
     """Bytes and rows before each shard but the first, moved to a group's end where that is near."""
     place = _locate(splitters)
