@@ -10,14 +10,19 @@ whose second part is what unlabelled text costs as negatives, less the positives
 a step would make it negative, the step goes back up instead, so that it can't be fitted below
 zero.  The logistic loss makes sigmoid(f) an estimate of the probability of label 1.
 
-Bounds (parameters): at most POSITIVES and UNLABELLED texts are learned from, drawn by a hash of
-doc_id, as word codes; at most FEATURES words get a weight.  Every text is scored whole.
-
-Defined cases: null and empty text score the bias alone; repeated rows score alike and count once
-for learning; rows without doc_id are scored, not held out, never learned from; labels that
-contradict each other count as toxic; without any confirmed toxic text every score is the prior
-(0.01 without labels); an empty table gives an empty table.  Other columns pass through; columns
-named score, predicted or held_out are replaced.
+1.  Which words get a weight: for every word and beginning, the texts with it are counted among the
+    positives and among all texts that may be learned from, over all of them; the FEATURES whose shares
+    differ most for their spread are kept.
+2.  The weights: fitted to a bounded sample, at most POSITIVES confirmed and UNLABELLED other texts (those
+    whose doc_id has the smallest hash), each as the codes of the features it has: at most FEATURES of
+    8 bytes a text, whatever its length.
+3.  Every text is scored whole.
+
+Defined cases: null and empty text score the bias alone; equal texts score alike and count once for
+learning, as toxic if one of them is; rows without doc_id are scored, not held
+out, never learned from; labels that contradict each other count as toxic; without any confirmed
+toxic text every score is the prior (0.01 without labels); an empty table gives an empty table.  Other
+columns pass through; columns named score, predicted or held_out are replaced.
 """
 
 from __future__ import annotations
@@ -30,8 +35,12 @@ from pyspark.sql import types as T
 
 from . import common as c
 
-POSITIVES, UNLABELLED, FEATURES = 3000, 8000, 8192
-#: A word must be in so many learned texts.
+POSITIVES, UNLABELLED, FEATURES = 4000, 12000, 8192
+#: Confirmed ids (8 bytes each) that may be broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+#: Text bytes whose words a task counts before it gives them out.
+SLAB_BYTES = 16 << 20
+#: A word must be in so many texts.
 LEAST_TEXTS = 4
 #: Beginnings of words, in bytes.
 BEGINNINGS = (4, 5, 6, 7)
@@ -45,17 +54,70 @@ def remainder(column: str = "doc_id"):
     return F.crc32(F.encode(F.col(column).cast("string"), "UTF-8")) % 4
 
 
-def _distinct_words(batches):
+def _kinds(raw: list[bytes]) -> tuple[c.Words, np.ndarray, np.ndarray]:
+    """The distinct words and beginnings of each text of a block: (words, texts, codes)."""
+    words = c.Words(raw, kind=c.ALNUM, lower=True, beginnings=BEGINNINGS)
+    doc = words.doc_of()
+    codes, at = np.concatenate([words.codes, *words.beginnings]), np.concatenate([doc] * (1 + len(BEGINNINGS)))
+    at, codes = at[codes != 0], codes[codes != 0]
+    order = np.lexsort((at, codes))
+    at, codes = at[order], codes[order]
+    new = np.ones(len(codes), bool)
+    new[1:] = (codes[1:] != codes[:-1]) | (at[1:] != at[:-1])
+    return words, at[new], codes[new]
+
+
+def _texts_with(batches):
+    """(code, p, u): in how many confirmed and in how many texts of a slab each word is."""
+    got: list = []
+    size = 0
+
+    def flush():
+        if got:
+            codes, p, u = (np.concatenate(x) for x in zip(*got, strict=True))
+            found, at = np.unique(codes, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), *(pa.array(np.bincount(at, x, len(found)).astype(np.int64)) for x in (p, u))], names=["code", "p", "u"])
+            got.clear()
+
     for part, raw in c.blocks(batches):
-        words = c.Words(raw, kind=c.ALNUM, lower=True, beginnings=BEGINNINGS)
-        kinds = [words.codes, *words.beginnings]
-        own = [np.unique(np.concatenate([x[a:b] for x in kinds])).tobytes() for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
-        yield pa.RecordBatch.from_pydict({"codes": pa.array(own, pa.binary())})
+        mark = part.column(part.schema.get_field_index("__positive")).to_numpy(zero_copy_only=False).astype(bool)
+        _, at, codes = _kinds(raw)
+        if len(codes):
+            start = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+            got.append((codes[start], np.add.reduceat(mark[at].astype(np.int64), start), np.diff(np.append(start, len(codes)))))
+        size += sum(map(len, raw))
+        if size >= SLAB_BYTES:
+            yield from flush()
+            size = 0
+    yield from flush()
+
+
+def choose(rows: DataFrame) -> np.ndarray:
+    """The words whose shares of confirmed and of all texts (rows: __positive, text) differ most for their spread."""
+    n = rows.agg(F.count("*").alias("u"), F.coalesce(F.sum(F.col("__positive").cast("long")), F.lit(0)).alias("p")).first()
+    counts = rows.select("__positive", "text").mapInArrow(_texts_with, "code long, p long, u long").groupBy("code").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    np_, nu = float(max(n["p"], 1)), float(max(n["u"], 1))
+    share = (F.col("p") + F.col("u") + 0.5) / (np_ + nu + 1)
+    spread = F.sqrt(share * (1 - share) * (1 / np_ + 1 / nu))
+    z = F.abs(F.col("p") / np_ - F.col("u") / nu) / F.greatest(spread, F.lit(1e-9))
+    best = counts.where(F.col("p") + F.col("u") >= LEAST_TEXTS).select("code", z.alias("z")).where(F.col("z") > LEAST_SPREADS).orderBy(F.desc("z"), "code").limit(FEATURES)
+    return np.sort(best.toArrow().column(0).to_numpy().view(np.uint64))
+
+
+def _learned(rows: DataFrame, features: np.ndarray, most: int) -> list[np.ndarray]:
+    """The features of each text of rows, at most so many."""
 
+    def run(batches):
+        for _, raw in c.blocks(batches):
+            _, at, codes = _kinds(raw)
+            keep = features[np.minimum(np.searchsorted(features, codes), len(features) - 1)] == codes
+            order = np.argsort(at[keep], kind="stable")
+            at, codes = at[keep][order], codes[keep][order]
+            bounds = np.searchsorted(at, np.arange(len(raw) + 1))
+            yield pa.RecordBatch.from_pydict({"codes": pa.array([codes[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())})
 
-def _learned(rows: DataFrame) -> list[np.ndarray]:
-    got = rows.select("text").mapInArrow(_distinct_words, "codes binary").distinct().toArrow().column("codes").to_pylist()
-    return [np.frombuffer(x, np.uint64) for x in sorted(got)]
+    got = rows.select("text").mapInArrow(run, "codes binary").orderBy(F.xxhash64("codes"), "codes").limit(most)
+    return [np.frombuffer(x, np.uint64) for x in sorted(got.toArrow().column("codes").to_pylist())]
 
 
 class Sparse:
@@ -75,22 +137,6 @@ class Sparse:
         return np.bincount(self.index, values[self.row], width)
 
 
-def choose(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
-    """The words whose shares of positive and unlabelled texts differ most for their spread."""
-    p, np_ = np.unique(np.concatenate([np.empty(0, np.uint64), *positive]), return_counts=True)
-    u, nu = np.unique(np.concatenate([np.empty(0, np.uint64), *unlabelled]), return_counts=True)
-    words = np.union1d(p, u)
-    a, b = np.zeros(len(words)), np.zeros(len(words))
-    a[np.searchsorted(words, p)] = np_
-    b[np.searchsorted(words, u)] = nu
-    share = (a + b + 0.5) / (len(positive) + len(unlabelled) + 1)
-    spread = np.sqrt(share * (1 - share) * (1 / max(len(positive), 1) + 1 / max(len(unlabelled), 1)))
-    z = np.abs(a / max(len(positive), 1) - b / max(len(unlabelled), 1)) / np.maximum(spread, 1e-9)
-    z[(a + b < LEAST_TEXTS) | (words == 0)] = 0
-    best = np.argsort(-z, kind="stable")[:FEATURES]
-    return np.sort(words[best[z[best] > LEAST_SPREADS]])
-
-
 def train(positive: Sparse, unlabelled: Sparse, width: int, prior: float) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk (Adam, all texts in each step)."""
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -122,17 +168,29 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, flo
     nothing = np.empty(0, np.uint64), np.empty(0), float(np.log(prior / (1 - prior)))
     if not n["toxic"]:
         return nothing
-    draw = lambda most, of, seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, most / of)) + 1
-    # At most about POSITIVES ids of 8 bytes.
-    ids = open_.where("toxic = 1").where(draw(POSITIVES, n["toxic"], 5)).select("doc_id")
+    ids = c.save(open_.where("toxic = 1 and doc_id is not null").select(F.col("doc_id").alias("__label")))
+    bounded = ids.count() <= BROADCAST_IDS
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(remainder() != 2)
-    positive = _learned(docs.join(F.broadcast(ids), "doc_id", "left_semi"))
-    unlabelled = _learned(docs.where(draw(UNLABELLED, max(docs.count(), 1), 6)))
-    if not positive or not unlabelled:
-        return nothing
-    features = choose(positive, unlabelled)
+    marks = docs.join(F.broadcast(ids) if bounded else ids, docs["doc_id"] == ids["__label"], "left").select("doc_id", F.xxhash64("text").alias("__text"), F.col("__label").isNotNull().alias("__positive"))
+    # Of equal texts the one of the smallest doc_id is learned from; only ids and hashes of texts move.
+    groups = c.save(marks.groupBy("__text").agg(F.min("doc_id").alias("doc_id"), F.max("__positive").alias("__positive"), F.count("*").alias("n")))
+    toxic = c.save(groups.where("__positive").select(F.col("doc_id").alias("__id")).distinct())
+    copies = c.save(groups.where("n > 1").select("__text", F.col("doc_id").alias("__first")))
+    near = lambda x: F.broadcast(x) if x.count() <= BROADCAST_IDS else x
+    again = c.save(docs.select("doc_id", F.xxhash64("text").alias("__text")).join(near(copies), "__text").where(F.col("doc_id") != F.col("__first")).select("doc_id").distinct())
+    rows = docs.join(near(again), "doc_id", "left_anti").join(near(toxic), F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", F.col("__id").isNotNull().alias("__positive"))
+    features = choose(rows)
     if not len(features):
         return nothing
+
+    def drawn(some: DataFrame, most: int, seed: int) -> list[np.ndarray]:
+        picked = some.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(most)
+        # At most so many ids of 8 bytes.
+        return _learned(some.join(F.broadcast(picked), "doc_id", "left_semi"), features, most)
+
+    positive, unlabelled = drawn(rows.where("__positive"), POSITIVES, 5), drawn(rows, UNLABELLED, 6)
+    if not positive or not unlabelled:
+        return nothing
     weights, bias = train(Sparse(positive, features), Sparse(unlabelled, features), len(features), prior)
     return features, weights, bias
 
