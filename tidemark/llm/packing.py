@@ -6,8 +6,12 @@ at a time: it counts the pieces of each length, takes the longest that is left,
 multiset of the others fills the window closest to its capacity.  Reachable sums are the set
 bits of one integer per step (a length that occurs k times is offered as 1, 2, 4, ... copies),
 and walking back through the steps gives how many of each length to take.  The pattern is
-used as often as the counts allow before the next one is sought.  A rest that no pattern can
-complete is cut at the window's edge only where the last windows of a task would stay open.
+used as often as the counts allow before the next one is sought.  Windows that the rests of
+a batch can't fill to the last token stay open: their rests wait for the next batch.  At a task's
+end (or when more than half a batch waits) open windows' rests are laid end to end and cut at the
+windows' edges, and what is left over, less than a window, is cut into sequences of powers of two,
+which need no padding.  So nothing is padded, whatever the number of tasks; each adds nine short
+sequences at most.
 
 Tasks pack on their own, so nothing is shuffled or gathered; sequence ids carry the task's
 number.  A task that is run again packs the same rows the same way.
@@ -123,20 +127,43 @@ def packer(path: str, window: int, end: int, digest: bool):
             raw = ids.tobytes()
             return (doc, start, len(ids), zlib.crc32(raw) if digest else raw, total, number, offset)
 
-        def pack():
+        def put(pieces: list[tuple]):
             nonlocal sequence
+            offset = 0
+            for x in pieces:
+                ready.append(piece(*x, sequence, offset))
+                offset += len(x[2])
+            sequence += 1
+
+        def pack(last: bool = False):
             by: dict[int, list] = {}
             for x in rests:
                 by.setdefault(len(x[2]), []).append(x)
+            rests.clear()
             for pattern, times in plan({k: len(v) for k, v in by.items()}, window):
+                full = sum(k * n for k, n in pattern) == window
                 for _ in range(times):
-                    offset = 0
-                    for length, copies in pattern:
-                        for _ in range(copies):
-                            ready.append(piece(*by[length].pop(), sequence, offset))
-                            offset += length
-                    sequence += 1
+                    pieces = [by[length].pop() for length, copies in pattern for _ in range(copies)]
+                    put(pieces) if full else rests.extend(pieces)
+            if last or len(rests) > PACK_PIECES // 2:
+                cut(last)
+
+        def cut(last: bool):
+            """Rests end to end: whole windows, and at the end powers of two."""
+            todo, left = rests[::-1], sum(len(x[2]) for x in rests)
             rests.clear()
+            while left >= window or (last and left):
+                room = window if left >= window else 1 << (left.bit_length() - 1)
+                left -= room
+                pieces = []
+                while room:
+                    doc, start, ids, total = todo.pop()
+                    pieces.append((doc, start, ids[:room], total))
+                    if len(ids) > room:
+                        todo.append((doc, start + room, ids[room:], total))
+                    room -= len(pieces[-1][2])
+                put(pieces)
+            rests.extend(todo)
 
         def batch():
             names = ["doc_id", "start", "length", "ids_crc32" if digest else "ids", "doc_tokens", "sequence_id", "offset"]
@@ -159,7 +186,7 @@ def packer(path: str, window: int, end: int, digest: bool):
                         pack()
             if len(ready) > 2000:
                 yield batch()
-        pack()
+        pack(last=True)
         if ready:
             yield batch()
 
