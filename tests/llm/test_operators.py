@@ -118,6 +118,28 @@ def test_sharding(spark, docs, odd):
     assert sharding.shard(odd.limit(0)).count() == 0
 
 
+def test_sharding_against_a_plain_version(spark, docs):
+    """Records in the order of their keys, cut where a shard's bytes are full or a group ends near there."""
+    rows = QUERIES["op1_sampled_splitters"](spark, D).collect()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    from pyspark.sql import functions as F
+
+    hashes = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("h")).collect()}
+    order = sorted(texts, key=lambda i: (hashes[i], i))
+    assert [r.doc_id for r in sorted(rows, key=lambda r: (r.shard, r.slot))] == order
+    size = {i: len((texts[i] or "").encode()) + 1 for i in texts}
+    total, at, starts = sum(size.values()), 0, []
+    for n, i in enumerate(order):
+        starts.append((at, n == 0 or hashes[order[n - 1]] != hashes[i]))
+        at += size[i]
+    shard = {r.doc_id: r.shard for r in rows}
+    for s in range(1, 8):
+        want, edge = total * s // 8, total * sharding.EDGE / 8
+        first = next(n for n, i in enumerate(order) if shard[i] >= s)
+        whole = [x for x, new in starts if new and abs(x - want) <= edge]
+        assert starts[first][0] == min(whole or [x for x, _ in starts], key=lambda x: (abs(x - want), x))
+
+
 def test_hot_group_is_split(spark):
     df = spark.range(4000).selectExpr("id as doc_id", "case when id % 3 = 0 then 'the same hot text' else concat('text number ', id) end as text")
     sizes = collections.Counter()
@@ -147,6 +169,45 @@ def test_toxicity_risk_stays_non_negative():
     assert score(more).mean() > 0.6 and score(neg).mean() < 0.1
 
 
+def toxicity_plain(docs, labels):
+    """The same classifier with dictionaries: which words get a weight, and every text's score."""
+    words = lambda t: re.findall(rb"[0-9a-z\x80-\xff]+", lower(t).encode())
+    kinds = lambda t: {(0, w) for w in words(t)} | {(k, w[:k]) for w in words(t) for k in toxicity.BEGINNINGS if len(w) > k}
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    toxic = {}
+    for i, x in labels:
+        if not held(i) and x is not None:
+            toxic[i] = max(x, toxic.get(i, 0))
+    prior = min(max(sum(toxic.values()) / len(toxic), 0.005), 0.5)
+    sets, first = {i: kinds(t) for i, t in docs}, {}
+    for i, t in sorted(docs):
+        if not held(i):
+            first.setdefault(t, i)
+    alike = {i: {j for j, x in docs if x == t} for i, t in docs}
+    open_ = sorted(first.values())
+    bad = [i for i in open_ if any(toxic.get(j) for j in alike[i])]
+    u, p = collections.Counter(w for i in open_ for w in sets[i]), collections.Counter(w for i in bad for w in sets[i])
+    best = []
+    for w in u:
+        share = (u[w] + p[w] + 0.5) / (len(open_) + len(bad) + 1)
+        spread = math.sqrt(share * (1 - share) * (1 / len(bad) + 1 / len(open_)))
+        z = abs(p[w] / len(bad) - u[w] / len(open_)) / max(spread, 1e-9)
+        if u[w] + p[w] >= toxicity.LEAST_TEXTS and z > toxicity.LEAST_SPREADS:
+            best.append((-z, w))
+    names = {w: n for n, (_, w) in enumerate(sorted(best)[: toxicity.FEATURES])}
+    row = lambda i: tuple(sorted(names[w] for w in sets[i] if w in names))
+    sparse = lambda ids: toxicity.Sparse([np.array(x, np.uint64) for x in sorted(row(i) for i in ids)], np.arange(len(names), dtype=np.uint64))
+    weights, bias = toxicity.train(sparse(bad), sparse(open_), len(names), prior)
+    return {i: 1 / (1 + math.exp(-(bias + sum(weights[j] for j in row(i))))) for i in sets}
+
+
+def test_toxicity_against_a_plain_version(spark, docs):
+    labels = spark.read.parquet(f"{D}/labels.parquet")
+    got = {r.doc_id: r.score for r in QUERIES["op3_nnpu_toxicity"](spark, D).collect()}
+    want = toxicity_plain([(r.doc_id, r.text) for r in docs.collect()], [(r.doc_id, r.toxic) for r in labels.collect()])
+    assert got == pytest.approx(want, abs=0.02)
+
+
 def test_toxicity_odd(spark, odd):
     labels = spark.createDataFrame([(1, 1), (4, None), (9, 0)], "doc_id long, toxic int")
     rows = toxicity.toxicity(odd.withColumn("score", odd.doc_id), labels).collect()
@@ -451,6 +512,33 @@ def test_packing(spark, docs, odd):
     assert packing.pack(odd.limit(0)).count() == 0 and packing.pack(odd).count() >= len(ODD)
 
 
+def padding(rows):
+    """Share of tokens that are padding: sequences go to 1024, but for those of a power of two."""
+    size = collections.Counter()
+    for r in rows:
+        size[r.sequence_id] += r.length
+    full = {s: n if n & (n - 1) == 0 else 1024 for s, n in size.items()}
+    return 1 - sum(size.values()) / sum(full.values())
+
+
+@pytest.mark.parametrize("parts", [1, 200])
+def test_padding_does_not_depend_on_the_number_of_tasks(spark, parts):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").repartition(parts)
+    rows = packing.pack(docs, digest=True).collect()
+    assert padding(rows) == 0
+    assert sum(r.length for r in rows) == sum({r.doc_id: r.doc_tokens for r in rows}.values())
+
+
+def test_packing_query(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.default_vocabulary())
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{D}/documents.parquet").collect()}
+    for r in QUERIES["op8_minimum_bin_slack"](spark, D).collect():
+        ids = np.array([*tokenizer.encode(texts[r.doc_id] or "", add_special_tokens=False).ids, 0], "<u4")
+        assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
+
+
 def test_fill():
     rng = np.random.default_rng(7)
     for _ in range(60):
@@ -508,6 +596,30 @@ def test_licenses(spark, docs, odd):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_licenses_inside_lines(spark):
+    filler = " ".join(f"word{i}" for i in range(300))
+    mit, bsd2 = licenses.TEMPLATES["MIT"][-1], licenses.TEMPLATES["BSD-2-Clause"][-1]
+    rows = [
+        (1, f"{filler} Licensed under the Apache License, Version 2.0. {filler}"),
+        (2, f"{filler} {mit} {filler} {mit}"),
+        (3, f"{filler} {bsd2[:400]} other words here {bsd2[400:]} {filler}"),
+        (4, f"Copyright 2020 Nobody {mit}"),
+        (5, filler + " the license of the software and the following conditions " + filler),
+        (6, f"{filler} This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. {filler}"),
+        (7, None),
+        (8, ""),
+    ]
+    got = {r.doc_id: [(m.license, m.first_word, m.n_words, m.level) for m in r.matches] for r in licenses.scan(spark.createDataFrame(rows, SCHEMA), inside=True).collect()}
+    assert ("Apache-2.0", 300, 8, "passage") in got[1] and {x[0] for x in got[1]} == {"Apache-2.0"}
+    n = len(re.findall(r"[a-z0-9]+", mit.lower()))
+    assert [x[1:3] for x in sorted(got[2]) if x[0] == "MIT" and x[2] == n] == [(300, n), (600 + n, n)]
+    assert "BSD-2-Clause" in {x[0] for x in got[3]} and "MIT" in {x[0] for x in got[4]}
+    assert got[5] == got[7] == got[8] == [] and "LGPL-3.0" in {x[0] for x in got[6]}
+    own = {"Own": ["alpha beta gamma delta epsilon zeta eta theta"]}
+    one = licenses.scan(spark.createDataFrame([(1, f"{filler} alpha beta gamma delta epsilon zeta eta theta {filler}")], SCHEMA), own, inside=True).first().matches
+    assert [(m.license, m.first_word, m.n_words, m.dice) for m in one] == [("Own", 300, 8, 1.0)]
+
+
 # ---------------------------------------------------------------- the queries and the pipeline
 def test_queries_run(spark):
     assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)] and set(ORACLES) <= set(QUERIES)

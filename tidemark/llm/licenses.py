@@ -7,6 +7,15 @@ m * least / (2 - least) and m * (2 - least) / least, so only templates within th
 candidates, and only passages that hold some template's bigram are looked at.  Common bigrams
 of all passages of a block and all templates are counted at once.
 
+With inside, passages within longer lines and paragraphs are found as well: runs of words that begin
+with a bigram of the template, are as long as it or shorter, and end with one.  Only places where as
+many of the template's bigrams as it needs stand within its length are looked at; of overlapping
+runs the one of highest Dice counts, and none that overlaps a line, paragraph or text that
+matches the same license.
+
+Templates are a parameter: texts by license name, such as full license texts from a list of them.  Those
+given here are the full short licenses and the notices of the long ones.
+
 Defined cases: null or empty text and passages of fewer than two words match nothing; a template
 found in several passages counts once per passage (equal passages at several levels once);
 ties for the best match go to the template named first in the alphabet; repeated rows are scanned
@@ -25,7 +34,7 @@ from pyspark.sql import types as T
 from . import common as c
 
 LEAST = 0.8
-LEVELS = ("line", "paragraph", "document")
+LEVELS = ("line", "paragraph", "document", "passage")
 
 # Notices and texts of common licenses, by SPDX identifier.
 TEMPLATES = {
@@ -34,6 +43,7 @@ TEMPLATES = {
         "Licensed under the MIT License.",
         "This project is licensed under the terms of the MIT license.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ],
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
@@ -50,9 +60,36 @@ TEMPLATES = {
     "BSD-3-Clause": [
         "Released under the BSD 3-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ],
+    "BSD-2-Clause": [
+        "Released under the BSD 2-Clause License.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ],
+    "LGPL-3.0": [
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
+    "LGPL-2.1": [
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ],
+    "AGPL-3.0": [
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ],
+    "EPL-2.0": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    ],
+    "Zlib": [
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    ],
+    "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt)"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
-    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "ISC": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
     "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
@@ -70,6 +107,8 @@ class Templates:
         words = c.Words([t.encode() for name in sorted(texts) for t in texts[name]], kind=c.ALNUM, lower=True)
         at, code = words.windows(2)
         owner = words.doc_of()[at]
+        #: Bigrams of each template, repeated ones too.
+        self.length = np.bincount(owner, minlength=len(self.names))
         self.bigrams = np.unique(code)
         self.holds = np.zeros((len(self.bigrams), len(self.names)), np.int64)
         self.holds[np.searchsorted(self.bigrams, code), owner] = 1
@@ -93,7 +132,36 @@ def _passages(words: c.Words) -> dict[str, np.ndarray]:
     return {"line": line, "paragraph": np.cumsum(new)[np.searchsorted(filled, line)], "document": doc}
 
 
-def matches(raw: list[bytes], templates: Templates) -> dict[int, list[dict]]:
+def _inside(words: c.Words, at: np.ndarray, code: np.ndarray, known: np.ndarray, templates: Templates, found: dict[int, list[dict]]) -> None:
+    """Adds runs of words within lines and paragraphs that match a template and overlap no match of the same license."""
+    doc = words.doc_of()
+    for t in np.argsort(-templates.length, kind="stable").tolist():  # a whole license before an excerpt of it
+        name = templates.names[t]
+        spot = np.flatnonzero((known >= 0) & (templates.holds[np.maximum(known, 0), t] == 1))
+        need, length = int(templates.low[t]), int(templates.length[t])
+        if len(spot) < need or not need:
+            continue
+        # Starts from which enough of the template's bigrams follow within its length, in one document.
+        last = spot[need - 1 :]
+        first = spot[: len(last)]
+        first = first[(at[last] - at[first] < length) & (doc[at[last]] == doc[at[first]])]
+        runs = []
+        for i in first.tolist():
+            end = int(np.searchsorted(at, min(at[i] + length, words.first[doc[at[i]] + 1] - 1)))
+            j = int(spot[np.searchsorted(spot, end) - 1])
+            n = len(np.unique(code[i : j + 1]))
+            own = code[i : j + 1][templates.holds[np.maximum(known[i : j + 1], 0), t] * (known[i : j + 1] >= 0) == 1]
+            dice = 2 * len(np.unique(own)) / (n + templates.sizes[t])
+            if dice >= templates.least:
+                runs.append((-float(dice), int(at[i]), int(at[j]) + 2))
+        for dice, start, stop in sorted(runs):
+            d = int(doc[start])
+            start, stop = start - int(words.first[d]), stop - int(words.first[d])
+            if all(m["license"] != name or m["first_word"] >= stop or m["first_word"] + m["n_words"] <= start for m in found.get(d, [])):
+                found.setdefault(d, []).append({"license": name, "dice": -dice, "level": "passage", "first_word": start, "n_words": stop - start})
+
+
+def matches(raw: list[bytes], templates: Templates, inside: bool = False) -> dict[int, list[dict]]:
     """For each text of a block that holds a license: its matching passages."""
     words = c.Words(raw, kind=c.ALNUM, lower=True)
     at, code = words.windows(2)
@@ -105,13 +173,13 @@ def matches(raw: list[bytes], templates: Templates) -> dict[int, list[dict]]:
     doc = words.doc_of()
     seen = set()
     for level, passage in _passages(words).items():
-        inside = passage[at] == passage[at + 1]
-        hit = is_known & inside
+        whole = passage[at] == passage[at + 1]
+        hit = is_known & whole
         some = np.unique(passage[at[hit]])
         if not len(some):
             continue
         # Distinct bigrams of the passages that hold a template's bigram.
-        mine = np.flatnonzero(inside & np.isin(passage[at], some))
+        mine = np.flatnonzero(whole & np.isin(passage[at], some))
         number = np.searchsorted(some, passage[at[mine]])
         order = np.lexsort((code[mine], number))
         number, mine = number[order], mine[order]
@@ -133,10 +201,12 @@ def matches(raw: list[bytes], templates: Templates) -> dict[int, list[dict]]:
                 if key not in seen:
                     seen.add(key)
                     found.setdefault(d, []).append({"license": name, "dice": float(dice[p]), "level": level, "first_word": int(w[0] - words.first[d]), "n_words": int(w[1] - w[0])})
+    if inside:
+        _inside(words, at, code, np.where(is_known, known, -1), templates, found)
     return found
 
 
-def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, least: float = LEAST) -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, least: float = LEAST, inside: bool = False) -> DataFrame:
     """docs with matches: (license, dice, level, first_word, n_words) of every passage that is like a template."""
     own = Templates(templates or TEMPLATES, least)
     docs = docs.drop("matches")
@@ -145,7 +215,7 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, least:
     def run(batches):
         kind = pa.list_(pa.struct([("license", pa.string()), ("dice", pa.float64()), ("level", pa.string()), ("first_word", pa.int64()), ("n_words", pa.int64())]))
         for part, raw in c.blocks(batches):
-            found = matches(raw, own)
+            found = matches(raw, own, inside)
             columns = {name: part.column(i) for i, name in enumerate(part.schema.names)}
             yield pa.RecordBatch.from_pydict(columns | {"matches": pa.array([found.get(i, []) for i in range(len(raw))], kind)})
 
@@ -154,7 +224,7 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, least:
 
 def op9(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = scan(docs)
+    found = scan(docs, inside=True)
     best = F.element_at(F.array_sort("matches", lambda a, b: F.when(a["dice"] > b["dice"], -1).when(a["dice"] < b["dice"], 1).when(a["license"] < b["license"], -1).when(a["license"] > b["license"], 1).otherwise(0)), 1)
     best = F.when(F.size("matches") > 0, best)
     return found.select(
