@@ -3,7 +3,7 @@
 Words: runs of letters and digits as they are (nothing is folded), runs of marks, and single characters
 of scripts written without blanks; every text has an opening before its first word.
 
-1.  Slabs of trusted documents count their pairs.  Shards, dealt by the pair's second word (those of often
+1.  Slabs of trusted documents count their pairs.  Shards, dealt by the pair's context (those of often
     words by the pair), add them up, and give out pairs seen CUT times or more, what each word and each
     context has, and how many pairs were seen 1, 2, 3, 4 times: tables that grow with the trusted text.
     Counts of counts give the discounts.  Pairs below CUT give their whole count to the lower order.
@@ -52,10 +52,10 @@ CUT = 2
 BROADCAST_IDS = 1_000_000
 #: Languages whose bounds (a row each) may be broadcast.
 BROADCAST_LANGUAGES = 10_000
-#: Words of the model (24 bytes each) that may be broadcast to its pairs; more are joined by a shuffle.
+#: Words of the model (40 bytes each, as words and as contexts) that may be broadcast to its pairs; more are joined by a shuffle.
 BROADCAST_WORDS = 2_000_000
 #: Grams (24 bytes each) whose gains go to all tasks, and the bits of the filter of all grams.
-HOT, FILTER_BITS = 1 << 20, 28
+HOT, FILTER_BITS = 1 << 18, 27
 #: Bytes of the filter that are put together at once.
 PIECE = 1 << 16
 #: Text bytes whose grams a task joins before it gives them out.
@@ -110,8 +110,8 @@ def _unpacked(sizes: list[int], raw: int, load: bytes, kinds: tuple) -> list[np.
     return out
 
 
-def often_words(docs: DataFrame, total_bytes: int) -> np.ndarray:
-    """Codes of words that more than one in OFTEN words of a sample is: fewer than OFTEN."""
+def often_contexts(docs: DataFrame, total_bytes: int) -> np.ndarray:
+    """Codes of the opening and of contexts that more than one in OFTEN words of a sample is: at most OFTEN."""
     some = docs.where(F.pmod(F.xxhash64("text"), F.lit(max(1, total_bytes // PLAN_BYTES))) == 0).select("text")
 
     def count(batches):
@@ -121,7 +121,8 @@ def often_words(docs: DataFrame, total_bytes: int) -> np.ndarray:
 
     counts = c.save(some.mapInArrow(count, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    return np.sort(counts.where(F.col("n") > max(1, total // c.OFTEN)).select("b").toArrow().column(0).to_numpy().view(np.uint64))
+    found = counts.where(F.col("n") > max(1, total // c.OFTEN)).select("b").toArrow().column(0).to_numpy().view(np.uint64)
+    return np.sort(c.mix(np.append(found, OPENING) ^ CONTEXT))
 
 
 # --------------------------------------------------------------------------- the model
@@ -139,7 +140,7 @@ def _pairs(shards: int, often: np.ndarray):
                 continue
             code, first, n = np.unique(pair_code(x, b), return_index=True, return_counts=True)
             x, b = x[first], b[first]
-            deal = np.where(np.isin(b, often), c.mix(code), b) % np.uint64(shards)
+            deal = np.where(np.isin(x, often), c.mix(code), x) % np.uint64(shards)
             order = np.lexsort((x, deal))
             x, b, n, deal = x[order], b[order], n[order].astype(np.uint32), deal[order]
             cut = np.flatnonzero(np.diff(deal, prepend=np.uint64(1 << 63)))
@@ -193,12 +194,36 @@ def discounts(n1: float, n2: float, n3: float, n4: float) -> tuple[float, float,
     return tuple(min(max(d, 0.05), i - 0.05) for i, d in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3)))
 
 
+def _sorted(rows: DataFrame) -> list[np.ndarray]:
+    """Columns of a bounded table, in order of the first, a code."""
+    got = rows.toArrow()
+    columns = [got.column(i).to_numpy() for i in range(got.num_columns)]
+    order = np.argsort(columns[0].view(np.uint64))
+    return [columns[0].view(np.uint64)[order], *(x[order] for x in columns[1:])]
+
+
+def _gain(tables, high: np.ndarray):
+    """Pairs (x, b, n) to (gram, c, gain): what a pair adds to its context's back-off weight and its word's probability."""
+
+    def run(batches):
+        (context, t, back), (word, lp) = tables.value
+        for batch in batches:
+            x, b = (batch.column(i).to_numpy().view(np.uint64) for i in (0, 1))
+            n = batch.column(2).to_numpy()
+            i, j = np.searchsorted(context, x), np.searchsorted(word, b)
+            low = back[i] + lp[j]
+            gain = np.log((n - high[np.minimum(n, 3) - 1]) / t[i] + np.exp(low)) - low
+            yield pa.RecordBatch.from_arrays([_long(pair_code(x, b)), pa.array(n), pa.array(gain.astype(np.float32))], names=["gram", "c", "gain"])
+
+    return run
+
+
 def model(trusted: DataFrame, cut: int = CUT) -> tuple[DataFrame, float]:
     """(gram, c, gain) of the words, contexts and pairs of trusted texts, and the log probability of an unknown word."""
     spark = trusted.sparkSession
     total = c.text_bytes(trusted)
     shards = c.partitions(spark, total // 6, SHARD_ROWS)
-    pairs = trusted.select("text").mapInArrow(_pairs(shards, often_words(trusted, total)), PAIRS)
+    pairs = trusted.select("text").mapInArrow(_pairs(shards, often_contexts(trusted, total)), PAIRS)
     counts = c.save(pairs.repartitionById(shards, F.col("part")).mapInArrow(_add_up(cut), COUNTS))
     before = c.save(counts.where("kind = 0").groupBy("x").agg(*[F.sum(k).alias(k) for k in ("n", "n1", "n2", "n3", "n4")]))
     said = c.save(counts.where("kind = 1").groupBy("b").agg(F.sum("n").alias("c"), F.sum("n1").alias("n")))
@@ -218,11 +243,13 @@ def model(trusted: DataFrame, cut: int = CUT) -> tuple[DataFrame, float]:
     # What contexts hold back: the discounts of pairs that are kept, and pairs below the cut whole.
     back = sum((F.col(f"n{i}") * (float(i) if i < cut else high[i - 1]) for i in (1, 2, 3)), F.lit(0.0))
     before = before.select("x", F.col("n").alias("t"), F.log(back / F.col("n")).alias("back"))
-    small = each["words"] <= BROADCAST_WORDS
-    near = lambda table: F.broadcast(table) if small else table
-    both = counts.where("kind = 2").select("x", "b", "n").join(near(before), "x").join(near(words.select("b", "lp")), "b")
-    p = (F.col("n") - by(F.col("n"), high)) / F.col("t") + F.exp(F.col("back") + F.col("lp"))
-    table = both.select(_sql_pair(F.col("x"), F.col("b")).alias("gram"), F.col("n").alias("c"), (F.log(p) - F.col("back") - F.col("lp")).cast("float").alias("gain"))
+    kept = counts.where("kind = 2").select("x", "b", "n")
+    if each["words"] <= BROADCAST_WORDS:
+        table = kept.mapInArrow(_gain(spark.sparkContext.broadcast((_sorted(before), _sorted(words.select("b", "lp")))), np.array(high)), "gram long, c long, gain float")
+    else:
+        both = kept.join(before, "x").join(words.select("b", "lp"), "b")
+        p = (F.col("n") - by(F.col("n"), high)) / F.col("t") + F.exp(F.col("back") + F.col("lp"))
+        table = both.select(_sql_pair(F.col("x"), F.col("b")).alias("gram"), F.col("n").alias("c"), (F.log(p) - F.col("back") - F.col("lp")).cast("float").alias("gain"))
     table = table.unionAll(words.select("b", "c", (F.col("lp") - unknown).cast("float"))).unionAll(before.select("x", "t", F.col("back").cast("float")))
     return c.save(table), unknown
 
@@ -233,6 +260,19 @@ def _places(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (code >> np.uint64(64 - FILTER_BITS)).astype(np.int64), (code & mask).astype(np.int64)
 
 
+def _hot(table: DataFrame, most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The grams most often said, fewer than HOT: those of a count that so few reach; (gram, c, gain) in order of gram."""
+    by = Window.orderBy(F.desc("power"))
+    # Counts in classes of a twentieth, so there are few classes whatever the table.
+    power = F.floor(F.log(F.col("c").cast("double")) / math.log(1.05))
+    above = table.groupBy(power.alias("power")).agg(F.count("*").alias("n")).withColumn("above", F.sum("n").over(by))
+    least = above.where(F.col("above") <= (most or HOT)).agg(F.min("power").alias("p")).first()["p"]
+    got = (table.limit(0) if least is None else table.where(power >= least)).select("gram", "c", "gain").toArrow()
+    gram, count, gain = (got.column(i).to_numpy() for i in range(3))
+    order = np.argsort(gram.view(np.uint64))
+    return gram.view(np.uint64)[order], count[order], gain[order]
+
+
 def bloom(table: DataFrame) -> np.ndarray:
     """A Bloom filter of the grams, 2**FILTER_BITS bits, put together piece by piece."""
 
@@ -401,10 +441,8 @@ def gains(marked: DataFrame) -> tuple[DataFrame, float]:
     spark = marked.sparkSession
     table, unknown = model(marked.where("__trusted"))
     rows = table.count()
-    hot = table.orderBy(F.desc("c"), "gram").limit(HOT).toArrow()
-    gram, count, gain = (hot.column(i).to_numpy() for i in range(3))
-    order = np.argsort(gram.view(np.uint64))
-    known = spark.sparkContext.broadcast((gram.view(np.uint64)[order], count[order], gain[order], bloom(table)))
+    gram, count, gain = _hot(table)
+    known = spark.sparkContext.broadcast((gram, count, gain, bloom(table)))
     total = c.text_bytes(marked)
     shards, tasks = c.partitions(spark, rows, SHARD_ROWS), c.partitions(spark, total, SUM_BYTES)
     asked = marked.select("doc_id", "lang", "__key", "text").mapInArrow(_ask(shards, known), ASKED)
