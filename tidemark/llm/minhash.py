@@ -23,7 +23,7 @@ common.join_split and don't meet in one task.  Steps 3 and 4 leave few component
 texts are alike; m members of small components in a bucket of n cost m * n comparisons of signatures.
 
 With 32 bands of 4 rows a pair at similarity 0.75 shares no bucket with a chance of 5e-6; the estimate
-rules out a pair at the threshold with a chance of about 1e-9.
+rules out a pair at the threshold with a chance of about 3e-5, and less above it.
 
 Defined cases: text null, empty or without words: an empty set, linked with nothing.  Fewer
 words than a shingle: the whole sequence is the one shingle.  Rows with equal doc_id count as one
@@ -51,7 +51,7 @@ BANDS, ROWS = 32, 4
 PERMS = BANDS * ROWS
 BINS, BITS = 512, 4
 #: Standard deviations of the estimate by which a pair may miss the threshold and still be confirmed.
-SIGMAS = 6.0
+SIGMAS = 4.0
 #: Members of one side that a task holds while those of the other pass by.
 LANE = 4096
 #: Up to so many ids (8 bytes each) are broadcast to pick texts by id; beyond it ids are joined by a shuffle.
