@@ -56,3 +56,25 @@ def validate_answers(rows: DataFrame, answer: str, decisions: list[str]) -> Data
     warnings = present([F.when(F.coalesce(F.length(get("basis")), F.lit(0)) < 10, "SHORT_BASIS"), F.when(get("basis").rlike(r"(?i)as an? (ai|language model)"), "BOILERPLATE")])
     status = F.when(F.size("errors") > 0, "REJECTED").when(F.size("warnings") > 0, "ACCEPTED_WITH_WARNINGS").otherwise("ACCEPTED")
     return rows.withColumns({"errors": errors, "warnings": warnings}).withColumn("status", status)
+
+
+def stage3_decision(rows: DataFrame) -> DataFrame:
+    """rows (concepts, technical_routes, material_routes, timings: arrays of names) with state, the first rule that holds.
+
+    A material after the close is a catalyst; one whose timing is not known (null or UNKNOWN) can be neither that nor a
+    chart setup, so it is watched.
+    """
+    has = lambda column, name: F.coalesce(F.array_contains(column, name), F.lit(False))
+    technical, material = F.size("technical_routes") > 0, F.size("material_routes") > 0
+    unknown = F.exists("timings", lambda x: F.coalesce(x, F.lit("UNKNOWN")) == "UNKNOWN")
+    state = first_of(
+        (~technical & ~material, "REJECT"),
+        (material & has("timings", "POST_CLOSE"), "POST_CLOSE_CATALYST_SETUP"),
+        (material & unknown, "WATCH_OTHER"),
+        (has("concepts", "FAILED_BREAKOUT"), "WATCH_OTHER"),
+        (has("concepts", "HEALTHY_PULLBACK"), "WATCH_PULLBACK"),
+        (technical & material, "TECHNICAL_SETUP_EOD"),
+        (technical, "WATCH_BREAKOUT"),
+        default="WATCH_OTHER",
+    )
+    return rows.withColumn("state", state)
