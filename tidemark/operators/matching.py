@@ -6,20 +6,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Anchors per group: the step is sequential, so groups must stay small on the anchors' side.
-MOST_ANCHORS = 20
 
 
 def match_controls(anchors: DataFrame, candidates: DataFrame, group: list[str], tiers: list[str]) -> DataFrame:
     """(group, anchor, control, tier): tier 0 agrees in all of `tiers`, tier k in all but the last k.
 
-    Of each tier and cell only the first MOST_ANCHORS candidates by sample_key can ever be taken (each anchor takes
-    one), so no more go to the sequential step, however many candidates there are.
+    Each anchor takes one candidate, so of a group's candidates in one cell only as many as it has anchors can ever be
+    taken; no more go to the step, which is sequential in a group's anchors (a group is a day's draw, a bounded number).
+    Anchors without any candidate left have no row.
     """
     from pyspark.sql import Window
 
     cell = Window.partitionBy(*group, *tiers).orderBy("sample_key")
-    near = candidates.withColumn("__r", F.row_number().over(cell)).where(F.col("__r") <= MOST_ANCHORS).drop("__r")
+    wanted = anchors.groupBy(*group).agg(F.count("*").alias("__n"))
+    near = candidates.withColumn("__r", F.row_number().over(cell)).join(wanted, group).where(F.col("__r") <= F.col("__n")).drop("__r", "__n")
     a = anchors.select(*group, F.lit(0).alias("side"), F.col("id"), "sample_key", *tiers)
     b = near.select(*group, F.lit(1).alias("side"), F.col("id"), "sample_key", *tiers)
 

@@ -64,3 +64,58 @@ def suspected_splits(bars: DataFrame, actions: DataFrame) -> DataFrame:
     moved = bars.withColumn("ratio", F.try_divide("open", F.nullif(before, F.lit(0.0))))
     hit = F.coalesce(*[F.when(F.abs(F.col("ratio") - r) / r <= 0.02, F.lit(r)) for r in SPLIT_RATIOS])
     return moved.withColumn("suspected", hit).where("suspected is not null").join(known, ["symbol", "trade_date"], "left_anti").select("symbol", "trade_date", "ratio", "suspected")
+
+
+# What prices and volumes may be on, and the venues whose range is the market's.
+RAW, SPLIT_ADJUSTED = "RAW", "SPLIT_ADJUSTED"
+WHOLE_MARKET = ("PRIMARY_EXCHANGE", "CONSOLIDATED")
+
+
+def is_raw() -> Column:
+    """Every price of the bar is as traded (columns open_basis, high_basis, low_basis, close_basis)."""
+    return (F.col("open_basis") == RAW) & (F.col("high_basis") == RAW) & (F.col("low_basis") == RAW) & (F.col("close_basis") == RAW)
+
+
+def may_resolve_outcome() -> Column:
+    """The bar's high and low are the session's: as traded, and of the whole market (venue_basis)."""
+    return is_raw() & F.col("venue_basis").isin(*WHOLE_MARKET)
+
+
+def comparable_series(bars: DataFrame, actions: DataFrame, as_of: str) -> DataFrame:
+    """restate's rows up to as_of, of bars with bases, with volume_comparable and refusal.
+
+    A symbol with a bar that isn't raw is refused (NOT_RAW, null prices).  Volume that the provider has adjusted can't be
+    restated if a split lies after as_of (it is null on every bar then); if none does, it is on the as-of basis already.
+    """
+    day = F.lit(as_of).cast("date")
+    rows = restate(bars, actions, as_of)
+    later = share_actions(actions).where(F.col("ex_date") > day).select("symbol", F.lit(True).alias("__later")).distinct()
+    known = bars.where(F.col("trade_date") <= day).groupBy("symbol").agg(F.bool_or(F.col("volume_basis") == SPLIT_ADJUSTED).alias("__adjusted"), F.bool_and(is_raw()).alias("__raw"))
+    rows = rows.join(known, "symbol").join(later, "symbol", "left")
+    comparable = ~(F.col("__adjusted") & F.coalesce("__later", F.lit(False)))
+    adjusted = F.col("volume_basis") == SPLIT_ADJUSTED
+    volume = F.when(comparable & ~F.col("refused"), F.when(adjusted, F.col("volume") / F.col("multiplier")).otherwise(F.col("volume")))
+    refusal = F.when(~F.col("__raw"), "NOT_RAW").when(F.col("refused"), "UNREADABLE_ACTION")
+    prices = {n: F.when(F.col("__raw"), F.col(n)) for n in ("open", "high", "low", "close")}
+    return rows.withColumns(prices | {"volume": F.when(F.col("__raw"), volume), "volume_comparable": comparable & volume.isNotNull() & F.col("__raw"), "refusal": refusal}).drop("__later", "__adjusted", "__raw", "refused")
+
+
+def comparable_path(sessions: DataFrame, actions: DataFrame, entry: str = "entry_date") -> DataFrame:
+    """sessions (symbol, entry_date, trade_date, prices) in the shares of the entry: prices times the multipliers of entry < ex_date <= session.
+
+    applied has the ex-dates of those; a session past an unreadable action has null prices.
+    """
+    rows = sessions.join(action_arrays(actions), "symbol", "left")
+    acts = F.coalesce("acts", F.array().cast("array<struct<ex_date:date,multiplier:double>>"))
+    between = F.filter(acts, lambda a: (a["ex_date"] > F.col(entry)) & (a["ex_date"] <= F.col("trade_date")))
+    ratio = product_after(F.col(entry), F.col("trade_date"))
+    rows = rows.withColumns({"ratio": ratio, "applied": F.array_join(F.transform(between, lambda a: a["ex_date"].cast("string")), ",")})
+    return rows.withColumns({n: F.col(n) * F.col("ratio") for n in ("open", "high", "low", "close") if n in sessions.columns}).drop("acts")
+
+
+def as_traded(bars: DataFrame, splits: DataFrame) -> DataFrame:
+    """A vendor's back-adjusted bars as they traded: prices times all later splits, half up to 0.1; volume divided, half up to 1."""
+    rows = bars.join(action_arrays(splits), "symbol", "left").withColumn("factor", product_after(F.col("trade_date"))).drop("acts")
+    exact = lambda n: F.col(n).cast("decimal(20,6)") * F.col("factor").cast("decimal(18,6)")
+    prices = {n: F.round(exact(n), 1).cast("double") for n in ("open", "high", "low", "close") if n in bars.columns}
+    return rows.withColumns(prices | {"volume": F.round((F.col("volume").cast("decimal(20,6)") / F.col("factor").cast("decimal(18,6)")).cast("decimal(30,6)"), 0).cast("double")})

@@ -1,4 +1,4 @@
 """The library's queries by name, and the SQL that each is held against."""
 
-from . import agreement, chart, disclosures, evaluation, judgement, outcomes, reading, records, reports, streams, technical  # noqa: F401
+from . import agreement, chart, disclosures, evaluation, judgement, outcomes, reading, records, reports, selection, series, streams, technical  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

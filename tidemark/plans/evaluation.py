@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as ev
-from ..operators import matching
+from ..operators import matching, sampling
 from ..sources import market as m
 from . import outcomes as oc
 from . import technical as tech
@@ -69,10 +69,18 @@ def primary_sample(spark, d):
     return rows.select("doc_id", "lang", F.substring("sample_key", 1, 16).alias("sample_id"), F.col("draw").cast("long").alias("draw"))
 
 
-@query("control_match")
+MATCH_SQL = f"""{PRED_SQL}, rows_ AS (SELECT doc_id AS id, cohort, subgroup, floor(n_chars / 1000) AS size, hit, sha256(concat_ws('|', CAST(doc_id AS VARCHAR), cohort)) AS sample_key FROM pred),
+a AS (SELECT *, row_number() OVER (PARTITION BY cohort ORDER BY sample_key) AS k FROM (SELECT *, row_number() OVER (PARTITION BY cohort ORDER BY sample_key) AS draw FROM rows_ WHERE hit = 0) WHERE draw <= 20),
+s AS (SELECT cohort, 0::BIGINT AS k, NULL::BIGINT AS anchor, NULL::BIGINT AS control, NULL::INTEGER AS tier, []::BIGINT[] AS taken FROM (SELECT DISTINCT cohort FROM a)
+  UNION ALL SELECT cohort, k, anchor, control[2].id, control[1], CASE WHEN control IS NULL THEN taken ELSE list_append(taken, control[2].id) END FROM (
+    SELECT s.cohort, s.k + 1 AS k, a.id AS anchor, s.taken, (SELECT min((CASE WHEN c.subgroup = a.subgroup AND c.size = a.size THEN 0 WHEN c.subgroup = a.subgroup THEN 1 ELSE 2 END, {{'key': c.sample_key, 'id': c.id}})) FROM rows_ c WHERE c.hit = 1 AND c.cohort = a.cohort AND NOT list_contains(s.taken, c.id)) AS control
+    FROM s JOIN a ON a.cohort = s.cohort AND a.k = s.k + 1))"""
+
+
+@query("control_match", f"WITH RECURSIVE {MATCH_SQL} SELECT cohort, anchor, control, CAST(tier AS BIGINT) AS tier FROM s WHERE control IS NOT NULL")
 def control_match(spark, d):
     rows = predictions(spark, d).select(F.col("doc_id").alias("id"), "cohort", "subgroup", F.floor(F.col("n_chars") / 1000).alias("size"), "hit", ev.sample_key(F.col("doc_id"), F.col("cohort")).alias("sample_key"))
-    anchors = ev.hash_top(rows.where("hit = 0"), ["cohort"], F.col("sample_key"), matching.MOST_ANCHORS)
+    anchors = ev.hash_top(rows.where("hit = 0"), ["cohort"], F.col("sample_key"), sampling.CONTROL)
     return matching.match_controls(anchors, rows.where("hit = 1"), ["cohort"], ["subgroup", "size"])
 
 

@@ -183,14 +183,8 @@ def champion(spark, d):
     return f.select("fold", q("champion", "champion"), q("challenger", "challenger"), (F.col("challenger") < F.col("champion")).alias("better"))
 
 
-@query("redaction", "SELECT doc_id, regexp_replace(substr(text, 1, 200), '\\b[0-9]{4}\\b', '[CODE]', 'g') AS text FROM documents WHERE text IS NOT NULL")
+@query("redaction", r"SELECT doc_id, regexp_replace(regexp_replace(text, '(^|[^0-9A-Za-z])[0-9]{4}($|[^0-9A-Za-z])', '\1[CODE]\2', 'g'), '(^|[^0-9A-Za-z])[0-9]{4}($|[^0-9A-Za-z])', '\1[CODE]\2', 'g') AS text FROM documents WHERE text IS NOT NULL")
 def redaction(spark, d):
-    """Free-standing codes are masked in a document's opening."""
-    return m.table(spark, d, "documents").where("text is not null").select("doc_id", F.regexp_replace(F.substring("text", 1, 200), r"\b[0-9]{4}\b", "[CODE]").alias("text"))
-
-
-@query("redaction_whole")
-def redaction_whole(spark, d):
     """Free-standing codes are masked in the whole text."""
     return m.table(spark, d, "documents").where("text is not null").select("doc_id", redacted("text").alias("text"))
 

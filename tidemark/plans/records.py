@@ -125,19 +125,6 @@ def event_merge(spark, d):
     return evt.source_roles(keyed(spark, d)).groupBy("event_key").agg(F.count("*").alias("documents"), F.count_distinct("source_key").alias("publishers"), F.count_distinct(F.when(F.col("role") != "CORROBORATION", F.col("source_key"))).alias("independent"), F.min("available_at").alias("first_known_at"))
 
 
-TITLE_SQL = "t AS (SELECT doc_id, source, lang, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(substr(text, 1, 80)), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''))) AS ts FROM documents WHERE text IS NOT NULL)"
-
-
-@query(
-    "near_miss_pairs",
-    f"""WITH {TITLE_SQL}, c AS (SELECT source, lang, ts, min(doc_id) AS id FROM t WHERE len(ts) > 0 GROUP BY source, lang, ts)
-    SELECT l.id AS "left", r.id AS "right", len(list_intersect(l.ts, r.ts)) / (len(l.ts) + len(r.ts) - len(list_intersect(l.ts, r.ts)))::DOUBLE AS similarity FROM c l JOIN c r ON l.source = r.source AND l.lang = r.lang AND l.id < r.id WHERE len(list_intersect(l.ts, r.ts)) >= 0.6 * (len(l.ts) + len(r.ts) - len(list_intersect(l.ts, r.ts)))""",
-)
-def near_miss_pairs(spark, d):
-    titles = m.table(spark, d, "documents").select("doc_id", "source", "lang", F.substring("text", 1, 80).alias("title"))
-    return evt.near_pairs(titles, "doc_id", ["source", "lang"], "title")
-
-
 def first_lines(spark, d):
     return m.table(spark, d, "documents").select("doc_id", "source", "lang", F.substring_index("text", "\n", 1).alias("title"))
 
@@ -146,40 +133,27 @@ FIRST_LINE_SQL = "f AS (SELECT doc_id, source, lang, list_sort(list_distinct(lis
 
 
 @query(
-    "near_miss_line_pairs",
+    "near_miss_pairs",
     f"""WITH {FIRST_LINE_SQL}, c AS (SELECT source, lang, ts, min(doc_id) AS id FROM f WHERE len(ts) > 0 GROUP BY source, lang, ts)
     SELECT l.id AS "left", r.id AS "right", len(list_intersect(l.ts, r.ts)) / (len(l.ts) + len(r.ts) - len(list_intersect(l.ts, r.ts)))::DOUBLE AS similarity FROM c l JOIN c r ON l.source = r.source AND l.lang = r.lang AND l.id < r.id WHERE len(list_intersect(l.ts, r.ts)) >= 0.6 * (len(l.ts) + len(r.ts) - len(list_intersect(l.ts, r.ts)))""",
 )
-def near_miss_line_pairs(spark, d):
-    """near_miss_pairs over the whole first line."""
+def near_miss_pairs(spark, d):
+    """Pairs of similar titles, which are the whole first lines of documents, between representatives of equal token sets."""
     return evt.near_pairs(first_lines(spark, d), "doc_id", ["source", "lang"], "title")
 
 
-@query("near_miss_line_members", f"WITH {FIRST_LINE_SQL} SELECT doc_id, min(doc_id) OVER (PARTITION BY source, lang, ts) AS id FROM f WHERE len(ts) > 0")
-def near_miss_line_members(spark, d):
-    return evt.near_members(first_lines(spark, d), "doc_id", ["source", "lang"], "title")
-
-
-@query("near_miss_members", f"WITH {TITLE_SQL} SELECT doc_id, min(doc_id) OVER (PARTITION BY source, lang, ts) AS id FROM t WHERE len(ts) > 0")
+@query("near_miss_members", f"WITH {FIRST_LINE_SQL} SELECT doc_id, min(doc_id) OVER (PARTITION BY source, lang, ts) AS id FROM f WHERE len(ts) > 0")
 def near_miss_members(spark, d):
     """Whom the representatives of near_miss_pairs stand for."""
-    titles = m.table(spark, d, "documents").select("doc_id", "source", "lang", F.substring("text", 1, 80).alias("title"))
-    return evt.near_members(titles, "doc_id", ["source", "lang"], "title")
+    return evt.near_members(first_lines(spark, d), "doc_id", ["source", "lang"], "title")
 
 
 RULES = [("LICENSE", "licen[cs]e"), ("CONTACT", "@|tel\\.|phone"), ("CORRECTION", "^(re|korrek|corr)"), ("TABLE", "\\|"), ("SHORT", "^.{0,40}$")]
 
 
-@query("title_classify", f"WITH t AS (SELECT doc_id, lower(substr(text, 1, 80)) AS title FROM documents) SELECT doc_id, CASE {' '.join(f"WHEN regexp_matches(title, '{r}') THEN '{k}'" for k, r in RULES)} ELSE 'OTHER' END AS kind FROM t")
+@query("title_classify", f"WITH t AS (SELECT doc_id, lower(split_part(text, chr(10), 1)) AS title FROM documents) SELECT doc_id, CASE {' '.join(f"WHEN regexp_matches(title, '{r}') THEN '{k}'" for k, r in RULES)} ELSE 'OTHER' END AS kind FROM t")
 def title_classify(spark, d):
-    title = F.lower(F.substring("text", 1, 80))
-    kind = F.coalesce(*[F.when(title.rlike(r), F.lit(k)) for k, r in RULES], F.lit("OTHER"))
-    return m.table(spark, d, "documents").select("doc_id", kind.alias("kind"))
-
-
-@query("title_line_classify", f"WITH t AS (SELECT doc_id, lower(split_part(text, chr(10), 1)) AS title FROM documents) SELECT doc_id, CASE {' '.join(f"WHEN regexp_matches(title, '{r}') THEN '{k}'" for k, r in RULES)} ELSE 'OTHER' END AS kind FROM t")
-def title_line_classify(spark, d):
-    """title_classify over the whole first line."""
+    """The kind of a document by its title, its whole first line."""
     title = F.lower("title")
     kind = F.coalesce(*[F.when(title.rlike(r), F.lit(k)) for k, r in RULES], F.lit("OTHER"))
     return first_lines(spark, d).select("doc_id", kind.alias("kind"))
