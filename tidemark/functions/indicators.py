@@ -76,9 +76,10 @@ def log_return(x: str) -> Column:
     return F.when((F.col(x) > 0) & (before > 0), F.log(F.col(x) / before))
 
 
-def realised_volatility(returns: str, n: int) -> Column:
-    """Yearly sample deviation of the last n log returns (a column made with log_return)."""
-    return guarded(F.stddev_samp(returns).over(tail(n)), returns, n) * F.sqrt(F.lit(252.0))
+def realised_volatility(returns: str, n: int, yearly: bool = True, price: str = "close") -> Column:
+    """Sample deviation of the last n log returns (a column made with log_return), yearly if asked for; null after a hole in the prices."""
+    daily = F.when(whole_series_known(price), guarded(F.stddev_samp(returns).over(tail(n)), returns, n))
+    return daily * F.sqrt(F.lit(252.0)) if yearly else daily
 
 
 def relative_volume(x: str, n: int) -> Column:
@@ -94,9 +95,9 @@ def candle() -> dict[str, Column]:
     return {"body_pct": share(body_top - body_low), "upper_wick_pct": share(F.col("high") - body_top), "lower_wick_pct": share(body_low - F.col("low")), "clv": F.when(known, F.try_divide(F.col("close") - F.col("low"), span))}
 
 
-def up_streak(seq: str = "seq") -> Column:
-    """Length of the run of rising closes that ends now (needs column `rises`)."""
-    return F.col(seq) - F.coalesce(F.last(F.when(~F.col("rises"), F.col(seq)), ignorenulls=True).over(upto()), F.lit(0))
+def up_streak(seq: str = "seq", price: str = "close") -> Column:
+    """Length of the run of rising closes that ends now (needs column `rises`); null after a hole, and on the first bar."""
+    return F.when(whole_series_known(price) & (F.col(seq) >= 2), F.col(seq) - F.coalesce(F.last(F.when(~F.col("rises"), F.col(seq)), ignorenulls=True).over(upto()), F.lit(0)))
 
 
 # ------------------------------------------------------------------ folds over a series

@@ -68,7 +68,7 @@ def suspected_splits(bars: DataFrame, actions: DataFrame) -> DataFrame:
 
 # What prices and volumes may be on, and the venues whose range is the market's.
 RAW, SPLIT_ADJUSTED = "RAW", "SPLIT_ADJUSTED"
-WHOLE_MARKET = ("PRIMARY_EXCHANGE", "CONSOLIDATED")
+WHOLE_MARKET = ("CONSOLIDATED_SIP_REQUESTED", "CONSOLIDATED_SIP_VERIFIED")
 
 
 def is_raw() -> Column:

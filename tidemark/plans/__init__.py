@@ -2,3 +2,7 @@
 
 from . import agreement, chart, disclosures, evaluation, judgement, outcomes, reading, records, reports, selection, series, streams, technical  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
+
+#: Names under which a query was known before it took the place of a narrower one.
+for _name, _query in (("redaction_whole", "redaction"), ("title_line_classify", "title_classify"), ("near_miss_line_pairs", "near_miss_pairs"), ("near_miss_line_members", "near_miss_members")):
+    QUERIES[_name], ORACLES[_name] = QUERIES[_query], ORACLES[_query]

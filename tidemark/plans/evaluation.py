@@ -173,13 +173,16 @@ def candidate_union(spark, d):
     o AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS runs FROM orders GROUP BY 1) SELECT coalesce(c.day, o.day) AS day, screened, candidates, runs, s.trade_date IS NOT NULL AS is_session FROM c FULL JOIN o ON c.day = o.day LEFT JOIN sessions s ON s.trade_date = coalesce(c.day, o.day)""",
 )
 def dashboard_daily(spark, d):
+    """One pass over the bars gives what was screened and which days were sessions (30 % of all symbols have a bar)."""
     from ..operators import features as ft
-    from ..operators import outcome
 
     rows = ft.evaluate_routes(tech.feature_rows(spark, d)).groupBy(F.col("trade_date").alias("day")).agg(F.count("*").alias("screened"), F.count_if(F.size("routes") > 0).alias("candidates"))
+    # One row: how many symbols there are.
+    symbols = m.table(spark, d, "lineitem").agg(F.count_distinct("l_suppkey").alias("n"))
+    least = F.greatest(F.lit(1), F.floor(F.col("n") * 0.3))
+    rows = rows.join(F.broadcast(symbols), F.lit(True)).select("day", "screened", "candidates", (F.col("screened") >= least).alias("s"))
     runs = m.table(spark, d, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count("*").alias("runs"))
-    sessions = outcome.sessions(m.bars(spark, d)).select(F.col("trade_date").alias("day"), F.lit(True).alias("s"))
-    return rows.join(runs, "day", "full_outer").join(sessions, "day", "left").select("day", "screened", "candidates", "runs", F.coalesce("s", F.lit(False)).alias("is_session"))
+    return rows.join(runs, "day", "full_outer").select("day", "screened", "candidates", "runs", F.coalesce("s", F.lit(False)).alias("is_session"))
 
 
 @query("coverage_summary", f"WITH {m.BARS_SQL} SELECT 'bars' AS dataset, count(*) AS n, CASE WHEN count(close) = count(*) THEN 'COMPLETE' ELSE 'GAPS' END AS quality FROM bars UNION ALL SELECT 'turnover', count(*), CASE WHEN count(turnover) = count(*) THEN 'COMPLETE' ELSE 'GAPS' END FROM bars UNION ALL SELECT 'orders', count(*), CASE WHEN count(o_totalprice) = count(*) THEN 'COMPLETE' ELSE 'GAPS' END FROM orders")

@@ -12,14 +12,14 @@ from ..sources import market as m
 from .registry import q, query, sq
 from .technical import AS_OF, SHARE_SQL
 
-BASIS_SQL = f"""{m.BARS_SQL}, {SHARE_SQL}, bb AS (SELECT *, CASE WHEN symbol % 23 = 4 AND day(trade_date) = 3 THEN 'SPLIT_ADJUSTED' ELSE 'RAW' END AS close_basis, CASE WHEN symbol % 4 = 0 THEN 'SPLIT_ADJUSTED' ELSE 'RAW' END AS volume_basis, CASE symbol % 3 WHEN 0 THEN 'CONSOLIDATED' WHEN 1 THEN 'PRIMARY_EXCHANGE' ELSE 'SINGLE_VENUE' END AS venue_basis FROM bars)"""
+BASIS_SQL = f"""{m.BARS_SQL}, {SHARE_SQL}, bb AS (SELECT *, CASE WHEN symbol % 23 = 4 AND day(trade_date) = 3 THEN 'SPLIT_ADJUSTED' ELSE 'RAW' END AS close_basis, CASE WHEN symbol % 4 = 0 THEN 'SPLIT_ADJUSTED' ELSE 'RAW' END AS volume_basis, CASE symbol % 3 WHEN 0 THEN 'CONSOLIDATED_SIP_REQUESTED' WHEN 1 THEN 'CONSOLIDATED_SIP_VERIFIED' ELSE 'SINGLE_VENUE_OTHER' END AS venue_basis FROM bars)"""
 
 
 def based(spark, d):
     symbol = F.col("symbol")
     raw = F.lit("RAW")
     close = F.when((symbol % 23 == 4) & (F.dayofmonth("trade_date") == 3), "SPLIT_ADJUSTED").otherwise("RAW")
-    return m.bars(spark, d).withColumns({"open_basis": raw, "high_basis": raw, "low_basis": raw, "close_basis": close, "volume_basis": F.when(symbol % 4 == 0, "SPLIT_ADJUSTED").otherwise("RAW"), "venue_basis": F.when(symbol % 3 == 0, "CONSOLIDATED").when(symbol % 3 == 1, "PRIMARY_EXCHANGE").otherwise("SINGLE_VENUE")})
+    return m.bars(spark, d).withColumns({"open_basis": raw, "high_basis": raw, "low_basis": raw, "close_basis": close, "volume_basis": F.when(symbol % 4 == 0, "SPLIT_ADJUSTED").otherwise("RAW"), "venue_basis": F.when(symbol % 3 == 0, "CONSOLIDATED_SIP_REQUESTED").when(symbol % 3 == 1, "CONSOLIDATED_SIP_VERIFIED").otherwise("SINGLE_VENUE_OTHER")})
 
 
 @query("outcome_bars", f"WITH {BASIS_SQL} SELECT symbol, trade_date, close_basis = 'RAW' AS is_raw, close_basis = 'RAW' AND venue_basis IN {rs.WHOLE_MARKET!r} AS may_resolve FROM bb")

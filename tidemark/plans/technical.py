@@ -77,12 +77,12 @@ def bollinger_20(spark, d):
 
 @query(
     "realized_vol",
-    f"""WITH {m.BARS_SQL}, s AS (SELECT symbol, trade_date, CASE WHEN close > 0 AND lag(close) OVER o > 0 THEN ln(close / lag(close) OVER o) END AS r FROM bars {W})
-    SELECT symbol, trade_date, {sq('sqrt(252.0) * (' + guard('stddev_samp(r)', 'r', 20) + ')')} AS vol20 FROM s""",
+    f"""WITH {m.BARS_SQL}, s AS (SELECT symbol, trade_date, CASE WHEN close > 0 AND lag(close) OVER o > 0 THEN ln(close / lag(close) OVER o) END AS r, count(*) FILTER (WHERE close IS NULL) OVER (PARTITION BY symbol ORDER BY trade_date ROWS UNBOUNDED PRECEDING) AS holes FROM bars {W}),
+    v AS (SELECT symbol, trade_date, CASE WHEN holes = 0 THEN {guard('stddev_samp(r)', 'r', 20)} END AS daily FROM s) SELECT symbol, trade_date, {sq('sqrt(252.0) * daily')} AS vol20, {sq('daily')} AS daily20 FROM v""",
 )
 def realized_vol(spark, d):
     rows = m.bars(spark, d).withColumn("r", i.log_return("close"))
-    return rows.select("symbol", "trade_date", q(i.realised_volatility("r", 20), "vol20"))
+    return rows.select("symbol", "trade_date", q(i.realised_volatility("r", 20), "vol20"), q(i.realised_volatility("r", 20, yearly=False), "daily20"))
 
 
 @query("relative_volume", f"WITH {m.BARS_SQL} SELECT symbol, trade_date, {', '.join(f'{sq(f"volume / nullif({guard("avg(volume)", "volume", n, 1)}, 0)")} AS rvol{n}' for n in (5, 20))}, {sq(f"turnover / nullif({guard("avg(turnover)", "turnover", 20, 1)}, 0)")} AS turnover_rvol FROM bars")
@@ -103,8 +103,8 @@ def candle_shape(spark, d):
 
 @query(
     "up_streak",
-    f"""WITH {m.BARS_SQL}, s AS (SELECT symbol, trade_date, row_number() OVER o AS seq, coalesce(close > lag(close) OVER o, false) AS rises FROM bars {W})
-    SELECT symbol, trade_date, seq - max(CASE WHEN NOT rises THEN seq ELSE 0 END) OVER (PARTITION BY symbol ORDER BY trade_date ROWS UNBOUNDED PRECEDING) AS up_streak FROM s""",
+    f"""WITH {m.BARS_SQL}, s AS (SELECT symbol, trade_date, row_number() OVER o AS seq, coalesce(close > lag(close) OVER o, false) AS rises, count(*) FILTER (WHERE close IS NULL) OVER (PARTITION BY symbol ORDER BY trade_date ROWS UNBOUNDED PRECEDING) AS holes FROM bars {W})
+    SELECT symbol, trade_date, CASE WHEN holes = 0 AND seq >= 2 THEN seq - max(CASE WHEN NOT rises THEN seq ELSE 0 END) OVER (PARTITION BY symbol ORDER BY trade_date ROWS UNBOUNDED PRECEDING) END AS up_streak FROM s""",
 )
 def up_streak(spark, d):
     w = i.by_symbol()
