@@ -55,7 +55,7 @@ BROADCAST_LANGUAGES = 10_000
 #: Words of the model (40 bytes each, as words and as contexts) that may be broadcast to its pairs; more are joined by a shuffle.
 BROADCAST_WORDS = 2_000_000
 #: Grams (24 bytes each) whose gains go to all tasks, and the bits of the filter of all grams.
-HOT, FILTER_BITS = 1 << 18, 27
+HOT, FILTER_BITS = 1 << 20, 27
 #: Bytes of the filter that are put together at once.
 PIECE = 1 << 16
 #: Text bytes whose grams a task joins before it gives them out.
@@ -70,18 +70,37 @@ KINDS = c.ALNUM.astype(np.uint8)
 KINDS[~(c.ALNUM | c.SPACES)] = 2
 #: Characters of scripts written without blanks (East and South-East Asian): each is a word of its own.
 UNSPACED = re.compile(rb"[\xe3-\xe9][\x80-\xbf]{2}|\xe0[\xb8-\xbb][\x80-\xbf]|\xe1[\x80-\x82\x9e\x9f][\x80-\xbf]|\xf0[\xa0-\xbf][\x80-\xbf]{2}")
+#: Words are told apart by 40 bits of their codes, and a shard's grams too, so that they travel in five bytes: of a
+#: billion words one in a thousand shares its code with another, and both then have the probability of the two.
+SHORT = np.uint64((1 << 40) - 1)
 #: The word before each text, and what tells contexts from words.
-OPENING, CONTEXT = np.uint64(0x9E6C63D0876A9A47), np.uint64(0x51D7348F7C2A6E03)
+OPENING, CONTEXT = np.uint64(0x6C63D0876A), np.uint64(0x51D7348F7C2A6E03)
 
 
 # --------------------------------------------------------------------------- words and grams
 def units(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every word of a block: the context's code, the word's, and its text's index."""
+    """For every word of a block: the code of the word before, its own, and its text's index."""
     w = c.Words([UNSPACED.sub(rb" \g<0> ", x) for x in raw], kind=KINDS)
-    before = np.empty_like(w.codes)
-    before[1:] = w.codes[:-1]
+    codes = w.codes & SHORT
+    before = np.empty_like(codes)
+    before[1:] = codes[:-1]
     before[w.first[:-1][w.counts > 0]] = OPENING
-    return c.mix(before ^ CONTEXT), w.codes, w.doc_of()
+    return before, codes, w.doc_of()
+
+
+def as_context(before: np.ndarray) -> np.ndarray:
+    """The gram of a word as what stands before another."""
+    return c.mix(before ^ CONTEXT)
+
+
+def _five(codes: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(codes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).ravel()
+
+
+def _wide(raw: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(raw) // 5, 8), np.uint8)
+    out[:, :5] = raw.reshape(-1, 5)
+    return out.view("<u8").ravel()
 
 
 def pair_code(x: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -111,7 +130,7 @@ def _unpacked(sizes: list[int], raw: int, load: bytes, kinds: tuple) -> list[np.
 
 
 def often_contexts(docs: DataFrame, total_bytes: int) -> np.ndarray:
-    """Codes of the opening and of contexts that more than one in OFTEN words of a sample is: at most OFTEN."""
+    """Codes of the opening and of words that more than one in OFTEN words of a sample is: at most OFTEN."""
     some = docs.where(F.pmod(F.xxhash64("text"), F.lit(max(1, total_bytes // PLAN_BYTES))) == 0).select("text")
 
     def count(batches):
@@ -122,7 +141,7 @@ def often_contexts(docs: DataFrame, total_bytes: int) -> np.ndarray:
     counts = c.save(some.mapInArrow(count, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     found = counts.where(F.col("n") > max(1, total // c.OFTEN)).select("b").toArrow().column(0).to_numpy().view(np.uint64)
-    return np.sort(c.mix(np.append(found, OPENING) ^ CONTEXT))
+    return np.sort(np.append(found, OPENING))
 
 
 # --------------------------------------------------------------------------- the model
@@ -135,19 +154,20 @@ def _pairs(shards: int, often: np.ndarray):
 
     def run(batches):
         for _, raw in c.blocks(batches, limit=SLAB_BYTES):
-            x, b, _ = units(raw)
+            a, b, _ = units(raw)
             if not len(b):
                 continue
+            x = as_context(a)
             code, first, n = np.unique(pair_code(x, b), return_index=True, return_counts=True)
-            x, b = x[first], b[first]
-            deal = np.where(np.isin(x, often), c.mix(code), x) % np.uint64(shards)
-            order = np.lexsort((x, deal))
-            x, b, n, deal = x[order], b[order], n[order].astype(np.uint32), deal[order]
+            a, b, x = a[first], b[first], x[first]
+            deal = np.where(np.isin(a, often), c.mix(code), x) % np.uint64(shards)
+            order = np.lexsort((a, deal))
+            a, b, n, deal = a[order], b[order], n[order].astype(np.uint32), deal[order]
             cut = np.flatnonzero(np.diff(deal, prepend=np.uint64(1 << 63)))
             rows = []
-            for s, e in zip(cut, [*cut[1:], len(x)], strict=True):
-                head = np.flatnonzero(np.diff(x[s:e], prepend=~x[s : s + 1]))
-                rows.append(_packed(deal[s], x[s:e][head], np.diff(np.append(head, e - s)).astype(np.uint32), b[s:e], n[s:e]))
+            for s, e in zip(cut, [*cut[1:], len(a)], strict=True):
+                head = np.flatnonzero(np.diff(a[s:e], prepend=~a[s : s + 1]))
+                rows.append(_packed(deal[s], _five(a[s:e][head]), np.diff(np.append(head, e - s)).astype(np.uint32), _five(b[s:e]), n[s:e]))
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), (pa.int32(), pa.list_(pa.int32()), pa.int32(), pa.binary()), strict=True)], names=["part", "sizes", "raw", "load"])
 
     return run
@@ -160,8 +180,8 @@ def _add_up(cut: int):
         got = []
         for batch in batches:
             for r in batch.to_pylist():
-                x, size, b, n = _unpacked(r["sizes"], r["raw"], r["load"], (np.uint64, np.uint32, np.uint64, np.uint32))
-                got.append((np.repeat(x, size), b, n))
+                a, size, b, n = _unpacked(r["sizes"], r["raw"], r["load"], (np.uint8, np.uint32, np.uint8, np.uint32))
+                got.append((np.repeat(as_context(_wide(a)), size), _wide(b), n))
         if not got:
             return
         x, b, n = (np.concatenate(v) for v in zip(*got, strict=True))
@@ -251,7 +271,8 @@ def model(trusted: DataFrame, cut: int = CUT) -> tuple[DataFrame, float]:
         p = (F.col("n") - by(F.col("n"), high)) / F.col("t") + F.exp(F.col("back") + F.col("lp"))
         table = both.select(_sql_pair(F.col("x"), F.col("b")).alias("gram"), F.col("n").alias("c"), (F.log(p) - F.col("back") - F.col("lp")).cast("float").alias("gain"))
     table = table.unionAll(words.select("b", "c", (F.col("lp") - unknown).cast("float"))).unionAll(before.select("x", "t", F.col("back").cast("float")))
-    return c.save(table), unknown
+    # Cheap to make again from the counts, unless joins by shuffles made it.
+    return (table if each["words"] <= BROADCAST_WORDS else c.save(table)), unknown
 
 
 # --------------------------------------------------------------------------- looking grams up
@@ -327,7 +348,8 @@ def _ask(shards: int, known):
         task = TaskContext.get()
         slab = (task.partitionId() if task else 0) << 32
         for part, raw in c.blocks(batches, limit=SLAB_BYTES):
-            x, b, doc = units(raw)
+            a, b, doc = units(raw)
+            x = as_context(a)
             key = c.long_array(part.column(part.schema.get_field_index("__key")))
             own = key & 1 == 1
             gram, at = np.concatenate([b, x, pair_code(x, b)]), np.concatenate([doc] * 3)
@@ -366,7 +388,7 @@ def _ask(shards: int, known):
             flags = np.packbits(own)
             for s, e in zip(cut, np.append(cut[1:], len(head)), strict=False):
                 i = some[share[s] : share[e]]
-                where, sizes, size, load = _packed(deals[s], gram[w[head[s:e]]], np.diff(share[s : e + 1]).astype(np.uint32), at[i].astype(np.uint32), n[i].astype(np.uint32), flags)
+                where, sizes, size, load = _packed(deals[s], _five(gram[w[head[s:e]]]), np.diff(share[s : e + 1]).astype(np.uint32), at[i].astype(np.uint32), n[i].astype(np.uint32), flags)
                 rows.append({"part": where, "kind": 1, "slab": slab, "sizes": [*sizes, len(raw)], "raw": size, "load": load})
             slab += 1
             yield pa.RecordBatch.from_pylist(rows, _ASKED)
@@ -388,8 +410,9 @@ def _answer(tasks: int):
                 continue
             if table is None:
                 gram, count, gain = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))
-                order = np.argsort(gram.view(np.uint64))
-                table = gram.view(np.uint64)[order], count[order], gain[order]
+                gram = gram.view(np.uint64) & SHORT
+                order = np.argsort(gram)
+                table = gram[order], count[order], gain[order]
             rows = []
             for r in batch.slice(of).to_pylist():
                 out = {"part": r["slab"] % tasks, "slab": r["slab"]}
@@ -397,7 +420,8 @@ def _answer(tasks: int):
                     rows.append(out | {"docs": r["docs"]})
                     continue
                 *sizes, docs = r["sizes"]
-                gram, share, doc, n, flags = _unpacked(sizes, r["raw"], r["load"], (np.uint64, np.uint32, np.uint32, np.uint32, np.uint8))
+                gram, share, doc, n, flags = _unpacked(sizes, r["raw"], r["load"], (np.uint8, np.uint32, np.uint32, np.uint32, np.uint8))
+                gram = _wide(gram)
                 if not len(table[0]):
                     continue
                 place = np.minimum(np.searchsorted(table[0], gram), len(table[0]) - 1)
