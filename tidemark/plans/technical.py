@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -153,47 +154,54 @@ def atr_14(spark, d):
     return first.join(path, "symbol", "left").select("symbol", q(i.wilder_of(F.col("bars.tr"), 14), "atr14"))
 
 
-@query("macd_adx")
+def _smooth(state: str, x: str, k: str, n: int, alpha: str) -> str:
+    """A recursive mean in SQL: a sum up to the n-th value, their mean there, folded after it."""
+    return f"CASE WHEN {k} < {n} THEN {state} + {x} WHEN {k} = {n} THEN ({state} + {x}) / {n} ELSE ({x} - {state}) * {alpha} + {state} END"
+
+
+PATH_SQL = f"""n AS (SELECT symbol, trade_date, row_number() OVER o AS k, close, greatest(high - low, abs(high - lag(close) OVER o), abs(low - lag(close) OVER o)) AS tr, high - lag(high) OVER o AS rise, lag(low) OVER o - low AS fall FROM bars WHERE close IS NOT NULL WINDOW o AS (PARTITION BY symbol ORDER BY trade_date)),
+v AS (SELECT symbol, trade_date, k, close, tr, CASE WHEN rise > fall AND rise > 0 THEN rise ELSE 0.0 END AS up, CASE WHEN fall > rise AND fall > 0 THEN fall ELSE 0.0 END AS down FROM n),
+s AS (SELECT symbol, 0::BIGINT AS k, NULL::DATE AS trade_date, 0.0::DOUBLE AS f, 0.0::DOUBLE AS w, 0.0::DOUBLE AS sg, 0.0::DOUBLE AS st, 0.0::DOUBLE AS su, 0.0::DOUBLE AS sd, NULL::DOUBLE AS pdi, NULL::DOUBLE AS mdi, 0::BIGINT AS ac, 0.0::DOUBLE AS ax FROM (SELECT DISTINCT symbol FROM v)
+  UNION ALL SELECT symbol, k, trade_date, f, w, sg, st, su, sd, pdi, mdi, CASE WHEN dx IS NULL THEN ac ELSE ac + 1 END, CASE WHEN dx IS NULL THEN ax ELSE {_smooth('ax', 'dx', '(ac + 1)', 14, '(1.0::DOUBLE / 14)')} END FROM (
+    SELECT *, CASE WHEN k >= 26 THEN {_smooth('sg0', '(f - w)', '(k - 25)', 9, '(2.0::DOUBLE / 10)')} ELSE 0.0 END AS sg, CASE WHEN pdi + mdi > 0 THEN 100 * abs(pdi - mdi) / (pdi + mdi) WHEN pdi IS NOT NULL THEN 0.0 END AS dx FROM (
+      SELECT *, CASE WHEN k >= 15 AND st <> 0 THEN 100 * su / st END AS pdi, CASE WHEN k >= 15 AND st <> 0 THEN 100 * sd / st END AS mdi FROM (
+        SELECT v.symbol, v.k, v.trade_date, {_smooth('s.f', 'v.close', 'v.k', 12, '(2.0::DOUBLE / 13)')} AS f, {_smooth('s.w', 'v.close', 'v.k', 26, '(2.0::DOUBLE / 27)')} AS w, s.sg AS sg0,
+          CASE WHEN v.k > 1 THEN {_smooth('s.st', 'v.tr', '(v.k - 1)', 14, '(1.0::DOUBLE / 14)')} ELSE 0.0 END AS st, CASE WHEN v.k > 1 THEN {_smooth('s.su', 'v.up', '(v.k - 1)', 14, '(1.0::DOUBLE / 14)')} ELSE 0.0 END AS su, CASE WHEN v.k > 1 THEN {_smooth('s.sd', 'v.down', '(v.k - 1)', 14, '(1.0::DOUBLE / 14)')} ELSE 0.0 END AS sd, s.ac, s.ax FROM s JOIN v ON v.symbol = s.symbol AND v.k = s.k + 1))))"""
+
+
+@query("macd_adx", f"WITH RECURSIVE {m.BARS_SQL}, {PATH_SQL} SELECT symbol, trade_date, {sq('CASE WHEN k >= 26 THEN f - w END')} AS macd, {sq('CASE WHEN k >= 34 THEN sg END')} AS macd_signal, {sq('CASE WHEN k >= 34 THEN f - w - sg END')} AS macd_histogram, {sq('pdi')} AS plus_di, {sq('mdi')} AS minus_di, {sq('CASE WHEN ac >= 14 THEN ax END')} AS adx FROM s WHERE k > 0")
 def macd_adx(spark, d):
     """MACD(12,26,9) and ADX/DI(14) on every day: recursive, so one pass over each symbol's arrays."""
-    return m.bars(spark, d).where("close is not null").select("symbol", "trade_date", "high", "low", "close").groupBy("symbol").applyInPandas(recursive_path, "symbol long, trade_date date, macd double, macd_signal double, macd_histogram double, plus_di double, minus_di double, adx double")
+    rows = m.bars(spark, d).where("close is not null").select("symbol", "trade_date", "high", "low", "close").groupBy("symbol").applyInPandas(recursive_path, "symbol long, trade_date date, macd double, macd_signal double, macd_histogram double, plus_di double, minus_di double, adx double")
+    return rows.select("symbol", "trade_date", *[q(n, n) for n in rows.columns[2:]])
+
+
+def smoothed(x: pd.Series, n: int, alpha: float) -> pd.Series:
+    """Recursive mean of the known values: that of the first n, then folded with alpha; missing before and where x is."""
+    known = x.dropna()
+    if len(known) < n:
+        return pd.Series(np.nan, x.index)
+    path = known.iloc[n - 1 :].copy()
+    path.iloc[0] = known.iloc[:n].mean()
+    return path.ewm(alpha=alpha, adjust=False).mean().reindex(x.index)
 
 
 def recursive_path(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values("trade_date").reset_index(drop=True)
-
-    def smoothed(xs, n, alpha):
-        out, state = [None] * len(xs), None
-        known = []
-        for k, x in enumerate(xs):
-            if x is None:
-                continue
-            known.append(x)
-            if state is None:
-                state = sum(known) / n if len(known) == n else None
-            else:
-                state = (x - state) * alpha + state
-            out[k] = state
-        return out
-
-    close = rows["close"].tolist()
-    fast, slow = smoothed(close, 12, 2 / 13), smoothed(close, 26, 2 / 27)
-    line = [a - b if a is not None and b is not None else None for a, b in zip(fast, slow, strict=True)]
+    high, low, close = (rows[n].astype("float64") for n in ("high", "low", "close"))
+    line = smoothed(close, 12, 2 / 13) - smoothed(close, 26, 2 / 27)
     signal = smoothed(line, 9, 2 / 10)
-    tr, up, down = [None], [None], [None]
-    for (h0, l0, c0), (h1, l1) in zip(rows[["high", "low", "close"]].itertuples(index=False), rows[["high", "low"]].iloc[1:].itertuples(index=False)):  # noqa: B905
-        tr.append(max(h1 - l1, abs(h1 - c0), abs(l1 - c0)))
-        rise, fall = h1 - h0, l0 - l1
-        up.append(rise if rise > fall and rise > 0 else 0.0)
-        down.append(fall if fall > rise and fall > 0 else 0.0)
+    before = close.shift()
+    tr = pd.concat([high - low, (high - before).abs(), (low - before).abs()], axis=1).max(axis=1).where(before.notna())
+    rise, fall = high.diff(), -low.diff()
+    known = before.notna()
+    up, down = rise.where((rise > fall) & (rise > 0), 0.0).where(known), fall.where((fall > rise) & (fall > 0), 0.0).where(known)
     s_tr, s_up, s_down = (smoothed(x, 14, 1 / 14) for x in (tr, up, down))
-    plus = [100 * a / t if t else None for a, t in zip(s_up, s_tr, strict=True)]
-    minus = [100 * a / t if t else None for a, t in zip(s_down, s_tr, strict=True)]
-    dx = [100 * abs(a - b) / (a + b) if a is not None and a + b > 0 else (0.0 if a is not None else None) for a, b in zip(plus, minus, strict=True)]
-    adx = smoothed(dx, 14, 1 / 14)
-    histogram = [a - b if b is not None else None for a, b in zip(line, signal, strict=True)]
-    out = pd.DataFrame({"symbol": rows["symbol"], "trade_date": rows["trade_date"], "macd": line, "macd_signal": signal, "macd_histogram": histogram, "plus_di": plus, "minus_di": minus, "adx": adx})
-    return out.astype({n: "float64" for n in out.columns[2:]})
+    whole = s_tr.where(s_tr != 0)
+    plus, minus = 100 * s_up / whole, 100 * s_down / whole
+    total = plus + minus
+    dx = (100 * (plus - minus).abs() / total.where(total > 0)).fillna(0.0).where(plus.notna())
+    return pd.DataFrame({"symbol": rows["symbol"], "trade_date": rows["trade_date"], "macd": line, "macd_signal": signal, "macd_histogram": line - signal, "plus_di": plus, "minus_di": minus, "adx": smoothed(dx, 14, 1 / 14)})
 
 
 SHARE_SQL = f"{m.ACTIONS_SQL}, acts AS (SELECT symbol, ex_date, coalesce(split_to / nullif(split_from, 0), 1.0 / nullif(adjustment_factor, 0)) AS mult FROM actions WHERE action_type IN ('SPLIT', 'REVERSE_SPLIT', 'STOCK_DIVIDEND'))"

@@ -2,7 +2,8 @@
 
 Partitions are provider= / market= / dataset= / year= / month= / trade_date=, so that a range of days prunes folders and
 symbols reach the scan as a pushed filter.  A file is named by the SHA-256 of its rows; writing the same
-rows again changes nothing, and other rows for the same day are a revision beside the first.
+rows again changes nothing, and other rows for the same day are a revision beside the first, with the next number of
+that day (revision_seq), so copies of a store answer alike.
 """
 
 from __future__ import annotations
@@ -33,13 +34,16 @@ def append_days(bars: DataFrame, path: str) -> DataFrame:
     rows = with_revision(bars).withColumns({"year": F.year("trade_date"), "month": F.month("trade_date")})
     day = ["provider_id", "market_code", "dataset_key", "trade_date", "revision"]
     try:
-        known = spark.read.parquet(path).select(*day).distinct()
+        known = spark.read.parquet(path).select(*day, "revision_seq").distinct()
     except Exception as e:  # no store yet
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
-        known = rows.select(*day).limit(0)
-    seen = known.withColumn("seen", F.lit(True))
-    marked = rows.join(F.broadcast(seen) if known.count() < 100_000 else seen, day, "left")
+        known = rows.select(*day, F.lit(0).alias("revision_seq")).limit(0)
+    last = known.groupBy(*day[:-1]).agg((F.max("revision_seq") + 1).alias("__next"))
+    seen = known.select(*day).withColumn("seen", F.lit(True))
+    few = known.count() < 100_000
+    near = lambda x: F.broadcast(x) if few else x
+    marked = rows.join(near(seen), day, "left").join(near(last), day[:-1], "left").withColumn("revision_seq", F.coalesce("__next", F.lit(1))).drop("__next")
     # A row per day of the batch; taken now, since after the write every day would count as seen.
     told = marked.groupBy(*day).agg(F.first("seen").isNull().alias("is_new"))
     report = spark.createDataFrame(told.collect(), told.schema)
@@ -49,17 +53,16 @@ def append_days(bars: DataFrame, path: str) -> DataFrame:
 
 
 def read_days(spark: SparkSession, path: str, start: str, end: str, symbols: list[str] | None = None) -> DataFrame:
-    """Days of a range (inclusive), optionally some symbols; of several revisions of a day the one written last."""
+    """Days of a range (inclusive), optionally some symbols; of several revisions of a day that of the highest number."""
     rows = spark.read.schema(_stored_schema()).parquet(path).where(F.col("trade_date").between(start, end))
     if symbols is not None:
         rows = rows.where(F.col("native_symbol").isin(symbols))
-    rows = rows.withColumn("__at", F.col("_metadata.file_modification_time"))
     day = ["provider_id", "market_code", "dataset_key", "trade_date"]
-    last = rows.groupBy(*day).agg(F.max_by("revision", F.struct("__at", "revision")).alias("revision"))
-    return rows.drop("__at").join(last, [*day, "revision"]).drop("year", "month")
+    last = rows.groupBy(*day).agg(F.max("revision_seq").alias("revision_seq"))
+    return rows.join(last, [*day, "revision_seq"]).drop("year", "month")
 
 
 def _stored_schema():
     from pyspark.sql import types as T
 
-    return T.StructType([*DAILY_BAR.fields, T.StructField("revision", T.StringType()), T.StructField("year", T.IntegerType()), T.StructField("month", T.IntegerType())])
+    return T.StructType([*DAILY_BAR.fields, T.StructField("revision", T.StringType()), T.StructField("revision_seq", T.IntegerType()), T.StructField("year", T.IntegerType()), T.StructField("month", T.IntegerType())])
