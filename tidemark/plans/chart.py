@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import indicators as i
 from ..sources import market as m
 from . import judgement, outcomes, technical
-from .registry import q, query, sq
+from .registry import ORACLES, q, query, sq
 
 
 def priced(spark, d):
@@ -52,7 +52,17 @@ def breakout_state(spark, d):
     return breakouts(spark, d)
 
 
-@query("chart_assessment")
+def _assessment_sql() -> str:
+    """The queries that the assessment joins, each as its own SQL."""
+    o = ORACLES
+    concepts = {"FAILED_BREAKOUT": "lost", "BREAKOUT_RETEST": "cleared AND NOT lost AND depth_pct <= 5", "BASE": "contraction <= 0.6", "CAPITULATION": "run >= 3 AND volume_decay >= 1.5", "SUPPORT_HOLD": "last <= support * 1.03::DOUBLE", "OVERHEAD_SUPPLY": "resistance <= last * 1.05::DOUBLE"}
+    names = ("support", "resistance", "contraction", "rvol20", "level", "depth_pct", "expansion")
+    return f"""SELECT s.symbol, last, {', '.join(f'{sq(n)} AS {n}' for n in names)}, concat_ws(',', {', '.join(f"CASE WHEN {t} THEN '{k}' END" for k, t in concepts.items())}) AS concepts, concat_ws(',', {', '.join(f"CASE WHEN {n} IS NULL THEN '{n}' END" for n in names)}) AS measurement_gaps
+    FROM ({o['support_resistance']}) s LEFT JOIN (SELECT symbol, contraction, rvol20 FROM (SELECT symbol, contraction, rvol20, row_number() OVER (PARTITION BY symbol ORDER BY trade_date DESC) AS n FROM ({o['features_daily']})) WHERE n = 1) f ON f.symbol = s.symbol LEFT JOIN ({o['breakout_state']}) b ON b.symbol = s.symbol LEFT JOIN ({o['pullback']}) p ON p.symbol = s.symbol
+    LEFT JOIN ({o['volatility_expansion']}) v ON v.symbol = s.symbol LEFT JOIN (SELECT symbol, run, volume_decay FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY trade_date DESC) AS n FROM ({o['exhaustion']})) WHERE n = 1) x ON x.symbol = s.symbol"""
+
+
+@query("chart_assessment", _assessment_sql())
 def chart_assessment(spark, d):
     """Measurements, the concepts they support (none on a missing measurement), and the measurements that are missing."""
     levels = outcomes.support_resistance(spark, d).select("symbol", "last", "support", "resistance", "heaviest_above")
@@ -71,4 +81,4 @@ def chart_assessment(spark, d):
     }
     measures = ["support", "resistance", "contraction", "rvol20", "level", "depth_pct", "expansion"]
     present = lambda xs: F.filter(F.array(*xs), lambda x: x.isNotNull())
-    return rows.select("symbol", "last", *[q(n, n) for n in measures], present([F.when(F.coalesce(t, F.lit(False)), F.lit(k)) for k, t in concepts.items()]).alias("concepts"), present([F.when(c(n).isNull(), F.lit(n)) for n in measures]).alias("measurement_gaps"))
+    return rows.select("symbol", "last", *[q(n, n) for n in measures], F.array_join(present([F.when(F.coalesce(t, F.lit(False)), F.lit(k)) for k, t in concepts.items()]), ",").alias("concepts"), F.array_join(present([F.when(c(n).isNull(), F.lit(n)) for n in measures]), ",").alias("measurement_gaps"))
