@@ -8,8 +8,6 @@ a hit, a link or a removal is decided, the words themselves are compared (same_w
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from urllib.parse import unquote, urlparse
 
 import numpy as np
@@ -19,6 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import save, scratch_dir  # noqa: F401
+
 #: Bytes of text that a task turns into arrays at once (one longer text is a block of its own).
 BLOCK_BYTES = 1 << 20
 #: Rows of a batch between Spark and Python.
@@ -32,25 +32,7 @@ STEP = np.uint64(0xD6E8FEB86659FD93)
 SEED = np.uint64(0x9E3779B97F4A7C15)
 
 
-# --------------------------------------------------------------------------- shared folder
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir.  Where that is unset: a temporary folder in local mode, else an error."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("tidemark.scratch", "")
-    if not base:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="spark-tidemark-")
-        spark.conf.set("tidemark.scratch", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def save(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Write df once into the shared folder and read it back: a cut of the lineage that survives lost executors."""
-    path = scratch_dir(df.sparkSession)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
+# --------------------------------------------------------------------------- files, partitions, joins
 def file_system(uri: str):
     """The file system that a URI names, and the path there, for tasks."""
     from pyarrow import fs
