@@ -627,6 +627,36 @@ def test_queries_run(spark):
         assert QUERIES[n](spark, D).count() > 0
 
 
+def test_registered_queries_against_plain_versions(spark, docs):
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{D}/benchmark.parquet").collect()]
+    names = lambda items: hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
+    want = {i: (words, hit, len(items), names(items), bad) for i, words, hit, items, bad in contaminated(rows, bench)}
+    assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in QUERIES["op4_suffix_array_decontamination"](spark, D).collect()} == want
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in QUERIES["op6_bbit_minhash"](spark, D).collect()} == linked(rows)
+    words, first = {i: re.findall(r"[^\x20\x09-\x0D]+", t or "") for i, t in rows}, {}
+    for i in sorted(words):
+        for k in range(len(words[i]) - 12):
+            first.setdefault(tuple(words[i][k : k + 13]), i)
+    for r in QUERIES["op10_substring_dedup"](spark, D).collect():
+        own = words[r.doc_id]
+        gone = {p for k in range(len(own) - 12) if first[tuple(own[k : k + 13])] < r.doc_id for p in range(k, k + 13)}
+        kept = " ".join(w for p, w in enumerate(own) if p not in gone)
+        assert (r.n_words, r.n_removed, r.kept_sha256) == (len(own), len(gone), hashlib.sha256(kept.encode()).hexdigest())
+    assert QUERIES["op5_kneser_ney_quality"](spark, D).count() == len(rows)
+
+
+def test_repeated_ids_with_long_texts(spark):
+    long = " ".join(f"w{i % 5000}" for i in range(60_000))
+    rows = spark.createDataFrame([(1, long), (1, long + " x"), (1, "other"), (2, long), (3, "z")], SCHEMA)
+    found = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(rows).collect())
+    assert found == [(1, 1, True)] * 3 + [(2, 1, False), (3, 3, True)]
+    labels = spark.createDataFrame([(1, 1, 1), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    assert toxicity.toxicity(rows, labels).count() == 5
+    judged = kneser_ney.score(rows.selectExpr("*", "'en' as lang"), labels).collect()
+    assert len(judged) == 5 and {r.n_words for r in judged} == {60_000, 60_001, 1}
+
+
 def test_media_equal_texts(spark):
     df = spark.createDataFrame([(1, "a b"), (2, "a b")], SCHEMA)
     a, b = media.read(media.store(df), pixels=False).drop("doc_id").collect()

@@ -20,7 +20,8 @@ each then), SAMPLES_PER_RANGE keys for each of them on average (24 bytes a key),
 the ranges that are subdivided, and one row of totals per range.
 
 Defined cases: null text has size 1 and groups with empty text; rows without doc_id order first
-within their text; equal rows take consecutive slots in any order; very long texts may leave
+within their text; equal rows take consecutive slots in any order, and as no key can part them, rows of
+one doc_id and text that are repeated very often stay in one range, however large; very long texts may leave
 shards empty (a text is never split); an empty table gives an empty table.  Columns pass
 through; columns named size, text_crc32, shard or slot are replaced.
 """
