@@ -53,19 +53,18 @@ def near_pairs(rows: DataFrame, key: str, group: list[str], text: str, least: fl
     Gives (left, right, similarity) between representatives, smaller key left; near_members says whom they stand for.
     """
     _, classes = _classes(rows, key, group, text)
-    each = classes.select(*group, "id", "t", F.explode("t").alias("token"))
+    each = classes.select(*group, "id", F.size("t").alias("size"), F.explode("t").alias("token"))
     often = each.groupBy(*group, "token").agg(F.count("*").alias("n"))
-    ranked = each.join(often, [*group, "token"])
     place = F.row_number().over(Window.partitionBy("id").orderBy("n", "token"))
-    size = F.size("t")
-    first = ranked.withColumn("place", place).where(F.col("place") <= size - F.ceil(size * least) + 1).select(*group, "token", "id", "t")
-    left, right = first.select(*group, "token", F.col("id").alias("left"), F.col("t").alias("a")), first.select(*group, "token", F.col("id").alias("right"), F.col("t").alias("b"))
-    na, nb = F.size("a"), F.size("b")
-    met = left.join(right, [*group, "token"]).where((F.col("left") < F.col("right")) & (na >= nb * least) & (nb >= na * least))
-    # The exact test comes before the distinct, so candidates that fail it are not shuffled.
-    both = F.size(F.array_intersect("a", "b"))
-    similarity = both / (na + nb - both)
-    return met.select("left", "right", similarity.alias("similarity")).where(F.col("similarity") >= least).distinct()
+    first = each.join(often, [*group, "token"]).withColumn("place", place).where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * least) + 1)
+    left, right = (first.select(*group, "token", F.col("id").alias(n), F.col("size").alias(f"n_{n}")) for n in ("left", "right"))
+    # Ids meet by token; the sets themselves only move for pairs that may be similar.
+    na, nb = F.col("n_left"), F.col("n_right")
+    met = left.join(right, [*group, "token"]).where((F.col("left") < F.col("right")) & (na >= nb * least) & (nb >= na * least)).select("left", "right").distinct()
+    a, b = (classes.select(F.col("id").alias(n), F.col("t").alias(f"t_{n}")) for n in ("left", "right"))
+    both = F.size(F.array_intersect("t_left", "t_right"))
+    similarity = both / (F.size("t_left") + F.size("t_right") - both)
+    return met.join(a, "left").join(b, "right").select("left", "right", similarity.alias("similarity")).where(F.col("similarity") >= least)
 
 
 def demote_shared(rows: DataFrame, key: str) -> DataFrame:

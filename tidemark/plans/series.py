@@ -124,3 +124,11 @@ def never_entered_labels(spark, d):
     return rows.select("symbol", F.col("trade_date").alias("as_of"), hit(1.1).alias("hit_10"), hit(1.2).alias("hit_20"), hit(1.3).alias("hit_30"), F.nullif(first, F.lit(0)).alias("days_to_20"), q(F.col("up") / F.col("close") - 1, "mfe"), q(F.col("down") / F.col("close") - 1, "mae"))
 
 
+
+
+@query("canonical_hashes", """SELECT c_custkey, sha256('{"key":' || c_custkey || ',"name":"' || c_name || '","nation":' || CASE WHEN c_custkey % 5 = 0 THEN 'null' ELSE CAST(c_nationkey AS VARCHAR) END || '}') AS digest FROM customer""")
+def canonical_hashes(spark, d):
+    """SHA-256 of each row's canonical JSON."""
+    k = F.col("c_custkey")
+    text = tx.canonical_json(name=F.col("c_name"), key=k, nation=F.when(k % 5 != 0, F.col("c_nationkey")))
+    return m.table(spark, d, "customer").select(k, F.sha2(text, 256).alias("digest"))
