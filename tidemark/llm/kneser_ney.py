@@ -55,11 +55,11 @@ BROADCAST_LANGUAGES = 10_000
 #: Words of the model (40 bytes each, as words and as contexts) that may be broadcast to its pairs; more are joined by a shuffle.
 BROADCAST_WORDS = 2_000_000
 #: Grams (24 bytes each) whose gains go to all tasks, and the bits of the filter of all grams.
-HOT, FILTER_BITS = 1 << 20, 27
+HOT, FILTER_BITS = 1 << 19, 26
 #: Bytes of the filter that are put together at once.
 PIECE = 1 << 16
 #: Text bytes whose grams a task joins before it gives them out.
-SLAB_BYTES = 8 << 20
+SLAB_BYTES = 3 << 20
 #: Pairs and grams that a shard should hold, and text bytes whose sums a task brings together.
 SHARD_ROWS, SUM_BYTES = 1_000_000, 64 << 20
 #: Text bytes sampled to find often words (it only plans).
@@ -352,9 +352,12 @@ def _ask(shards: int, known):
             x = as_context(a)
             key = c.long_array(part.column(part.schema.get_field_index("__key")))
             own = key & 1 == 1
-            gram, at = np.concatenate([b, x, pair_code(x, b)]), np.concatenate([doc] * 3)
+            words = np.bincount(doc, minlength=len(raw))
+            gram, at = np.concatenate([b, x, pair_code(x, b)]), np.tile(doc.astype(np.int32), 3)
+            del a, b, x, doc
             order = np.argsort(gram, kind="stable")
             gram, at = gram[order], at[order]
+            del order
             new = np.ones(len(gram), bool)
             new[1:] = gram[1:] != gram[:-1]
             first = np.flatnonzero(new | np.append(True, at[1:] != at[:-1])[: len(gram)])
@@ -374,7 +377,6 @@ def _ask(shards: int, known):
                     open_ &= bits[spot >> 3] >> (spot & 7).astype(np.uint8) & 1 == 1
             doc_id = part.column(part.schema.get_field_index("doc_id")).to_pylist()
             lang = part.column(part.schema.get_field_index("lang")).to_pylist()
-            words = np.bincount(doc, minlength=len(raw))
             docs = [{"doc_id": i, "lang": l, "__key": k, "n_words": w, "gain": g} for i, l, k, w, g in zip(doc_id, lang, key.tolist(), words.tolist(), sums.tolist(), strict=True)]
             rows = [{"part": int(c.mix(np.array([slab], np.uint64))[0] % np.uint64(shards)), "kind": 2, "slab": slab, "docs": docs}]
             deal = c.mix(gram) % np.uint64(shards)
