@@ -21,8 +21,8 @@ from ..sources.scratch import save, scratch_dir  # noqa: F401
 
 #: Bytes of text that a task turns into arrays at once (one longer text is a block of its own).
 BLOCK_BYTES = 1 << 20
-#: Rows of a batch between Spark and Python.
-BATCH_ROWS = 1000
+#: Rows, and bytes, of a batch between Spark and Python.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 #: Words of more bytes are hashed and compared one by one.
 LONG_WORD = 256
 #: A key is often if more than one in OFTEN rows has it; so there are fewer than OFTEN such keys.
@@ -74,11 +74,11 @@ def join_split(left: DataFrame, right: DataFrame, key: str, often: list | None =
 
 # --------------------------------------------------------------------------- blocks of texts
 def small_batches(spark: SparkSession) -> None:
-    """Fewer rows a batch between Spark and Python than the 10,000 that suit narrow rows: texts are long."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Fewer rows and bytes a batch between Spark and Python than suit narrow rows: texts, and packed values, are long."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = int(spark.conf.get(key).removesuffix("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
 
 
 def texts(column: pa.Array) -> list[bytes]:
