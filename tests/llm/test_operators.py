@@ -422,7 +422,8 @@ def test_estimate():
     for _ in range(60):
         words = [b"w%d" % x for x in rng.integers(0, 1 << 30, 300)]
         other = [w if rng.random() > 0.03 else b"o%d" % rng.integers(1 << 30) for w in words]
-        code, bounds = minhash.shingles([b" ".join(words), b" ".join(other)])
+        own = minhash.Shingles([b" ".join(words), b" ".join(other)])
+        code, bounds = own.code, own.bounds
         a, b = (set(code[bounds[i] : bounds[i + 1]].tolist()) for i in (0, 1))
         sig = minhash._signatures(code, bounds).view(np.uint64)
         est, _ = minhash._likely(sig[:1], sig[1:], np.array([float(len(a))]), np.array([float(len(b))]))
