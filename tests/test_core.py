@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from tidemark import plans
 from tidemark.functions import indicators as i
 from tidemark.operators import evaluation, events, history, matching, outcome, restate
-from tidemark.plans.technical import recursive_path
 from tidemark.sources import files, store
 
 SF = "/root/testdata/sf0.001"
@@ -56,11 +55,13 @@ def test_true_range(spark):
     assert last(df, i.true_range()) == 10.5
 
 
-def test_recursive_path():
+def test_recursive_means(spark):
     n = 60
     closes = [100 + 5 * math.sin(k / 3) + k * 0.2 for k in range(n)]
-    rows = pd.DataFrame({"symbol": 1, "trade_date": [dt.date(2026, 1, 1) + dt.timedelta(days=k) for k in range(n)], "high": [c + 1 for c in closes], "low": [c - 1 for c in closes], "close": closes})
-    out = recursive_path(rows)
+    rows = [(1, dt.date(2026, 1, 1) + dt.timedelta(days=k), c + 1, c - 1, c) for k, c in enumerate(closes)] + [(2, dt.date(2026, 1, 1) + dt.timedelta(days=k), 2.0, 1.0, None if k == 40 else 1.5) for k in range(n)]
+    both = i.with_recursive_means(spark.createDataFrame(rows, "symbol long, trade_date date, high double, low double, close double")).toPandas().sort_values(["symbol", "trade_date"])
+    out, holed = both[both.symbol == 1], both[both.symbol == 2]
+    assert holed.ema_12.notna().sum() == 29 and holed.rsi_14.iloc[20] == 50.0 and holed.atr_14.isna().tolist() == [not 14 <= k < 40 for k in range(n)] and holed.adx_14.iloc[39] == 0.0
 
     def ema(xs, k):
         a = sum(xs[:k]) / k
@@ -71,8 +72,8 @@ def test_recursive_path():
     assert out.macd.iloc[-1] == pytest.approx(ema(closes, 12) - ema(closes, 26))
     line = [ema(closes[: k + 1], 12) - ema(closes[: k + 1], 26) for k in range(25, n)]
     assert out.macd_signal.iloc[-1] == pytest.approx(ema(line, 9))
-    assert out.macd.isna().sum() == 25 and out.macd_histogram.isna().sum() == 33
-    assert out.adx.isna().sum() == 27 and out.adx.dropna().between(0, 100).all()
+    assert out.macd.isna().sum() == 25 and out.macd_hist.isna().sum() == 33
+    assert out.adx_14.isna().sum() == 27 and out.adx_14.dropna().between(0, 100).all()
 
 
 def test_restate(spark):

@@ -7,7 +7,7 @@ sorts once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -92,7 +92,7 @@ def candle() -> dict[str, Column]:
     body_top, body_low = F.greatest("open", "close"), F.least("open", "close")
     known = (span > 0) & F.col("close").isNotNull() & F.col("open").isNotNull()
     share = lambda x: F.when(known, F.try_divide(x, span) * 100)
-    return {"body_pct": share(body_top - body_low), "upper_wick_pct": share(F.col("high") - body_top), "lower_wick_pct": share(body_low - F.col("low")), "clv": F.when(known, F.try_divide(F.col("close") - F.col("low"), span))}
+    return {"body_pct": share(body_top - body_low), "upper_wick_pct": share(F.col("high") - body_top), "lower_wick_pct": share(body_low - F.col("low")), "clv": F.when(known, F.try_divide((F.col("close") - F.col("low")) - (F.col("high") - F.col("close")), span))}
 
 
 def up_streak(seq: str = "seq", price: str = "close") -> Column:
@@ -135,3 +135,83 @@ def rsi_of(values: Column, n: int = 14) -> Column:
     loss = wilder_of(F.transform(move, lambda x: F.greatest(-x, F.lit(0.0))), n)
     known = ~F.exists(values, lambda x: x.isNull())
     return F.when(known & gain.isNotNull(), F.when(loss == 0, F.when(gain == 0, 50.0).otherwise(100.0)).otherwise(100 - 100 / (1 + F.try_divide(gain, F.nullif(loss, F.lit(0.0))))))
+
+
+# ------------------------------------------------------------------ recursive means on every bar
+#: Bars that a fold goes through before their states are put aside: a path is laid down in pieces, so its cost is linear.
+PIECE = 64
+
+
+def bound(value: str, name: str, use: str) -> str:
+    """SQL text: use, in which name stands for a value that is made once."""
+    return f"element_at(transform(array({value}), {name} -> {use}), 1)"
+
+
+def scan(values: str, first: str, step: str) -> str:
+    """SQL text: the states of a fold after each element of an array: what aggregate gives at the end, for every place.
+
+    step gives the next state of s (the state) and x (the element), with the type of first.  values is a name.
+    """
+    pieces = f"if(size({values}) > 0, transform(sequence(0, (size({values}) - 1) div {PIECE}), p -> slice({values}, int(p * {PIECE} + 1), {PIECE})), slice(array({values}), 1, 0))"
+    # A piece's path begins with the state before it.
+    own = f"aggregate(piece, array(element_at(element_at(done, -1), -1)), (own, x) -> concat(own, array({bound('element_at(own, -1)', 's', step)})))"
+    path = f"aggregate({pieces}, array(array({first})), (done, piece) -> concat(done, array({own})))"
+    return f"flatten(transform({bound(path, 'all', 'slice(all, 2, size(all) - 1)')}, own -> slice(own, 2, size(own) - 1)))"
+
+
+def _mean(state: str, x: str, k: str, n: int, alpha: str) -> str:
+    """A recursive mean as a state: a sum up to the n-th value, their mean there, folded with alpha after it."""
+    return f"case when {k} < {n} then {state} + {x} when {k} = {n} then ({state} + {x}) / {n} else ({x} - {state}) * {alpha} + {state} end"
+
+
+def _wilder(state: str, x: str, k: str, n: int) -> str:
+    return f"case when {k} < {n} then {state} + {x} when {k} = {n} then ({state} + {x}) / {n} else ({state} * {n - 1} + {x}) / {n} end"
+
+
+def recursive_means(bars: str) -> Column:
+    """For an array of bars (high, low, close: doubles) in order: an array of EMA(12, 26), MACD(12, 26, 9), RSI(14), ATR(14), ADX and DI(14).
+
+    A measure is null until it has its bars, and from the first hole in the prices it needs on.
+    """
+    zeros = ", ".join(f"'{n}', 0.0D" for n in ("e12", "e26", "gain", "loss", "tr", "up", "down"))
+    first = f"named_struct('k', 0, 'closes', true, 'ranges', true, 'high', double(null), 'low', double(null), 'close', double(null), {zeros})"
+    # Of this bar: its number, what is known up to it, and its moves against the bar before.
+    now = (
+        "named_struct('k', s.k + 1, 'closes', s.closes and x.close is not null, 'ranges', s.ranges and s.closes and x.close is not null and x.high is not null and x.low is not null, "
+        "'move', x.close - s.close, 'rise', x.high - s.high, 'fall', s.low - x.low, 'tr', greatest(x.high - x.low, abs(x.high - s.close), abs(x.low - s.close)))"
+    )
+    later = lambda name, ok, x: f"'{name}', case when n.{ok} and n.k > 1 then {_wilder(f's.{name}', x, '(n.k - 1)', 14)} else 0.0D end"
+    ema = lambda n: f"'e{n}', case when n.closes then {_mean(f's.e{n}', 'x.close', 'n.k', n, f'(2.0D / {n + 1})')} else 0.0D end"
+    step = bound(
+        now,
+        "n",
+        "named_struct('k', n.k, 'closes', n.closes, 'ranges', n.ranges, 'high', x.high, 'low', x.low, 'close', x.close, "
+        + ", ".join([ema(12), ema(26), later("gain", "closes", "greatest(n.move, 0.0D)"), later("loss", "closes", "greatest(-n.move, 0.0D)"), later("tr", "ranges", "n.tr"), later("up", "ranges", "if(n.rise > n.fall and n.rise > 0, n.rise, 0.0D)"), later("down", "ranges", "if(n.fall > n.rise and n.fall > 0, n.fall, 0.0D)")])
+        + ")",
+    )
+    # What the second fold takes: the MACD line, the directional shares and their index.
+    whole = "if(s.ranges and s.k >= 15 and s.tr <> 0, 100 * {} / s.tr, null)"
+    line = f"named_struct('s', s, 'macd', if(s.closes and s.k >= 26, s.e12 - s.e26, null), 'plus', {whole.format('s.up')}, 'minus', {whole.format('s.down')})"
+    line = bound(line, "d", "named_struct('s', d.s, 'macd', d.macd, 'plus', d.plus, 'minus', d.minus, 'dx', case when d.plus + d.minus > 0 then 100 * abs(d.plus - d.minus) / (d.plus + d.minus) when d.plus is not null then 0.0D end)")
+    second = f"named_struct('n', s.n + int(x.dx is not null), 'm', s.m + int(x.macd is not null), 'signal', if(x.macd is null, s.signal, {_mean('s.signal', 'x.macd', '(s.m + 1)', 9, '0.2D')}), 'adx', if(x.dx is null, s.adx, {_wilder('s.adx', 'x.dx', '(s.n + 1)', 14)}))"
+    result = (
+        "named_struct('ema_12', if(x.s.closes and x.s.k >= 12, x.s.e12, null), 'ema_26', if(x.s.closes and x.s.k >= 26, x.s.e26, null), 'macd', x.macd, "
+        "'macd_signal', if(x.macd is not null and t.m >= 9, t.signal, null), 'macd_hist', if(x.macd is not null and t.m >= 9, x.macd - t.signal, null), "
+        "'rsi_14', case when not (x.s.closes and x.s.k >= 15) then null when x.s.loss > 0 then 100.0D - 100.0D / (1.0D + x.s.gain / x.s.loss) when x.s.gain > 0 then 100.0D else 50.0D end, "
+        "'atr_14', if(x.s.ranges and x.s.k >= 15, x.s.tr, null), 'adx_14', if(x.plus is not null and t.n >= 14, t.adx, null), 'plus_di_14', x.plus, 'minus_di_14', x.minus)"
+    )
+    lines = f"transform({bound(bars, 'series', scan('series', first, step))}, s -> {line})"
+    return F.expr(bound(lines, "lines", f"zip_with(lines, {scan('lines', "named_struct('n', 0, 'm', 0, 'signal', 0.0D, 'adx', 0.0D)", second)}, (x, t) -> {result})"))
+
+
+def with_recursive_means(bars: DataFrame, key: str = "symbol", order: str = "trade_date") -> DataFrame:
+    """bars with the columns of recursive_means: one shuffle by key, a fold over each key's bars in order, rows again.
+
+    The shuffle has its number of partitions by name, since a fold takes some microseconds a bar: adaptive plans
+    would merge partitions that are small in bytes.
+    """
+    rest = [x for x in bars.columns if x not in (key, order)]
+    rows = bars.repartition(int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions")), key).groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, *rest))).alias("__bars"))
+    means = recursive_means("transform(__bars, b -> named_struct('high', double(b.high), 'low', double(b.low), 'close', double(b.close)))")
+    rows = rows.select(key, F.inline(F.zip_with("__bars", means, lambda b, m: F.struct(b.alias("b"), m.alias("m")))))
+    return rows.select(key, "b.*", "m.*")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import indicators as i
@@ -34,7 +32,7 @@ def sma_guarded(spark, d):
     return m.bars(spark, d).select("symbol", "trade_date", *[q(i.sma("close", n), f"sma{n}") for n in (5, 25, 75)])
 
 
-@query("rolling_extremes", f"WITH {m.BARS_SQL} SELECT symbol, trade_date, {guard('max(high)', 'high', 20)} AS high20, {guard('min(low)', 'low', 20)} AS low20, {guard('max(close)', 'close', 60)} AS close60 FROM bars")
+@query("rolling_extremes", f"WITH {m.BARS_SQL} SELECT symbol, trade_date, {guard('max(high)', 'high', 5)} AS high5, {guard('min(low)', 'low', 5)} AS low5, {guard('max(high)', 'high', 20)} AS high20, {guard('min(low)', 'low', 20)} AS low20, {guard('min(low)', 'low', 20)} AS low20, {guard('max(close)', 'close', 60)} AS close60 FROM bars")
 def rolling_extremes(spark, d):
     return m.bars(spark, d).select("symbol", "trade_date", i.rolling_max("high", 20).alias("high20"), i.rolling_min("low", 20).alias("low20"), i.rolling_max("close", 60).alias("close60"))
 
@@ -96,7 +94,7 @@ def relative_volume(spark, d):
     f"""WITH {m.BARS_SQL} SELECT symbol, trade_date, {sq('CASE WHEN high > low AND close IS NOT NULL THEN (greatest(open, close) - least(open, close)) / (high - low) * 100 END')} AS body_pct,
       {sq('CASE WHEN high > low AND close IS NOT NULL THEN (high - greatest(open, close)) / (high - low) * 100 END')} AS upper_wick_pct,
       {sq('CASE WHEN high > low AND close IS NOT NULL THEN (least(open, close) - low) / (high - low) * 100 END')} AS lower_wick_pct,
-      {sq('CASE WHEN high > low THEN (close - low) / (high - low) END')} AS clv FROM bars""",
+      {sq('CASE WHEN high > low THEN ((close - low) - (high - close)) / (high - low) END')} AS clv FROM bars""",
 )
 def candle_shape(spark, d):
     return m.bars(spark, d).select("symbol", "trade_date", *[q(v, k) for k, v in i.candle().items()])
@@ -171,37 +169,9 @@ s AS (SELECT symbol, 0::BIGINT AS k, NULL::DATE AS trade_date, 0.0::DOUBLE AS f,
 
 @query("macd_adx", f"WITH RECURSIVE {m.BARS_SQL}, {PATH_SQL} SELECT symbol, trade_date, {sq('CASE WHEN k >= 26 THEN f - w END')} AS macd, {sq('CASE WHEN k >= 34 THEN sg END')} AS macd_signal, {sq('CASE WHEN k >= 34 THEN f - w - sg END')} AS macd_histogram, {sq('pdi')} AS plus_di, {sq('mdi')} AS minus_di, {sq('CASE WHEN ac >= 14 THEN ax END')} AS adx FROM s WHERE k > 0")
 def macd_adx(spark, d):
-    """MACD(12,26,9) and ADX/DI(14) on every day: recursive, so one pass over each symbol's arrays."""
-    rows = m.bars(spark, d).where("close is not null").select("symbol", "trade_date", "high", "low", "close").groupBy("symbol").applyInPandas(recursive_path, "symbol long, trade_date date, macd double, macd_signal double, macd_histogram double, plus_di double, minus_di double, adx double")
-    return rows.select("symbol", "trade_date", *[q(n, n) for n in rows.columns[2:]])
-
-
-def smoothed(x: pd.Series, n: int, alpha: float) -> pd.Series:
-    """Recursive mean of the known values: that of the first n, then folded with alpha; missing before and where x is."""
-    known = x.dropna()
-    if len(known) < n:
-        return pd.Series(np.nan, x.index)
-    path = known.iloc[n - 1 :].copy()
-    path.iloc[0] = known.iloc[:n].mean()
-    return path.ewm(alpha=alpha, adjust=False).mean().reindex(x.index)
-
-
-def recursive_path(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("trade_date").reset_index(drop=True)
-    high, low, close = (rows[n].astype("float64") for n in ("high", "low", "close"))
-    line = smoothed(close, 12, 2 / 13) - smoothed(close, 26, 2 / 27)
-    signal = smoothed(line, 9, 2 / 10)
-    before = close.shift()
-    tr = pd.concat([high - low, (high - before).abs(), (low - before).abs()], axis=1).max(axis=1).where(before.notna())
-    rise, fall = high.diff(), -low.diff()
-    known = before.notna()
-    up, down = rise.where((rise > fall) & (rise > 0), 0.0).where(known), fall.where((fall > rise) & (fall > 0), 0.0).where(known)
-    s_tr, s_up, s_down = (smoothed(x, 14, 1 / 14) for x in (tr, up, down))
-    whole = s_tr.where(s_tr != 0)
-    plus, minus = 100 * s_up / whole, 100 * s_down / whole
-    total = plus + minus
-    dx = (100 * (plus - minus).abs() / total.where(total > 0)).fillna(0.0).where(plus.notna())
-    return pd.DataFrame({"symbol": rows["symbol"], "trade_date": rows["trade_date"], "macd": line, "macd_signal": signal, "macd_histogram": line - signal, "plus_di": plus, "minus_di": minus, "adx": smoothed(dx, 14, 1 / 14)})
+    """MACD(12,26,9) and ADX/DI(14) on every day: recursive, so a fold over each symbol's bars that keeps its path."""
+    rows = i.with_recursive_means(m.bars(spark, d).where("close is not null").select("symbol", "trade_date", "high", "low", "close"))
+    return rows.select("symbol", "trade_date", q("macd", "macd"), q("macd_signal", "macd_signal"), q("macd_hist", "macd_histogram"), q("plus_di_14", "plus_di"), q("minus_di_14", "minus_di"), q("adx_14", "adx"))
 
 
 SHARE_SQL = f"{m.ACTIONS_SQL}, acts AS (SELECT symbol, ex_date, coalesce(split_to / nullif(split_from, 0), 1.0 / nullif(adjustment_factor, 0)) AS mult FROM actions WHERE action_type IN ('SPLIT', 'REVERSE_SPLIT', 'STOCK_DIVIDEND'))"
@@ -251,15 +221,15 @@ mul AS (SELECT b.symbol, b.trade_date, coalesce(product(a.mult) FILTER (WHERE a.
   FROM bars b LEFT JOIN acts a ON a.symbol = b.symbol GROUP BY b.symbol, b.trade_date),
 basis AS (SELECT symbol, trade_date, open / to_asof AS open, high / to_asof AS high, low / to_asof AS low, close / to_asof AS close, volume * to_asof AS volume, turnover, to_asof, blocked, market_code
   FROM bars JOIN mul USING (symbol, trade_date) JOIN markets USING (symbol)),
-f1 AS (SELECT *, row_number() OVER o AS seq, CASE WHEN low > 0 THEN (high - low) / low * 100 END AS range_pct, count(*) FILTER (WHERE close IS NULL) OVER (PARTITION BY symbol ORDER BY trade_date ROWS UNBOUNDED PRECEDING) AS holes,
-  {_W25} AS sma25, {guard('avg(close)', 'close', 75)} AS sma75, {guard('max(high)', 'high', 20)} AS high20, {guard('avg(close)', 'close', 20)} AS mid, {guard('stddev_pop(close)', 'close', 20)} AS dev,
+f1 AS (SELECT *, row_number() OVER o AS seq, count(*) FILTER (WHERE close IS NULL) OVER (PARTITION BY symbol ORDER BY trade_date ROWS UNBOUNDED PRECEDING) AS holes,
+  {_W25} AS sma25, {guard('avg(close)', 'close', 75)} AS sma75, {guard('max(high)', 'high', 5)} AS high5, {guard('min(low)', 'low', 5)} AS low5, {guard('max(high)', 'high', 20)} AS high20, {guard('min(low)', 'low', 20)} AS low20, {guard('avg(close)', 'close', 20)} AS mid, {guard('stddev_pop(close)', 'close', 20)} AS dev,
   (close - lag(close, 1) OVER o) / nullif(lag(close, 1) OVER o, 0) * 100 AS ret1, (close - lag(close, 5) OVER o) / nullif(lag(close, 5) OVER o, 0) * 100 AS ret5, (close - lag(close, 20) OVER o) / nullif(lag(close, 20) OVER o, 0) * 100 AS ret20,
   volume / nullif({guard('avg(volume)', 'volume', 5, 1)}, 0) AS rvol5, volume / nullif({guard('avg(volume)', 'volume', 20, 1)}, 0) AS rvol20,
   {guard('avg(turnover)', 'turnover', 20)} AS turnover20, turnover / nullif({guard('avg(turnover)', 'turnover', 20, 1)}, 0) AS turnover_rvol,
-  CASE WHEN high > low AND close IS NOT NULL THEN (least(open, close) - low) / (high - low) * 100 END AS lower_wick_pct, CASE WHEN high > low AND close IS NOT NULL THEN (close - low) / (high - low) END AS clv
+  CASE WHEN high > low AND close IS NOT NULL THEN (least(open, close) - low) / (high - low) * 100 END AS lower_wick_pct, CASE WHEN high > low AND close IS NOT NULL THEN ((close - low) - (high - close)) / (high - low) END AS clv
   FROM basis {W}),
 f2 AS (SELECT *, (close - sma25) / nullif(sma25, 0) * 100 AS close_vs_sma25, (high20 - close) / nullif(high20, 0) * 100 AS dist_high20, CASE WHEN holes = 0 THEN 4 * dev / mid END AS bb_width,
-  ({guard('avg(range_pct)', 'range_pct', 5)}) / nullif({guard('avg(range_pct)', 'range_pct', 20)}, 0) AS contraction FROM f1),
+  CASE WHEN low5 > 0 AND low20 > 0 THEN ((high5 - low5) / low5 * 100) / nullif((high20 - low20) / low20 * 100, 0) END AS contraction FROM f1),
 features AS (SELECT *, min(close_vs_sma25) OVER {frame(5, 1)} AS lowest_gap FROM f2)"""
 
 
