@@ -160,12 +160,15 @@ sw AS (SELECT symbol, high, low, volume, lag(high) OVER o AS h0, lead(high) OVER
 pv AS (SELECT symbol, high AS price, volume FROM sw WHERE high >= h0 AND high >= h2 UNION ALL SELECT symbol, low, volume FROM sw WHERE low <= l0 AND low <= l2), pk AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY price, volume) AS k FROM pv),
 cl AS (SELECT symbol, k, price, volume, price AS anchor, 1 AS cluster FROM pk WHERE k = 1 UNION ALL SELECT pk.symbol, pk.k, pk.price, pk.volume, CASE WHEN pk.price <= cl.anchor * 1.01::DOUBLE THEN cl.anchor ELSE pk.price END, CASE WHEN pk.price <= cl.anchor * 1.01::DOUBLE THEN cl.cluster ELSE cl.cluster + 1 END FROM cl JOIN pk ON pk.symbol = cl.symbol AND pk.k = cl.k + 1),
 lv AS (SELECT symbol, cluster, sum(price) / count(*) AS level, sum(volume) AS volume FROM cl GROUP BY symbol, cluster), la AS (SELECT symbol, close AS last FROM recent WHERE back = 1)
-SELECT lv.symbol, last, {sq('max(level) FILTER (WHERE level < last)')} AS support, {sq('min(level) FILTER (WHERE level > last)')} AS resistance, {sq('arg_max(level, volume) FILTER (WHERE level > last)')} AS heaviest_above, count(*) AS levels FROM lv JOIN la ON la.symbol = lv.symbol GROUP BY lv.symbol, last"""
+SELECT lv.symbol, last, {sq('max(level) FILTER (WHERE level < last)')} AS support, {sq('min(level) FILTER (WHERE level > last)')} AS resistance, {sq('arg_max(level, (volume, -level)) FILTER (WHERE level > last)')} AS heaviest_above, count(*) AS levels FROM lv JOIN la ON la.symbol = lv.symbol GROUP BY lv.symbol, last"""
 
 
 @query("support_resistance", LEVELS_SQL)
 def support_resistance(spark, d):
-    """Levels: pivots of the last 120 bars in order of price, a new cluster where a price is over 1 % above the cluster's first."""
+    """Levels: pivots of the last 120 bars in order of price, a new cluster where a price is over 1 % above the cluster's first.
+
+    Of equally heavy levels above the price, the nearest is the heaviest.
+    """
     w = Window.partitionBy("symbol").orderBy(F.desc("trade_date"))
     recent = m.bars(spark, d).where("close is not null").withColumn("back", F.row_number().over(w)).where("back <= 120")
     close = recent.where("back = 1").select("symbol", F.col("close").alias("last"))
@@ -181,7 +184,7 @@ def support_resistance(spark, d):
 
     levels = points.withColumn("levels", F.aggregate("ps", F.array().cast(kind), add)).select("symbol", F.explode("levels").alias("l")).select("symbol", (F.col("l.total") / F.col("l.n")).alias("level"), F.col("l.n").alias("touches"), F.col("l.volume").alias("volume"))
     rows = levels.join(close, "symbol")
-    return rows.groupBy("symbol", "last").agg(q(F.max(F.when(F.col("level") < F.col("last"), F.col("level"))), "support"), q(F.min(F.when(F.col("level") > F.col("last"), F.col("level"))), "resistance"), q(F.max_by("level", F.when(F.col("level") > F.col("last"), F.col("volume"))), "heaviest_above"), F.count("*").alias("levels"))
+    return rows.groupBy("symbol", "last").agg(q(F.max(F.when(F.col("level") < F.col("last"), F.col("level"))), "support"), q(F.min(F.when(F.col("level") > F.col("last"), F.col("level"))), "resistance"), q(F.max_by("level", F.when(F.col("level") > F.col("last"), F.struct("volume", -F.col("level")))), "heaviest_above"), F.count("*").alias("levels"))
 
 
 @query(

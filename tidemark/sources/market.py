@@ -21,11 +21,11 @@ def cents(x) -> F.Column:
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(symbol, trade_date, open, high, low, close, volume, turnover): trades of a supplier's lines by ship date.
 
-    The first and last trade of a day are told by one number, order * 8 + line (an order has seven lines at most), so the
+    The first and last trade of a day are told by one number, order * 1000 + line (an order has fewer lines), so the
     aggregate hashes.  The close is null where symbol % 13 = 0 on a 7th, the turnover where symbol % 11 = 0.
     """
     line = table(spark, sf_dir, "lineitem")
-    trades = line.select(F.col("l_suppkey").alias("symbol"), F.to_date("l_shipdate").alias("trade_date"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("at"), cents(F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), "l_quantity", "l_extendedprice")
+    trades = line.select(F.col("l_suppkey").alias("symbol"), F.to_date("l_shipdate").alias("trade_date"), (F.col("l_orderkey") * 1000 + F.col("l_linenumber")).alias("at"), cents(F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), "l_quantity", "l_extendedprice")
     daily = trades.groupBy("symbol", "trade_date").agg(
         F.min_by("price", "at").alias("open"),
         F.max("price").alias("high"),
