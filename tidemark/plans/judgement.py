@@ -106,7 +106,7 @@ def volume_trend(spark, d):
 @query(
     "exhaustion",
     f"""WITH {m.BARS_SQL}, k AS (SELECT symbol, trade_date, volume, row_number() OVER o AS seq, coalesce(close < lag(close) OVER o, false) AS down FROM bars WINDOW o AS (PARTITION BY symbol ORDER BY trade_date)),
-    r AS (SELECT *, max(CASE WHEN NOT down THEN seq ELSE 0 END) OVER (PARTITION BY symbol ORDER BY trade_date ROWS UNBOUNDED PRECEDING) AS start FROM k)
+    r AS (SELECT *, max(CASE WHEN NOT down THEN seq ELSE 0 END) OVER (PARTITION BY symbol ORDER BY trade_date ROWS UNBOUNDED PRECEDING) AS start FROM k),
     f AS (SELECT *, first_value(volume) OVER (PARTITION BY symbol, start ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS at_start, nth_value(volume, 2) OVER (PARTITION BY symbol, start ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second FROM r)
     SELECT symbol, trade_date, seq - start AS run, {sq('volume / nullif(CASE WHEN start = 0 THEN at_start ELSE second END, 0)')} AS volume_decay FROM f WHERE seq - start >= 3""",
 )
