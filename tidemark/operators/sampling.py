@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,19 +53,23 @@ def month_dates(sessions: DataFrame, day: str, each: int, seed: str) -> DataFram
 def spaced(rows: DataFrame, code: str, at: str, key: str, spacing: int = SPACING) -> DataFrame:
     """rows that may be drawn together: in order of key, each at least spacing sessions (at, a number) from those of its code before it.
 
-    A security's rows are one for a session at most, so a group is as long as its history.
+    A fold over a security's rows in order of key.  What is taken is kept by stretches of spacing sessions: of one stretch
+    no two can be taken, and only its own and its two neighbours' can stand too near.  Of rows of equal key and session one is
+    taken.  A security's rows are one for a session at most, so an array is as long as its history.
     """
-
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        taken: list[int] = []
-        keep = []
-        for i, x in zip(rows.sort_values(key).index, rows.sort_values(key)[at], strict=True):
-            if all(abs(x - y) >= spacing for y in taken):
-                taken.append(x)
-                keep.append(i)
-        return rows.loc[keep]
-
-    return rows.groupBy(code).applyInPandas(pick, rows.schema)
+    kind = "struct<by:map<bigint,bigint>,rows:array<int>>"
+    inner = rows.groupBy(code).agg(F.sort_array(F.collect_list(F.struct(F.col(key).alias("key"), F.col(at).cast("long").alias("at"), F.struct(*[x for x in rows.columns if x != code]).alias("row")))).alias("all"))
+
+    def take(done, n):
+        x = F.col("all")[n]["at"]
+        own = F.floor(x / spacing).cast("long")
+        near = lambda k: F.coalesce(F.abs(F.try_element_at(done["by"], own + k) - x) < spacing, F.lit(False))
+        more = F.struct(F.map_concat(done["by"], F.create_map(own, x)).alias("by"), F.concat(done["rows"], F.array(n)).alias("rows"))
+        return F.when(x.isNull() | near(-1) | near(0) | near(1), done).otherwise(more).cast(kind)
+
+    start = F.struct(F.create_map().cast("map<bigint,bigint>").alias("by"), F.array().cast("array<int>").alias("rows")).cast(kind)
+    kept = F.aggregate(F.sequence(F.lit(0), F.size("all") - 1), start, take)["rows"]
+    return inner.select(code, F.explode(F.transform(kept, lambda n: F.col("all")[n]["row"])).alias("row")).select(code, "row.*").select(*rows.columns)
 
 
 def round_robin(rows: DataFrame, month: str, key: str, most: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import indicators as i
 from ..functions.text import redacted
+from ..operators import redaction as rd
 from ..operators import episodes as ep
 from ..operators import material as mt
 from ..sources import market as m
@@ -184,6 +185,24 @@ def champion(spark, d):
     return f.select("fold", q("champion", "champion"), q("challenger", "challenger"), (F.col("challenger") < F.col("champion")).alias("better"))
 
 
+# Every 40th document's first word is a name; a text's own code is the first free-standing one in it.
+OWN_CODE = "(?:^|[^0-9A-Za-z])([0-9]{4})(?:$|[^0-9A-Za-z])"
+
+
+@query(
+    "redaction_names",
+    rf"""WITH n AS (SELECT DISTINCT regexp_extract(text, '[A-Za-z]{{4,}}') AS name FROM documents WHERE doc_id % 40 = 0 AND text IS NOT NULL), p AS (SELECT string_agg(name, '|' ORDER BY length(name) DESC, name) AS names FROM n WHERE name <> ''),
+    d AS (SELECT doc_id, regexp_replace(text, names, '[NAME]', 'g') AS text, regexp_extract(text, '{OWN_CODE}', 1) AS code FROM documents, p WHERE text IS NOT NULL),
+    r AS (SELECT doc_id, text, code, '(^|[^0-9A-Za-z０-９Ａ-Ｚａ-ｚ])' || code || '($|[^0-9A-Za-z０-９Ａ-Ｚａ-ｚ])' AS pattern FROM d)
+    SELECT doc_id, CASE WHEN code = '' THEN text ELSE regexp_replace(regexp_replace(text, pattern, '\1[CODE]\2', 'g'), pattern, '\1[CODE]\2', 'g') END AS text FROM r""",
+)
+def redaction_names(spark, d):
+    """All names out of every text by one dictionary, and each text's own code; other numbers stay."""
+    docs = m.table(spark, d, "documents").where("text is not null").select("doc_id", "text", F.regexp_extract("text", OWN_CODE, 1).alias("code"))
+    names = m.table(spark, d, "documents").where("doc_id % 40 = 0").select(F.regexp_extract("text", "[A-Za-z]{4,}", 0).alias("name"))
+    return rd.redact(docs, "text", names, "name", "code").select("doc_id", "text")
+
+
 @query("redaction", r"SELECT doc_id, regexp_replace(regexp_replace(text, '(^|[^0-9A-Za-z])[0-9]{4}($|[^0-9A-Za-z])', '\1[CODE]\2', 'g'), '(^|[^0-9A-Za-z])[0-9]{4}($|[^0-9A-Za-z])', '\1[CODE]\2', 'g') AS text FROM documents WHERE text IS NOT NULL")
 def redaction(spark, d):
     """Free-standing codes are masked in the whole text."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +25,12 @@ def save(df: DataFrame, codec: str = "zstd") -> DataFrame:
     path = scratch_dir(df.sparkSession)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def file_system(uri: str):
+    """The pyarrow file system that a URI names, and the path there: for tasks that read single files."""
+    from pyarrow import fs
+
+    if urlparse(uri).scheme in ("", "file"):
+        return fs.LocalFileSystem(), unquote(urlparse(uri).path)
+    return fs.FileSystem.from_uri(uri)

@@ -12,21 +12,14 @@ the query runs; items are read in the tasks, a page each.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
-FIELDS = ("page", "mark", "may_be_cut")
-
+from ..sources.scratch import file_system
 
-def _system(uri: str):
-    from pyarrow import fs
-
-    if urlparse(uri).scheme in ("", "file"):
-        return fs.LocalFileSystem(), unquote(urlparse(uri).path)
-    return fs.FileSystem.from_uri(uri)
+FIELDS = ("page", "mark", "may_be_cut")
 
 
 @dataclass
@@ -46,14 +39,14 @@ class PageReader(DataSourceStreamReader):
     def _pages(self, after: int) -> list[int]:
         from pyarrow import fs
 
-        system, path = _system(self.folder)
+        system, path = file_system(self.folder)
         found = system.get_file_info(fs.FileSelector(path, allow_not_found=True))
         return sorted(n for f in found if f.base_name.startswith("page=") and (n := int(f.base_name[5:])) > after)
 
     def _files(self, page: int):
         from pyarrow import fs
 
-        system, path = _system(self.folder)
+        system, path = file_system(self.folder)
         return system, [f.path for f in system.get_file_info(fs.FileSelector(f"{path}/page={page}")) if f.base_name.endswith(".parquet")]
 
     def _top(self, page: int) -> tuple[int | None, int]:
