@@ -5,9 +5,15 @@ suffixes whose first words (as many as the shortest item has, three at most) sta
 suffix; no other suffix can hold a window of an item.  It is ordered word by word, by 64-bit
 word codes, to the depth of a window.  Every test suffix is binary-searched in every shard; the
 interval it spans holds all places where codes say that a whole window of the item occurs, and the
-words themselves decide.  Windows that follow each other in both texts make up the longest verbatim
+words themselves decide.  Equal windows of the benchmark are searched once, so a document word begins at most one
+hit for each length of window: what is found grows with the text, never with the product of the
+repeats on both sides.  Windows that follow each other in both texts make up the longest verbatim
 matches.  Texts are whole within a shard, so a document's verdict needs no shuffle.
 
+Matches are told from left to right: at the first hit window not in a match told before, the longest run that holds it,
+over all places in the benchmark, as far as both texts agree in either direction; the longest match of
+a document is always among them.  An item shorter than a window is told at its first place.
+
 A Spark job cuts the benchmark into slices of at most SLICE_WORDS words (an item of more words is a
 slice alone), each a file in the shared folder.  Every slice is a pass over the documents, chained, with
 what has been hit carried along each document; a pass reads its own slice inside the tasks, so the
@@ -59,6 +65,33 @@ class Query:
             self.depth = int(min(3, self.need.min()))
             head = words.codes[self.start[:, None] + np.arange(self.depth)]
             self.heads = np.unique(_head(list(head.T)))
+            kind = _kinds(c.word_ids(words), self.start, self.need)
+            #: A suffix for each different window; the kinds of all suffixes; the suffixes of each kind, one after the other.
+            _, self.one = np.unique(kind, return_index=True)
+            self.of = np.argsort(kind, kind="stable")
+            self.bounds = np.searchsorted(kind[self.of], np.arange(len(self.one) + 1))
+            #: Kinds in the order of the texts, with something unlike any kind between two texts.
+            self.at = np.arange(len(kind)) + item + 1
+            self.rest = np.repeat(here, here) - self.offset
+            self.line = np.full(self.at[-1] + 2, -2)
+            self.line[self.at] = kind
+
+    def items(self, kind: int) -> set:
+        return set(self.ids[self.of[self.bounds[kind] : self.bounds[kind + 1]]].tolist())
+
+
+def _kinds(ids: np.ndarray, start: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """A number for each window, equal exactly for windows of equal words."""
+    out, base = np.zeros(len(start), np.int64), 0
+    for n in np.unique(need).tolist():
+        own = np.flatnonzero(need == n)
+        kind = ids[start[own]]
+        for i in range(1, n):
+            _, kind = np.unique(kind * (len(ids) + 1) + ids[start[own] + i], return_inverse=True)
+        _, kind = np.unique(kind, return_inverse=True)
+        out[own] = base + kind
+        base += int(kind.max()) + 1
+    return out
 
 
 def _head(columns: list[np.ndarray]) -> np.ndarray:
@@ -136,30 +169,72 @@ def _bound(words, sa, left, query: Query, which, depth, above: bool) -> np.ndarr
 
 
 def search(words: c.Words, query: Query) -> tuple[np.ndarray, np.ndarray]:
-    """Every test suffix in one shard: (suffix, shard word) of whole-window occurrences."""
+    """Every different test window in one shard: (kind, shard word) of its occurrences."""
     none = np.empty(0, np.int64)
     if not len(query.start):
         return none, none
     sa, left = suffix_array(words, query)
     if not len(sa):
         return none, none
-    q = np.arange(len(query.start))
-    lo = _bound(words.codes, sa, left, query, q, query.need, above=False)
+    q = query.one
+    lo = _bound(words.codes, sa, left, query, q, query.need[q], above=False)
     near = np.minimum(lo, len(sa) - 1)
-    common, _ = _compare(words.codes, sa[near], left[near], query.words.codes, query.start, query.room, query.need)
-    q = q[(lo < len(sa)) & (common >= query.need)]
-    if not len(q):
+    common, _ = _compare(words.codes, sa[near], left[near], query.words.codes, query.start[q], query.room[q], query.need[q])
+    kind = np.flatnonzero((lo < len(sa)) & (common >= query.need[q]))
+    if not len(kind):
         return none, none
-    lo = lo[q]
-    hi = _bound(words.codes, sa, left, query, q, query.need[q], above=True)
-    n = hi - lo
+    lo, q = lo[kind], q[kind]
+    n = _bound(words.codes, sa, left, query, q, query.need[q], above=True) - lo
     place = sa[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
-    q = np.repeat(q, n)
+    kind, q = np.repeat(kind, n), np.repeat(q, n)
     same = np.ones(len(q), bool)
     for i in range(int(query.need[q].max())):  # codes have found them, words decide
         some = np.flatnonzero(same & (query.need[q] > i))
         same[some] = c.same_words(words, place[some] + i, query.words, query.start[q[some]] + i)
-    return q[same], place[same]
+    return kind[same], place[same]
+
+
+def _reach(line: np.ndarray, at: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """For each of `at`: how many kinds from there on agree with those of text."""
+    far, open_, done, size = np.zeros(len(at), np.int64), np.arange(len(at)), 0, 8
+    while len(open_) and done < len(text):
+        own = text[done : done + size]
+        same = line[np.minimum(at[open_, None] + np.arange(done, done + len(own)), len(line) - 1)] == own
+        run = np.where(same.all(1), len(own), same.argmin(1))
+        far[open_] += run
+        open_ = open_[run == len(own)]
+        done, size = done + len(own), min(2 * size, 512)
+    return far
+
+
+def _told(query: Query, kinds: np.ndarray, window: int) -> list[dict]:
+    """The matches of one document, whose words begin windows of these kinds (-1: none), from left to right."""
+    out, p = [], 0
+    places = np.flatnonzero(kinds >= 0)
+    begins, ends = places[np.append(True, np.diff(places) != 1)], places[np.append(np.diff(places) != 1, True)] + 1
+    back, last = query.line[::-1], len(query.line) - 1
+    while (n := int(np.searchsorted(places, p))) < len(places):
+        p = int(places[n])
+        every = query.of[query.bounds[kinds[p]] : query.bounds[kinds[p] + 1]]
+        own = int(np.searchsorted(begins, p, side="right")) - 1
+        after, before = kinds[p : ends[own]], kinds[begins[own] : p][::-1]
+        # No run is longer than both texts have room for: those with most room first, until none can be longer.
+        room = np.minimum(query.rest[every], len(after)) + np.minimum(query.offset[every], len(before))
+        order = np.argsort(-room, kind="stable")
+        best = (0, 0, 0)
+        for start in range(0, len(every), 256):
+            some = every[order[start : start + 256]]
+            if room[order[start]] <= best[0]:
+                break
+            at = query.at[some]
+            right, left = _reach(query.line, at, after), _reach(back, last - at + 1, before)
+            k = int((right + left).argmax())
+            best = max(best, (int(right[k] + left[k]), int(right[k]), -int(some[k])))
+        length, right, q = best[0], best[1], -best[2]
+        left = length - right
+        out.append({"item_id": query.ids[q], "item_word": int(query.offset[q]) - left, "doc_word": p - left, "length": length + window - 1})
+        p += right
+    return out
 
 
 def marker(file: str | None, window: int, match: pa.DataType):
@@ -169,32 +244,38 @@ def marker(file: str | None, window: int, match: pa.DataType):
         query = load(file, window) if file else Query([], [], window)
         for part, raw in c.blocks(batches, limit=4 * c.BLOCK_BYTES):
             words = c.Words(raw, kind=c.ALNUM, lower=True)
-            q, place = search(words, query)
+            kind, place = search(words, query)
             n = len(words.codes)
-            hit = c.cover(n, place, query.need[q]) if len(q) else np.zeros(n, bool)
-            # Windows that follow each other in an item and in a document are one match.
-            order = np.lexsort((place, place - query.start[q]))
-            q, place = q[order], place[order]
-            line = place - query.start[q]
+            need = query.need[query.one[kind]] if len(kind) else np.empty(0, np.int64)
+            hit = c.cover(n, place, need) if len(kind) else np.zeros(n, bool)
+            full = need == window
+            begins = np.full(n, -1)
+            begins[place[full]] = kind[full]
             doc = np.searchsorted(words.first, place, side="right") - 1
-            begin = np.flatnonzero((np.diff(line, prepend=-n - 1) != 0) | (np.diff(place, prepend=-2) != 1) | (np.diff(doc, prepend=-1) != 0) | (query.offset[q] == 0))
-            told: dict[int, list] = {}
-            for i, j in zip(begin, np.append(begin[1:], len(q)), strict=False):
+            told: dict[int, list] = {d: _told(query, begins[words.first[d] : words.first[d + 1]], window) for d in np.unique(doc[full]).tolist()}
+            items: dict[int, set] = {}
+            # Each kind of window once a document: its items, and for short ones the first place.
+            order = np.lexsort((place, kind, doc))
+            once = order[np.flatnonzero(np.append(True, (np.diff(doc[order]) != 0) | (np.diff(kind[order]) != 0)))] if len(kind) else order
+            for i in once.tolist():
                 d = int(doc[i])
-                told.setdefault(d, []).append({"item_id": query.ids[q[i]], "item_word": int(query.offset[q[i]]), "doc_word": int(place[i] - words.first[d]), "length": int(j - i - 1 + query.need[q[i]])})
-            old_hits, old_matches = part.column(part.schema.get_field_index("__hits")), part.column(part.schema.get_field_index("__matches"))
-            hits, matches, n_hit = [], [], []
+                items.setdefault(d, set()).update(query.items(kind[i]))
+                if not full[i]:
+                    q = query.one[kind[i]]
+                    told.setdefault(d, []).append({"item_id": query.ids[q], "item_word": 0, "doc_word": int(place[i] - words.first[d]), "length": int(need[i])})
+            old = {x: part.column(part.schema.get_field_index(x)) for x in ("__hits", "__matches", "__items")}
+            hits, matches, n_hit, found = [], [], [], []
             for d in range(len(raw)):
                 own = hit[words.first[d] : words.first[d + 1]]
-                had = old_hits[d].as_py()
+                had = old["__hits"][d].as_py()
                 if had is not None:
                     own = own | np.unpackbits(np.frombuffer(had, np.uint8), count=len(own)).view(bool)
                 n_hit.append(int(own.sum()))
                 hits.append(np.packbits(own).tobytes() if n_hit[-1] else None)
-                before = old_matches[d].as_py() if old_matches[d].is_valid else None
-                matches.append([*(before or []), *told.get(d, [])] or None)
+                matches.append([*(old["__matches"][d].as_py() or []), *told.get(d, [])] or None)
+                found.append(sorted({*(old["__items"][d].as_py() or []), *items.get(d, ())}, key=lambda x: (x is None, x)) or None)
             columns = {name: part.column(i) for i, name in enumerate(part.schema.names)}
-            yield pa.RecordBatch.from_pydict(columns | {"__words": pa.array(words.counts.astype(np.int64)), "__n_hit": pa.array(n_hit, pa.int64()), "__hits": pa.array(hits, pa.binary()), "__matches": pa.array(matches, match)})
+            yield pa.RecordBatch.from_pydict(columns | {"__words": pa.array(words.counts.astype(np.int64)), "__n_hit": pa.array(n_hit, pa.int64()), "__hits": pa.array(hits, pa.binary()), "__matches": pa.array(matches, match), "__items": pa.array(found, pa.list_(match.value_type.field("item_id").type))})
 
     return run
 
@@ -247,14 +328,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     match = match_type(benchmark.schema["item_id"].dataType)
     item = match.elementType["item_id"].dataType
     arrow = pa.list_(pa.struct([("item_id", pa.int64() if isinstance(item, T.LongType) else pa.string()), ("item_word", pa.int64()), ("doc_word", pa.int64()), ("length", pa.int64())]))
-    state = docs.withColumns({"__words": F.lit(None).cast("long"), "__n_hit": F.lit(0).cast("long"), "__hits": F.lit(None).cast("binary"), "__matches": F.lit(None).cast(match)})
+    state = docs.withColumns({"__words": F.lit(None).cast("long"), "__n_hit": F.lit(0).cast("long"), "__hits": F.lit(None).cast("binary"), "__matches": F.lit(None).cast(match), "__items": F.lit(None).cast(T.ArrayType(item))})
     for file in slices(benchmark, slice_words) or [None]:
         state = state.mapInArrow(marker(file, window, arrow), state.schema)
     return state.select(
         *docs.columns,
         F.col("__words").alias("n_words"),
         F.col("__n_hit").alias("n_hit"),
-        F.array_sort(F.array_distinct(F.coalesce(F.transform("__matches", lambda m: m["item_id"]), F.array().cast(T.ArrayType(item))))).alias("items"),
+        F.array_sort(F.coalesce("__items", F.array().cast(T.ArrayType(item)))).alias("items"),
         F.coalesce("__matches", F.array().cast(match)).alias("matches"),
         F.coalesce(F.array_max(F.transform("__matches", lambda m: m["length"])), F.lit(0)).cast("long").alias("longest"),
         F.col("__hits").isNotNull().alias("contaminated"),
