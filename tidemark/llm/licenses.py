@@ -135,8 +135,15 @@ def _passages(words: c.Words) -> dict[str, np.ndarray]:
 def _inside(words: c.Words, at: np.ndarray, code: np.ndarray, known: np.ndarray, templates: Templates, found: dict[int, list[dict]]) -> None:
     """Adds runs of words within lines and paragraphs that match a template and overlap no match of the same license."""
     doc = words.doc_of()
+    #: Words of the block that a match of a license holds.
+    taken: dict[str, np.ndarray] = {}
+    for d, own in found.items():
+        for m in own:
+            start = int(words.first[d]) + m["first_word"]
+            taken.setdefault(m["license"], np.zeros(len(doc), bool))[start : start + m["n_words"]] = True
     for t in np.argsort(-templates.length, kind="stable").tolist():  # a whole license before an excerpt of it
         name = templates.names[t]
+        held = taken.setdefault(name, np.zeros(len(doc), bool))
         spot = np.flatnonzero((known >= 0) & (templates.holds[np.maximum(known, 0), t] == 1))
         need, length = int(templates.low[t]), int(templates.length[t])
         if len(spot) < need or not need:
@@ -145,20 +152,23 @@ def _inside(words: c.Words, at: np.ndarray, code: np.ndarray, known: np.ndarray,
         last = spot[need - 1 :]
         first = spot[: len(last)]
         first = first[(at[last] - at[first] < length) & (doc[at[last]] == doc[at[first]])]
-        runs = []
-        for i in first.tolist():
-            end = int(np.searchsorted(at, min(at[i] + length, words.first[doc[at[i]] + 1] - 1)))
-            j = int(spot[np.searchsorted(spot, end) - 1])
-            n = len(np.unique(code[i : j + 1]))
-            own = code[i : j + 1][templates.holds[np.maximum(known[i : j + 1], 0), t] * (known[i : j + 1] >= 0) == 1]
-            dice = 2 * len(np.unique(own)) / (n + templates.sizes[t])
+        first = first[~held[at[first]]]  # a run that begins in a match overlaps it
+        ends = np.searchsorted(at, np.minimum(at[first] + length, words.first[doc[at[first]] + 1] - 1))
+        lasts = spot[np.searchsorted(spot, ends) - 1]
+        runs, scores = [], {}
+        for i, j, start, stop in zip(first.tolist(), lasts.tolist(), at[first].tolist(), (at[lasts] + 2).tolist(), strict=True):
+            run = code[i : j + 1]
+            dice = scores.get(key := run.tobytes())
+            if dice is None:  # equal runs are scored once
+                own = run[templates.holds[np.maximum(known[i : j + 1], 0), t] * (known[i : j + 1] >= 0) == 1]
+                dice = scores[key] = float(2 * len(np.unique(own)) / (len(np.unique(run)) + templates.sizes[t]))
             if dice >= templates.least:
-                runs.append((-float(dice), int(at[i]), int(at[j]) + 2))
+                runs.append((-dice, start, stop))
         for dice, start, stop in sorted(runs):
-            d = int(doc[start])
-            start, stop = start - int(words.first[d]), stop - int(words.first[d])
-            if all(m["license"] != name or m["first_word"] >= stop or m["first_word"] + m["n_words"] <= start for m in found.get(d, [])):
-                found.setdefault(d, []).append({"license": name, "dice": -dice, "level": "passage", "first_word": start, "n_words": stop - start})
+            if not held[start:stop].any():
+                held[start:stop] = True
+                d = int(doc[start])
+                found.setdefault(d, []).append({"license": name, "dice": -dice, "level": "passage", "first_word": start - int(words.first[d]), "n_words": stop - start})
 
 
 def matches(raw: list[bytes], templates: Templates, inside: bool = False) -> dict[int, list[dict]]:
@@ -194,13 +204,14 @@ def matches(raw: list[bytes], templates: Templates, inside: bool = False) -> dic
                 continue
             common = np.bincount(number[k], templates.holds[known[mine[k]], t], len(some))
             dice = 2 * common / (size + templates.sizes[t])
-            for p in np.flatnonzero(fits & (dice >= templates.least)):
-                w = np.searchsorted(passage, [some[p], some[p] + 1])
-                d = int(doc[w[0]])
-                key = (d, name, int(w[0]), int(w[1]))
+            like = np.flatnonzero(fits & (dice >= templates.least))
+            begin, end = np.searchsorted(passage, some[like]), np.searchsorted(passage, some[like] + 1)
+            owner = doc[begin]
+            for d, x, y, first, score in zip(owner.tolist(), begin.tolist(), end.tolist(), words.first[owner].tolist(), dice[like].tolist(), strict=True):
+                key = (d, name, x, y)
                 if key not in seen:
                     seen.add(key)
-                    found.setdefault(d, []).append({"license": name, "dice": float(dice[p]), "level": level, "first_word": int(w[0] - words.first[d]), "n_words": int(w[1] - w[0])})
+                    found.setdefault(d, []).append({"license": name, "dice": score, "level": level, "first_word": x - first, "n_words": y - x})
     if inside:
         _inside(words, at, code, np.where(is_known, known, -1), templates, found)
     return found
