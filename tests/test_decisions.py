@@ -39,6 +39,43 @@ def test_answers(spark):
     assert got[1].errors == ["UNKNOWN_DECISION", "PROBABILITY_OUT_OF_RANGE"] and got[2].errors == ["NO_DECISION", "NO_PROBABILITY"]
 
 
+def test_analyses(spark):
+    kinds = "n int, state string, rationale string, zone_low double, zone_high double, basis_kinds array<string>, basis string, close double, threshold_price double, obstacles array<struct<price_level:double,weakening_evidence:string>>, missing_sections array<string>"
+    good = ("WATCH", "the base holds on volume", 100.0, 110.0, ["SUPPORT_RESISTANCE"], "levels", 99.0, 119.0, [], [])
+    change = lambda n, **at: (n, *[at.get(k, v) for k, v in zip(("state", "rationale", "low", "high", "kinds", "basis", "close", "threshold", "obstacles", "missing"), good, strict=True)])
+    rows = [
+        change(1), change(2, rationale="  "), change(3, rationale="So BUY NOW."), change(4, rationale="it should recover its previous high"), change(5, kinds=[]), change(6, kinds=["PRIOR_HIGH"]), change(7, basis=None), change(8, low=120.0, threshold=110.0),
+        change(9, state="REJECT"), change(10, close=111.0), change(11, obstacles=[(105.0, None), (200.0, None)]), change(12, obstacles=[(105.0, "broken")]), change(13, missing=["materials"]), change(14, low=None, high=None, kinds=None, basis=None), change(15, state="REJECT", rationale=None), change(16, rationale="a prior high is resistance"),
+    ]
+    got = {r.n: (r.status, r.errors, r.warnings, r.repairs, r.zone_high) for r in decisions.validate_analysis(spark.createDataFrame(rows, kinds)).collect()}
+    ok = ("PASSED", [], [], [], 110.0)
+    assert got[1] == got[12] == got[16] == ok and got[14] == ("PASSED", [], [], [], None)
+    assert {n: got[n][1] for n in range(2, 9)} == {2: ["NO_RATIONALE"], 3: ["READS_AS_ENTRY"], 4: ["PRIOR_HIGH_AS_UPSIDE"], 5: ["ZONE_WITHOUT_BASIS_KIND"], 6: ["UNKNOWN_BASIS_KIND"], 7: ["ZONE_WITHOUT_BASIS"], 8: ["ZONE_INVERTED", "ZONE_IS_THRESHOLD"]}
+    assert got[9] == ("REPAIRED", [], [], ["ZONE_DROPPED"], None) and got[15] == ("REJECTED", ["NO_RATIONALE"], [], ["ZONE_DROPPED"], None)
+    assert got[10][2] == ["ZONE_BELOW_CLOSE"] and got[11][2] == ["ZONE_THROUGH_OBSTACLE"] and got[13][2] == ["MISSING_SECTION:materials"] and got[11][0] == "PASSED"
+
+
+def test_universe(spark):
+    from tidemark.operators import universe
+
+    kinds = "n int, market_code string, is_test_issue boolean, listing_status string, segment string, security_type string, exchange_id string, cik string, is_adr boolean"
+    jp = lambda n, segment, kind: (n, "JP", None, "LISTED", segment, kind, None, None, None)
+    us = lambda n, exchange, kind, cik="1", adr=False: (n, "US", False, "LISTED", None, kind, exchange, cik, adr)
+    rows = [
+        (1, "JP", True, "LISTED", "PRIME_DOMESTIC", "COMMON_STOCK", None, None, None), (2, "US", False, "DELISTED", None, "COMMON_STOCK", "XNYS", "1", False), (3, None, None, None, None, None, None, None, None),
+        jp(4, "PRO_MARKET", "COMMON_STOCK"), jp(5, "PRIME_DOMESTIC", "COMMON_STOCK"), jp(6, None, "COMMON_STOCK"), jp(7, "GROWTH_DOMESTIC", None), jp(8, "PRIME_FOREIGN", "COMMON_STOCK"), jp(9, "OTHER", "COMMON_STOCK"), jp(10, "UNKNOWN", "COMMON_STOCK"), jp(11, "STANDARD_DOMESTIC", "PREFERRED"), jp(12, "PRIME_DOMESTIC", "ADR"),
+        us(20, None, "COMMON_STOCK"), us(21, "OTCM", "COMMON_STOCK"), us(22, "ARCX", "ETF"), us(23, "XNYS", "UNIT"), us(24, "XNYS", "COMMON_STOCK", "77"), us(25, "XNYS", "COMMON_STOCK", "88"), us(26, "XNYS", "COMMON_STOCK", adr=True), us(27, "XNYS", "UNKNOWN"), us(28, "XNYS", "COMMON_STOCK", None), us(29, "XNAS", "COMMON_STOCK"), us(30, "XNAS", "INVESTMENT_CERTIFICATE"),
+    ]
+    df, lists = spark.createDataFrame(rows, kinds), spark.createDataFrame([("77",), ("77",), (None,)], "cik string")
+    got = {r.n: (r.decision[0], r.reason) for r in universe.classify(df, lists, spark.createDataFrame([("88",)], "cik string")).collect()}
+    assert got == {
+        1: ("E", "TEST_ISSUE"), 2: ("E", "DELISTED"), 3: ("U", "PROVIDER_DATA_MISSING"), 4: ("E", "NOT_TARGET_SEGMENT"), 5: ("I", "TARGET_MARKET_COMMON_STOCK"), 6: ("U", "SEGMENT_RULE_PENDING"), 7: ("E", "NOT_COMMON_STOCK"), 8: ("U", "FOREIGN_STOCK_RULE_PENDING"), 9: ("U", "SEGMENT_RULE_PENDING"), 10: ("U", "TYPE_UNKNOWN"), 11: ("E", "PREFERRED"), 12: ("E", "NOT_COMMON_STOCK"),
+        20: ("U", "PROVIDER_DATA_MISSING"), 21: ("E", "OTC"), 22: ("E", "NOT_TARGET_EXCHANGE"), 23: ("E", "UNIT"), 24: ("E", "SPAC_PRE_MERGER"), 25: ("E", "REIT_OR_FUND"), 26: ("U", "ADR_ELIGIBILITY_UNDEFINED"), 27: ("U", "TYPE_UNKNOWN"), 28: ("U", "REIT_DETECTION_INCOMPLETE"), 29: ("I", "TARGET_MARKET_COMMON_STOCK"), 30: ("E", "NOT_COMMON_STOCK"),
+    }
+    unknown = {r.n: r.reason for r in universe.classify(df.where("n IN (5, 29)"), sic_known=False).collect()}
+    assert unknown == {5: "TARGET_MARKET_COMMON_STOCK", 29: "REIT_DETECTION_INCOMPLETE"}
+
+
 def test_whole_texts_and_members(spark, tmp_path):
     from tidemark.plans import QUERIES
 

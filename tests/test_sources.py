@@ -39,12 +39,16 @@ def test_columns(spark):
 def test_feeds(spark, tmp_path):
     folder = tmp_path / "feeds"
     folder.mkdir()
-    put(folder / "a.xml", "<rss><channel><item><guid>1</guid><title><![CDATA[A <b>]]></title><link>http://a</link><pubDate>x</pubDate></item><item ><title>B</title></item></channel></rss>")
+    put(folder / "a.xml", "<rss><channel><item><guid>1</guid><title><![CDATA[A <b>]]></title><link>http://a</link><pubDate>x</pubDate></item><item ><title>B</title></item><item><title>C&amp;D</title><link> http://d </link></item></channel></rss>")
     put(folder / "b.xml", '<feed><entry><id>e</id><title type="text">C</title><link href="http://c"/><updated>2026-01-05</updated></entry></feed>')
     put(folder / "c.xml", "<!DOCTYPE x><rss><item><title>no</title></item></rss>")
     items, refused = records.feed_items(spark, str(folder))
-    assert sorted((r.id or "", r.title, r.url or "") for r in items.collect()) == [("", "B", ""), ("1", "A <b>", "http://a"), ("e", "C", "http://c")]
+    assert sorted((r.id, r.title, r.url) for r in items.collect()) == [("1", "A <b>", "http://a"), ("e", "C", "http://c"), ("http://d", "C&D", "http://d")]
     assert [r.reason for r in refused.collect()] == ["DOCTYPE"]
+    odd = [(1, "<rss><channel><item><title>cut"), (2, "<html><item><guid>1</guid></item></html>"), (3, ""), (4, None), (5, '<?xml version="1.0"?>\n<!-- x -->\n<feed xmlns="http://www.w3.org/2005/Atom"/>'), (6, '<!DOCTYPE r [<!ENTITY a "b">]><rss/>'), (7, "<rss><channel><item><guid>g</guid><title>  </title></item></channel></rss>"), (8, "plain")]
+    items, refused = records.parsed_feeds(spark.createDataFrame(odd, "file int, value string"))
+    assert [(r.file, r.id, r.title) for r in items.collect()] == [(7, "g", None)]
+    assert {r.file: r.reason for r in refused.collect()} == {1: "NOT_WELL_FORMED", 2: "UNKNOWN_ROOT", 3: "NOT_WELL_FORMED", 4: "NOT_WELL_FORMED", 6: "DOCTYPE", 8: "NOT_WELL_FORMED"}
 
 
 def test_files(spark, tmp_path):

@@ -58,6 +58,45 @@ def validate_answers(rows: DataFrame, answer: str, decisions: list[str]) -> Data
     return rows.withColumns({"errors": errors, "warnings": warnings}).withColumn("status", status)
 
 
+# Wordings that an end-of-day analysis may not have, and what a reachable zone may rest on.
+ENTRY_WORDS = r"(?i)\b(enter now|buy now|place (the |an )?order|execute (the )?entry|go long now|entry price is|take the entry)\b"
+OLD_HIGH_WORDS = r"(?i)(back (up )?to|retrace to|recover( to)?|return to|upside to|target(s|ing)?) (its |the )?(previous|prior|former|old) high"
+ZONE_BASES = ("CURRENT_MATERIAL", "SUPPLY_STRUCTURE", "VOLUME_STRUCTURE", "SUPPORT_RESISTANCE", "VOLATILITY_RANGE", "SECTOR_MOVE")
+
+
+def validate_analysis(rows: DataFrame) -> DataFrame:
+    """rows with errors, warnings, repairs, status, and the zone as repaired, of an end-of-day analysis.
+
+    rows: state, rationale, zone_low, zone_high, basis_kinds, basis, close, threshold_price, obstacles
+    (array of price_level and weakening_evidence), missing_sections.  Errors reject; a repair changes the answer
+    and is told (a rejected security has no zone, so its zone is dropped).
+    """
+    c = F.col
+    zone, words = c("zone_high").isNotNull(), F.coalesce("rationale", F.lit(""))
+    kinds = F.coalesce("basis_kinds", F.array().cast("array<string>"))
+    blank = lambda x: F.trim(F.coalesce(x, F.lit(""))) == ""
+    errors = F.array_compact(F.array(
+        F.when(blank(c("rationale")), "NO_RATIONALE"),
+        F.when(words.rlike(ENTRY_WORDS), "READS_AS_ENTRY"),
+        F.when(words.rlike(OLD_HIGH_WORDS), "PRIOR_HIGH_AS_UPSIDE"),
+        F.when(zone & (F.size(kinds) == 0), "ZONE_WITHOUT_BASIS_KIND"),
+        F.when(zone & F.exists(kinds, lambda k: F.coalesce(~k.isin(*ZONE_BASES), F.lit(True))), "UNKNOWN_BASIS_KIND"),
+        F.when(zone & blank(c("basis")), "ZONE_WITHOUT_BASIS"),
+        F.when(c("zone_high") < c("zone_low"), "ZONE_INVERTED"),
+        F.when(F.abs(c("threshold_price") - c("zone_high")) < 1e-9, "ZONE_IS_THRESHOLD"),
+    ))
+    between = F.exists("obstacles", lambda o: F.coalesce((c("close") < o["price_level"]) & (o["price_level"] < c("zone_high")), F.lit(False)) & blank(o["weakening_evidence"]))
+    missing = F.transform(F.coalesce("missing_sections", F.array().cast("array<string>")), lambda x: F.concat(F.lit("MISSING_SECTION:"), x))
+    warnings = F.concat(F.array_compact(F.array(F.when(c("zone_high") < c("close"), "ZONE_BELOW_CLOSE"), F.when(between, "ZONE_THROUGH_OBSTACLE"))), missing)
+    dropped = (c("state") == "REJECT") & (zone | c("zone_low").isNotNull())
+    repairs = F.array_compact(F.array(F.when(dropped, "ZONE_DROPPED")))
+    status = F.when(F.size(errors) > 0, "REJECTED").when(F.size(repairs) > 0, "REPAIRED").otherwise("PASSED")
+    # The zone is replaced after the rules have read it: in one projection a lambda would see the new one.
+    told = rows.withColumns({"errors": errors, "warnings": warnings, "repairs": repairs, "status": status})
+    kept = lambda n: F.when(F.size("repairs") == 0, c(n))
+    return told.withColumns({"zone_low": kept("zone_low"), "zone_high": kept("zone_high")})
+
+
 def stage3_decision(rows: DataFrame) -> DataFrame:
     """rows (concepts, technical_routes, material_routes, timings: arrays of names) with state, the first rule that holds.
 

@@ -1,6 +1,6 @@
 """The library's queries by name, and the SQL that each is held against."""
 
-from . import agreement, chart, concepts, contracts, disclosures, evaluation, feature_row, judgement, live, outcomes, paths, reading, records, reports, roundtrips, selection, series, streams, technical  # noqa: F401
+from . import agreement, chart, concepts, contracts, definitions, disclosures, evaluation, feature_row, judgement, live, outcomes, paths, reading, records, reports, roundtrips, selection, series, streams, technical  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
 
 #: Names under which a query was known before it took the place of a narrower one.

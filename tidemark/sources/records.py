@@ -50,20 +50,37 @@ def split_ratio(text: str) -> dict[str, Column]:
     return {"split_to": F.when(two, F.trim(F.get(parts, F.lit(0))).try_cast("double")), "split_from": F.when(two, F.trim(F.get(parts, F.lit(1))).try_cast("double"))}
 
 
+_ITEM = "array<struct<title:string,link:string,guid:string,pubDate:string,`dc:date`:string,description:string,`content:encoded`:string,`_rdf:about`:string>>"
+_ENTRY = "array<struct<id:string,title:string,link:array<struct<_href:string,_rel:string>>,published:string,updated:string,summary:string,content:string>>"
+FEED = f"channel struct<item:{_ITEM}>, item {_ITEM}, entry {_ENTRY}, broken string"
+
+
 def feed_items(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(items, refused) of RSS and Atom files: a document type or a size over the cap refuses the file."""
-    files = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
-    bad = F.when(F.octet_length("value") > MOST_FEED_BYTES, "TOO_LARGE").when(F.col("value").rlike("(?i)<!doctype"), "DOCTYPE")
-    good = files.where(bad.isNull())
-    blocks = good.select("file", F.explode(F.regexp_extract_all("value", F.lit(r"(?s)<(?:item|entry)[ >].*?</(?:item|entry)>"), F.lit(0))).alias("x"))
-
-    def field(*names: str) -> Column:
-        found = [F.nullif(F.regexp_extract("x", rf"(?s)<{n}(?: [^>]*)?>\s*(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?\s*</{n}>", 1), F.lit("")) for n in names]
-        return F.coalesce(*found)
-
-    link = F.coalesce(field("link"), F.nullif(F.regexp_extract("x", r'<link[^>]*href="([^"]*)"', 1), F.lit("")))
-    items = blocks.select("file", field("guid", "id").alias("id"), field("title").alias("title"), link.alias("url"), field("description", "summary", "content").alias("summary"), field("pubDate", "dc:date", "published", "updated").alias("published"))
-    return items, files.where(bad.isNotNull()).select("file", bad.alias("reason"))
+    """(items, refused) of RSS 2.0, RSS 1.0 and Atom files."""
+    return parsed_feeds(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value"))
+
+
+def parsed_feeds(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(items: file, id, title, url, summary, published; refused: file, reason) of feeds as text (file, value).
+
+    Read by the XML parser: entities, CDATA and attributes are its business; names of Dublin Core, RDF and the content module go by
+    their usual prefixes.  RSS 2.0 nests its items in the channel, RSS 1.0 puts them beside it.  A document type, a
+    size over the cap, text that is not well-formed, or another root refuses the file; an item that nothing identifies is skipped.
+    An Atom entry's link is its first alternate one, its time that of its release, not of its last change.
+    """
+    root = F.regexp_extract("value", r"(?s)^\s*(?:<\?xml.*?\?>)?(?:\s|<!--.*?-->)*<(?:[\w.-]+:)?([\w.-]+)", 1)
+    bad = F.when(F.octet_length("value") > MOST_FEED_BYTES, "TOO_LARGE").when(F.col("value").rlike("(?i)<!(?:doctype|entity)"), "DOCTYPE")
+    rows = files.select("file", bad.alias("bad"), root.alias("root"), F.when(bad.isNull(), F.from_xml("value", FEED, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"})).alias("x"))
+    reason = F.coalesce("bad", F.when(F.col("x").isNull() | F.col("x.broken").isNotNull(), "NOT_WELL_FORMED"), F.when(~F.col("root").isin("rss", "RDF", "feed"), "UNKNOWN_ROOT"))
+    rows = rows.withColumn("reason", reason)
+    text = lambda *names: F.coalesce(*[F.nullif(F.trim(F.regexp_replace(n, r"^\s+|\s+$", "")), F.lit("")) for n in names])
+    good = rows.where("reason IS NULL")
+    rss = good.where("root <> 'feed'").select("file", F.explode(F.concat(F.coalesce("x.channel.item", F.array().cast(_ITEM)), F.coalesce("x.item", F.array().cast(_ITEM)))).alias("i")).select("file", "i.*")
+    rss = rss.select("file", text("guid", "`_rdf:about`", "link").alias("id"), text("title").alias("title"), text("link").alias("url"), text("description", "`content:encoded`").alias("summary"), text("pubDate", "`dc:date`").alias("published"))
+    atom = good.where("root = 'feed'").select("file", F.explode("x.entry").alias("e")).select("file", "e.*")
+    link = F.coalesce(F.get(F.filter("link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate"), F.lit(0)), F.get("link", F.lit(0)))["_href"]
+    atom = atom.withColumn("url", link).select("file", text("id", "url").alias("id"), text("title").alias("title"), text("url").alias("url"), text("summary", "content").alias("summary"), text("published", "updated").alias("published"))
+    return rss.unionByName(atom).where("id IS NOT NULL"), rows.where("reason IS NOT NULL").select("file", "reason")
 
 
 def published(text: str) -> dict[str, Column]:
