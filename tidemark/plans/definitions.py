@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import decisions as de
 from ..operators import universe as un
+from ..sources import commits
 from ..sources import market as m
 from ..sources import records
 from ..sources.scratch import scratch_dir
@@ -156,3 +157,36 @@ def calendar_page(spark, d):
     pages = days.groupBy(F.year("day").alias("y")).agg(F.concat(F.lit("<html><table><tr><th>Date</th><th>Name</th></tr><tr><td>2026/13/01</td><td>None</td></tr>"), F.array_join(F.collect_list(row), ""), F.lit("</table></html>")).alias("value"))
     pages.select("value").write.option("maxRecordsPerFile", 1).text(path)
     return records.closed_days(spark, path)
+
+
+@query(
+    "committed_artifacts",
+    """WITH c AS (SELECT c_custkey, c_custkey // 500 AS part, '{"key":' || c_custkey || ',"name":"' || c_name || '","nation":' || coalesce(CAST(CASE WHEN c_custkey % 5 <> 0 THEN c_nationkey END AS VARCHAR), 'null') || '}' || chr(10) AS line FROM customer),
+    v AS (SELECT 1 AS version, * FROM c WHERE part % 2 = 0 UNION ALL SELECT 2, * FROM c WHERE part % 2 = 1)
+    SELECT version, version - 1 AS parent, part, sum(octet_length(encode(line)))::BIGINT AS bytes, sha256(string_agg(line, '' ORDER BY c_custkey)) AS sha256, count(*) AS n FROM v GROUP BY version, part""",
+)
+def committed_artifacts(spark, d):
+    """Customers as JSON lines, 500 keys a file, in two commits; the second writer first tries to build on a head that has moved."""
+    log = scratch_dir(spark)
+    key = F.col("c_custkey")
+    rows = m.table(spark, d, "customer").select(F.floor(key / 500).alias("part"), key.alias("key"), F.col("c_name").alias("name"), F.when(key % 5 != 0, F.col("c_nationkey")).alias("nation"))
+    for name, odd in (("first", 0), ("second", 1)):
+        commits.jsonl(rows.where(F.col("part") % 2 == odd), f"{log}/{name}", "part", "key")
+    commits.commit(spark, log, "first", "2026-01-05", on=0)
+    try:
+        commits.commit(spark, log, "second", "2026-01-05", on=0)
+        raise AssertionError("two writers made one commit")
+    except commits.Conflict:
+        pass
+    # What the loser had described stays without a record; it describes its files again under another name.
+    commits.jsonl(rows.where(F.col("part") % 2 == 1), f"{log}/again", "part", "key")
+    commits.commit(spark, log, "again", "2026-01-05")
+    out = None
+    for version in (1, 2):
+        files, problems = commits.verified(spark, log, version)
+        if not problems.isEmpty():
+            raise ValueError(f"commit {version} is damaged")
+        one = files.select(F.lit(version).alias("version"), F.regexp_extract("name", "part=([0-9]+)", 1).cast("long").alias("part"), "bytes", "sha256", (F.size(F.split(F.decode("content", "UTF-8"), "\n")) - 1).cast("long").alias("n"))
+        out = one if out is None else out.unionByName(one)
+    told = commits.history(spark, log).select(F.col("version").cast("int").alias("version"), F.col("parent").cast("int").alias("parent"))
+    return out.join(F.broadcast(told), "version").select("version", "parent", "part", "bytes", "sha256", "n")
