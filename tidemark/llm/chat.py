@@ -83,6 +83,11 @@ def read_back(conversations: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- trees
+def merged(rows: DataFrame) -> DataFrame:
+    """rows as a side of a sort-merge join: files of ids are far smaller than their rows, so Spark would broadcast what has no bound."""
+    return rows.hint("merge")
+
+
 def _union(tables: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, tables)
 
@@ -94,13 +99,13 @@ def reply_paths(links: DataFrame, best: int | None = None) -> DataFrame:
     """
     links = c.save(links.groupBy("tree", "id").agg(F.min("parent").alias("parent"), F.max("score").cast("double").alias("score")))
     sizes = links.groupBy("tree").agg(F.count("*").alias("size"))
-    known = c.save(c.join_split(links, c.save(sizes), "tree"))
+    known = c.save(c.join_split(links, merged(c.save(sizes)), "tree"))
     ids = known.select("tree", F.col("id").alias("parent"), F.lit(True).alias("there"))
-    linked = known.where("parent IS NOT NULL AND parent <> id").join(ids, ["tree", "parent"], "left")
+    linked = known.where("parent IS NOT NULL AND parent <> id").join(merged(ids), ["tree", "parent"], "left")
     roots = known.where("parent IS NULL OR parent = id").withColumn("there", F.lit(None).cast("boolean"))
     up = F.when(F.col("there"), F.col("parent")).alias("up")
     state = c.save(roots.unionByName(linked).select("tree", "id", "size", up, F.coalesce("score", F.lit(0.0)).alias("sum"), F.col("score").isNotNull().cast("long").alias("scores"), F.lit(1).cast("long").alias("n")))
-    leaves = state.join(state.where("up IS NOT NULL").select("tree", F.col("up").alias("id")).distinct(), ["tree", "id"], "left_anti").select("tree", "id")
+    leaves = state.join(merged(state.where("up IS NOT NULL").select("tree", F.col("up").alias("id")).distinct()), ["tree", "id"], "left_anti").select("tree", "id")
     leaves = c.save(leaves)
 
     # What a pointer of 2^k skips is summed with it; a tree of at most 2^k messages has no open pointer any more.
@@ -109,13 +114,13 @@ def reply_paths(links: DataFrame, best: int | None = None) -> DataFrame:
     while not state.where("up IS NOT NULL").isEmpty():
         steps.append(state.where("up IS NOT NULL").select("tree", "id", "up"))
         above = state.select("tree", F.col("id").alias("up"), F.col("up").alias("up2"), F.col("sum").alias("sum2"), F.col("scores").alias("scores2"), F.col("n").alias("n2"))
-        moved = state.where("up IS NOT NULL").join(above, ["tree", "up"]).select("tree", "id", "size", F.col("up2").alias("up"), (F.col("sum") + F.col("sum2")).alias("sum"), (F.col("scores") + F.col("scores2")).alias("scores"), (F.col("n") + F.col("n2")).alias("n"))
+        moved = state.where("up IS NOT NULL").join(merged(above), ["tree", "up"]).select("tree", "id", "size", F.col("up2").alias("up"), (F.col("sum") + F.col("sum2")).alias("sum"), (F.col("scores") + F.col("scores2")).alias("scores"), (F.col("n") + F.col("n2")).alias("n"))
         state = c.save(state.where("up IS NULL").unionByName(moved))
         k += 1
         done.append(state.where(F.col("size") <= 1 << k))
         state = state.where(F.col("size") > 1 << k)
     totals = _union([*done, state]).where("up IS NULL").select("tree", "id", "size", "n", F.when(F.col("scores") > 0, F.col("sum") / F.col("scores")).alias("score"))
-    chosen = leaves.join(totals, ["tree", "id"]).select("tree", F.col("id").alias("leaf"), "size", "n", "score")
+    chosen = leaves.join(merged(totals), ["tree", "id"]).select("tree", F.col("id").alias("leaf"), "size", "n", "score")
     if best is None:
         chosen = chosen.withColumn("rank", F.lit(None).cast("int"))
     else:
@@ -124,7 +129,7 @@ def reply_paths(links: DataFrame, best: int | None = None) -> DataFrame:
     found = [c.save(chosen.select("*", F.col("leaf").alias("id"), (F.col("n") - 1).alias("position")))]
     for k in reversed(range(len(steps))):
         far = _union(found).where(F.col("position") >= 1 << k)
-        found.append(c.save(far.join(steps[k], ["tree", "id"]).select("tree", "leaf", "size", "n", "score", "rank", F.col("up").alias("id"), (F.col("position") - (1 << k)).alias("position"))))
+        found.append(c.save(far.join(merged(steps[k]), ["tree", "id"]).select("tree", "leaf", "size", "n", "score", "rank", F.col("up").alias("id"), (F.col("position") - (1 << k)).alias("position"))))
     return _union(found).select("tree", "leaf", "rank", "score", "position", "id")
 
 
@@ -136,7 +141,7 @@ def conversations(messages: DataFrame, tree: str = "tree", id: str = "id", paren
     kind = messages.schema[id].dataType
     links = messages.select(F.struct(F.col(tree).alias("tree")).alias("tree"), F.col(id).alias("id"), F.col(parent).cast(kind).alias("parent"), (F.col(score) if score else F.lit(None)).cast("double").alias("score")).where("id IS NOT NULL")
     texts = messages.select(F.struct(F.col(tree).alias("tree")).alias("tree"), F.col(id).alias("id"), "role", "text")
-    rows = reply_paths(links, best).join(texts, ["tree", "id"])
+    rows = reply_paths(links, best).join(merged(texts), ["tree", "id"])
     out = formatted(rows, ["tree", "leaf", "rank", "score"], "position", learned)
     return out.select(F.col("tree.tree").alias(tree), "leaf", "rank", "score", "n_turns", "formatted", "loss")
 
@@ -155,8 +160,8 @@ def turns_as_trees(turns: DataFrame, tree: str = "conv_id") -> tuple[DataFrame,
 def turn_conversations(turns: DataFrame, tree: str = "conv_id", learned: tuple[str, ...] = LEARNED) -> DataFrame:
     """Rows by turn (tree, turn, role, text) as conversations: tree, n_turns, formatted, loss."""
     links, messages = turns_as_trees(turns, tree)
-    paths = reply_paths(links, best=1).select("tree", "leaf", "position", "id").join(links.select("tree", "id", "key"), ["tree", "id"])
-    rows = paths.select("tree", "key", "leaf", "position").join(messages, ["tree", "key"])
+    paths = reply_paths(links, best=1).select("tree", "leaf", "position", "id").join(merged(links.select("tree", "id", "key")), ["tree", "id"])
+    rows = paths.select("tree", "key", "leaf", "position").join(merged(messages), ["tree", "key"])
     return formatted(rows, ["tree", "leaf"], "position", learned).select(F.col("tree.tree").alias(tree), "n_turns", "formatted", "loss")
 
 
