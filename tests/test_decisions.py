@@ -76,6 +76,28 @@ def test_universe(spark):
     assert unknown == {5: "TARGET_MARKET_COMMON_STOCK", 29: "REIT_DETECTION_INCOMPLETE"}
 
 
+def test_admission_of_examples(spark):
+    from tidemark.operators import evaluation as ev
+
+    at = lambda d: dt.datetime(2026, 1, d)
+    good = ("SUCCESS", "CONFIRMED", 0.5, at(5), True, at(5), [])
+    names = ("label", "review", "confidence", "seen_at", "resolved", "context_at", "gaps")
+    changes = [{}, {"label": None}, {"label": "UNCLEAR", "review": None}, {"review": "UNREVIEWED"}, {"confidence": None}, {"confidence": 0.1}, {"seen_at": at(20)}, {"resolved": None}, {"context_at": None}, {"context_at": at(6)}, {"gaps": ["x"]}, {"gaps": None}]
+    rows = [(n, *[c.get(k, v) for k, v in zip(names, good, strict=True)]) for n, c in enumerate(changes)]
+    df = spark.createDataFrame(rows, "n int, label string, review string, confidence double, seen_at timestamp, resolved boolean, context_at timestamp, gaps array<string>")
+    out = ev.admitted(df, ["SUCCESS", "FAILURE"], ["CONFIRMED"], 0.3, "2026-01-10")
+    assert [r.reason for r in out.orderBy("n").collect()] == [None, "LABEL_NOT_ADMITTED", "LABEL_NOT_ADMITTED", "REVIEW_STATUS", "NO_CONFIDENCE", "LOW_CONFIDENCE", "SEEN_AFTER_CUTOFF", "PATH_NOT_RESOLVED", "NO_CONTEXT", "CONTEXT_AFTER_JUDGEMENT", "LINEAGE_GAPS", None]
+    assert tuple(ev.usable(out).first()) == (2, 10, 1, False)
+    research = ev.admitted(df, ["SUCCESS"], None, None, "2026-01-10", lineage=False)
+    assert [r.reason for r in research.orderBy("n").collect()] == [None, "LABEL_NOT_ADMITTED", "LABEL_NOT_ADMITTED", None, None, None, "SEEN_AFTER_CUTOFF", "PATH_NOT_RESOLVED", None, None, None, None]
+
+
+def test_session_times(spark):
+    days = [dt.date(2024, 11, 1), dt.date(2024, 11, 5), dt.date(2024, 11, 9), dt.date(2024, 11, 10)]
+    got = [tuple(str(x) for x in r) for r in spark.createDataFrame([(d,) for d in days], "day date").select(*[x.cast("timestamp_ntz") for x in text.session_times("day").values()]).collect()]
+    assert got == [("2024-11-01 06:00:00", "2024-11-01 06:40:00", "2024-11-04 00:00:00"), ("2024-11-05 06:30:00", "2024-11-05 07:10:00", "2024-11-06 00:00:00"), ("2024-11-09 06:30:00", "2024-11-09 07:10:00", "2024-11-11 00:00:00"), ("2024-11-10 06:30:00", "2024-11-10 07:10:00", "2024-11-11 00:00:00")]
+
+
 def test_whole_texts_and_members(spark, tmp_path):
     from tidemark.plans import QUERIES
 

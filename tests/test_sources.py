@@ -1,11 +1,12 @@
 import datetime as dt
 import hashlib
+import json
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.sources import records, sinks
+from tidemark.sources import files, records, sinks
 
 
 def put(path, text):
@@ -105,3 +106,16 @@ def test_replay_of_many_shuffled_files(spark, tmp_path):
                 before, number = r[5], number + 1
                 want.append((r[0], user, number))
     assert sorted(map(tuple, QUERIES["stream_revisions"](spark, str(tmp_path)).collect())) == sorted(want)
+
+
+def test_chart_history(spark, tmp_path):
+    at = lambda *d: int(dt.datetime(*d, tzinfo=dt.timezone.utc).timestamp())
+    quote = {"open": [10.0, None, 12.0, 13.0], "high": [11.0], "close": [10.5, None, 12.5, 13.0], "volume": [101, 5, None, 7]}
+    charts = [
+        {"meta": {"currency": "JPY", "symbol": "a"}, "timestamp": [at(2026, 1, 5, 0), at(2026, 1, 6, 0), at(2026, 1, 6, 23), at(2026, 1, 8, 1)], "indicators": {"quote": [quote]}, "events": {"splits": {"x": {"date": at(2026, 1, 8, 0), "numerator": 2, "denominator": 1}}}},
+        {"meta": {"currency": "USD", "symbol": "b"}, "timestamp": [at(2026, 1, 5, 0)], "indicators": {"quote": [quote]}}, {"meta": {"symbol": "c"}, "timestamp": None, "indicators": {"quote": []}},
+    ]
+    bars, splits, refused = files.chart_history(spark, put(tmp_path / "c.json", "\n".join(json.dumps(c) for c in charts)))
+    got = sorted((r.symbol, r.trade_date.day, r.open, r.high, r.close, r.volume, r.turnover) for r in bars.collect())
+    assert got == [("a", 5, 20.0, 22.0, 21.0, 51.0, 1071.0), ("a", 7, 24.0, None, 25.0, None, None), ("a", 8, 13.0, None, 13.0, 7.0, 91.0)]
+    assert [(r.symbol, r.ex_date.day, r.action_type) for r in splits.collect()] == [("a", 8, "SPLIT")] and [tuple(r) for r in refused.collect()] == [("b", "USD")]

@@ -38,6 +38,17 @@ def local_to_utc(local: str, zone: str = "Asia/Tokyo") -> Column:
     return F.to_utc_timestamp(local, zone)
 
 
+def session_times(day: str | Column) -> dict[str, Column]:
+    """Of a Tokyo session day, as instants: session_end, confirmed_at (all bars final) and send_by (the next weekday's open)."""
+    d = F.col(day) if isinstance(day, str) else day
+    # The close moved from 15:00 to 15:30 on 2024-11-05; the feed is 20 minutes late.
+    minutes = F.when(d >= F.lit("2024-11-05").cast("date"), 15 * 60 + 30).otherwise(15 * 60)
+    at = lambda x, m: F.to_utc_timestamp(F.timestamp_add("MINUTE", m, x.cast("timestamp_ntz").cast("timestamp")), "Asia/Tokyo")
+    # Monday is 0: from Friday three days on, from Saturday two.
+    ahead = F.date_add(d, F.when(F.weekday(d) == 4, 3).when(F.weekday(d) == 5, 2).otherwise(1))
+    return {"session_end": at(d, minutes), "confirmed_at": at(d, minutes + 40), "send_by": at(ahead, F.lit(9 * 60))}
+
+
 def redacted(text: str, *variants: str) -> Column:
     """text without the names in the given columns and without free-standing four-digit codes."""
     out = F.col(text)

@@ -57,3 +57,29 @@ def quartile_bands(rows: DataFrame, group: list[str], value: str, key: str) -> D
     out = known.join(cuts, group)
     band = sum((F.when(F.col(value) >= F.col(f"__c{k}"), 1).otherwise(0) for k in (1, 2, 3)), F.lit(1))
     return out.withColumn("band", band).drop("__r", "__n", "__c1", "__c2", "__c3")
+
+
+def admitted(rows: DataFrame, labels: list[str], reviews: list[str] | None, least: float | None, cutoff: str, lineage: bool = True) -> DataFrame:
+    """rows with reason, the first that keeps an example out of a training set; null: it is admitted.
+
+    rows: label, review, confidence, seen_at (what its judgement had seen), resolved, context_at (null: its inputs were never
+    recorded) and gaps (what is missing of them).  Lineage is asked of production sets, not of research.
+    """
+    c, never = F.col, F.lit(False)
+    rules = [
+        (~F.coalesce(c("label").isin(labels), never), "LABEL_NOT_ADMITTED"),
+        (~F.coalesce(c("review").isin(reviews), never) if reviews else never, "REVIEW_STATUS"),
+        (c("confidence").isNull() if least is not None else never, "NO_CONFIDENCE"),
+        (c("confidence") < least if least is not None else never, "LOW_CONFIDENCE"),
+        (c("seen_at") > F.lit(cutoff).cast("timestamp"), "SEEN_AFTER_CUTOFF"),
+        (~F.coalesce("resolved", never), "PATH_NOT_RESOLVED"),
+        *([(c("context_at").isNull(), "NO_CONTEXT"), (c("context_at") > c("seen_at"), "CONTEXT_AFTER_JUDGEMENT"), (F.size(F.coalesce("gaps", F.array().cast("array<string>"))) > 0, "LINEAGE_GAPS")] if lineage else []),
+    ]
+    return rows.withColumn("reason", F.coalesce(*[F.when(test, F.lit(name)) for test, name in rules]))
+
+
+def usable(rows: DataFrame, classes: int = 3) -> DataFrame:
+    """(admitted, rejected, n_classes, usable) of admitted's rows: a target of too few classes is recorded, and not trained on."""
+    ok = F.col("reason").isNull()
+    out = rows.agg(F.count_if(ok).alias("admitted"), F.count_if(~ok).alias("rejected"), F.count_distinct(F.when(ok, F.col("label"))).alias("n_classes"))
+    return out.withColumn("usable", (F.col("admitted") > 0) & (F.col("n_classes") >= classes))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..operators import decisions as de
+from ..operators import evaluation as ev
 from ..operators import universe as un
-from ..sources import commits
+from ..sources import commits, files
 from ..sources import market as m
 from ..sources import records
 from ..sources.scratch import scratch_dir
@@ -190,3 +192,49 @@ def committed_artifacts(spark, d):
         out = one if out is None else out.unionByName(one)
     told = commits.history(spark, log).select(F.col("version").cast("int").alias("version"), F.col("parent").cast("int").alias("parent"))
     return out.join(F.broadcast(told), "version").select("version", "parent", "part", "bytes", "sha256", "n")
+
+
+@query(
+    "session_windows",
+    """WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) + CAST(o_orderkey % 2 * 11000 AS INTEGER) AS day FROM orders), e AS (SELECT day, day + CASE WHEN day >= DATE '2024-11-05' THEN INTERVAL 930 MINUTE ELSE INTERVAL 900 MINUTE END - INTERVAL 9 HOUR AS session_end, day + CAST(CASE isodow(day) WHEN 5 THEN 3 WHEN 6 THEN 2 ELSE 1 END AS INTEGER) AS next FROM d)
+    SELECT day, session_end, session_end + INTERVAL 40 MINUTE AS confirmed_at, next::TIMESTAMP AS send_by FROM e""",
+)
+def session_windows(spark, d):
+    """When a day's bars are final, and until when something may be sent on them."""
+    day = F.date_add(F.to_date("o_orderdate"), (F.col("o_orderkey") % 2 * 11000).cast("int"))
+    rows = m.table(spark, d, "orders").select(day.alias("day")).distinct()
+    return rows.select("day", *[x.cast("timestamp_ntz").alias(n) for n, x in tx.session_times("day").items()])
+
+
+@query(
+    "dataset_admission",
+    """WITH j AS (SELECT o_orderkey, (['SUCCESS', 'FAILURE', 'AMBIGUOUS', 'UNCLEAR'])[o_orderkey % 4 + 1] AS label, (['CONFIRMED', 'UNREVIEWED', 'CORRECTED'])[o_orderkey % 3 + 1] AS review, CASE WHEN o_orderkey % 7 <> 0 THEN (o_orderkey % 10) / 10.0 END AS confidence, o_orderdate::TIMESTAMP AS seen_at, o_orderkey % 11 <> 0 AS resolved, CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN o_orderdate::TIMESTAMP + INTERVAL 1 HOUR ELSE o_orderdate::TIMESTAMP END AS context_at, o_orderkey % 13 = 0 AS gap FROM orders)
+    SELECT o_orderkey, label, CASE WHEN label = 'UNCLEAR' THEN 'LABEL_NOT_ADMITTED' WHEN review = 'UNREVIEWED' THEN 'REVIEW_STATUS' WHEN confidence IS NULL THEN 'NO_CONFIDENCE' WHEN confidence < 0.3 THEN 'LOW_CONFIDENCE' WHEN seen_at > TIMESTAMP '1997-06-30' THEN 'SEEN_AFTER_CUTOFF' WHEN NOT resolved THEN 'PATH_NOT_RESOLVED' WHEN context_at IS NULL THEN 'NO_CONTEXT' WHEN context_at > seen_at THEN 'CONTEXT_AFTER_JUDGEMENT' WHEN gap THEN 'LINEAGE_GAPS' END AS reason FROM j""",
+)
+def dataset_admission(spark, d):
+    """The first reason that keeps each example out of a production set."""
+    k, at = F.col("o_orderkey"), F.col("o_orderdate").cast("timestamp")
+    rows = m.table(spark, d, "orders").select(
+        k, pick(("SUCCESS", "FAILURE", "AMBIGUOUS", "UNCLEAR"), k).alias("label"), pick(("CONFIRMED", "UNREVIEWED", "CORRECTED"), k).alias("review"), F.when(k % 7 != 0, (k % 10) / 10.0).alias("confidence"), at.alias("seen_at"), (k % 11 != 0).alias("resolved"),
+        F.when(k % 5 == 1, F.timestamp_add("HOUR", F.lit(1), at)).when(k % 5 != 0, at).alias("context_at"), F.when(k % 13 == 0, F.array(F.lit("prices"))).alias("gaps"),
+    )
+    return ev.admitted(rows, ["SUCCESS", "FAILURE", "AMBIGUOUS"], ["CONFIRMED", "CORRECTED"], 0.3, "1997-06-30").select("o_orderkey", "label", "reason")
+
+
+@query(
+    "chart_history",
+    f"""WITH {m.BARS_SQL}, b AS (SELECT symbol, trade_date, round(floor(open) / 2)::DOUBLE AS o, round(floor(close) / 2)::DOUBLE AS c, volume::BIGINT AS v FROM bars WHERE close IS NOT NULL AND symbol % 9 <> 2)
+    SELECT 's' || symbol AS symbol, trade_date, CASE WHEN symbol % 4 = 0 AND trade_date < DATE '1996-01-01' THEN o * 2 ELSE o END AS open, CASE WHEN symbol % 4 = 0 AND trade_date < DATE '1996-01-01' THEN c * 2 ELSE c END AS close, CASE WHEN symbol % 4 = 0 AND trade_date < DATE '1996-01-01' THEN floor(v / 2.0 + 0.5) ELSE v END::DOUBLE AS volume,
+      (CASE WHEN symbol % 4 = 0 AND trade_date < DATE '1996-01-01' THEN c * 2 ELSE c END) * (CASE WHEN symbol % 4 = 0 AND trade_date < DATE '1996-01-01' THEN floor(v / 2.0 + 0.5) ELSE v END)::DOUBLE AS turnover FROM b""",
+)
+def chart_history(spark, d):
+    """Parallel-array charts, adjusted for a split on 1996-01-01 of every fourth symbol, back to bars as they traded; charts in dollars are refused."""
+    path, s = scratch_dir(spark), F.col("symbol")
+    bars = m.bars(spark, d).select("symbol", (F.unix_timestamp(F.col("trade_date").cast("timestamp")) + 3600).alias("at"), F.round(F.floor("open") / 2).cast("double").alias("open"), F.round(F.floor("close") / 2).cast("double").alias("close"), F.col("volume").cast("long").alias("volume"))
+    split = F.create_map(F.lit("a"), F.struct(F.unix_timestamp(F.lit("1996-01-01").cast("timestamp")).alias("date"), F.lit(2.0).alias("numerator"), F.lit(1.0).alias("denominator")))
+    x = bars.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("at", "open", "close", "volume"))).alias("b"))
+    quote = F.struct(*[F.col(f"b.{n}").alias(n) for n in ("open", "close", "volume")])
+    doc = F.to_json(F.struct(F.struct(F.when(s % 9 == 2, "USD").otherwise("JPY").alias("currency"), F.concat(F.lit("s"), s.cast("string")).alias("symbol")).alias("meta"), F.col("b.at").alias("timestamp"), F.struct(F.array(quote).alias("quote")).alias("indicators"), F.struct(F.when(s % 4 == 0, split).alias("splits")).alias("events")), {"ignoreNullFields": "false"})
+    x.select(doc.alias("value")).write.text(path)
+    out, _, _ = files.chart_history(spark, path)
+    return out.select("symbol", "trade_date", "open", "close", "volume", "turnover")

@@ -39,3 +39,25 @@ def chart_bars(spark: SparkSession, path: str) -> DataFrame:
 def chart_splits(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema(CHART).json(path).select(F.col("meta.symbol").alias("symbol"), F.explode(F.map_values("events.splits")).alias("s"))
     return rows.select("symbol", F.to_date(F.timestamp_seconds("s.date")).alias("ex_date"), F.col("s.denominator").alias("split_from"), F.col("s.numerator").alias("split_to"))
+
+
+def chart_history(spark: SparkSession, path: str, currency: str = "JPY", zone: str = "Asia/Tokyo") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(bars as traded with turnover, splits as actions, refused: symbol, currency) of chart JSON lines.
+
+    Chart prices are adjusted for every later split; bars without a close are no sessions; a chart in
+    another currency is refused whole.  Days are those of the market's zone.
+    """
+    from ..operators.restate import as_traded
+
+    charts = spark.read.schema(CHART).json(path).select(F.col("meta.symbol").alias("symbol"), F.col("meta.currency").alias("currency"), "timestamp", F.get("indicators.quote", F.lit(0)).alias("q"), "events")
+    other = F.coalesce(F.col("currency") != currency, F.lit(False))
+    good = charts.where(~other)
+    day = lambda stamp: F.to_date(F.from_utc_timestamp(F.timestamp_seconds(stamp), zone))
+    names = ("open", "high", "low", "close", "volume")
+    # By position: a chart may lack an array, or have one that is too short.
+    each = good.select("symbol", "q", F.posexplode("timestamp").alias("n", "at"))
+    bars = each.select("symbol", day(F.col("at")).alias("trade_date"), *[F.get(f"q.{x}", F.col("n")).cast("double").alias(x) for x in names]).where("close IS NOT NULL AND trade_date IS NOT NULL")
+    splits = good.select("symbol", F.explode(F.map_values("events.splits")).alias("s")).select("symbol", day(F.col("s.date")).alias("ex_date"), F.col("s.denominator").alias("split_from"), F.col("s.numerator").alias("split_to"))
+    actions = splits.withColumns({"action_type": F.when(F.col("split_to") >= F.col("split_from"), "SPLIT").otherwise("REVERSE_SPLIT"), "adjustment_factor": F.lit(None).cast("double")})
+    out = as_traded(bars, actions.where("split_from > 0 AND split_to > 0"))
+    return out.withColumn("turnover", F.col("close") * F.col("volume")).select("symbol", "trade_date", *names, "turnover"), actions, charts.where(other).select("symbol", "currency")
