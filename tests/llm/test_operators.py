@@ -623,7 +623,7 @@ def test_licenses_inside_lines(spark):
 
 # ---------------------------------------------------------------- the queries and the pipeline
 def test_queries_run(spark):
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)] and set(ORACLES) <= set(QUERIES)
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 14)] and set(ORACLES) <= set(QUERIES)
     for n in ("op2_lossless_webp", "op9_license_scan", "op7_warc_index_first"):
         assert QUERIES[n](spark, D).count() > 0
 
