@@ -119,3 +119,16 @@ def test_chart_history(spark, tmp_path):
     got = sorted((r.symbol, r.trade_date.day, r.open, r.high, r.close, r.volume, r.turnover) for r in bars.collect())
     assert got == [("a", 5, 20.0, 22.0, 21.0, 51.0, 1071.0), ("a", 7, 24.0, None, 25.0, None, None), ("a", 8, 13.0, None, 13.0, 7.0, 91.0)]
     assert [(r.symbol, r.ex_date.day, r.action_type) for r in splits.collect()] == [("a", 8, "SPLIT")] and [tuple(r) for r in refused.collect()] == [("b", "USD")]
+
+
+def test_bulk(spark):
+    files_ = [("a", '[{"code":"X","date":"2026-01-05","close":"1.5","open":"NA","volume":10},{"Code":"Y","Date":"2026-01-06","Close":2,"Ex":"T","Adjusted_close":""},{"date":"2026-01-05"},{"code":"Z","date":"soon"}]'), ("b", '{"data":[{"code":"W","date":"2026-01-05"}]}'), ("c", "not json"), ("d", "[]"), ("e", None)]
+    df = spark.createDataFrame(files_, "file string, value string")
+    rows, refused = records.bulk(df, records.BULK_BAR, ("code", "trade_date"))
+    got = sorted((r.code, r.trade_date.day, r.exchange, None if r.close is None else float(r.close), r.open, r.adjusted_close) for r in rows.collect())
+    assert got == [("W", 5, None, None, None, None), ("X", 5, None, 1.5, None, None), ("Y", 6, "T", 2.0, None, None)]
+    assert sorted((r.file, r.missing) for r in refused.collect()) == [("a", ["code"]), ("a", ["trade_date"])]
+    dividends, _ = records.bulk(spark.createDataFrame([("f", '[{"date":"2026-03-30","value":1.25,"unadjustedValue":"2.5","paymentDate":"2026-06-01"}]')], "file string, value string"), records.BULK_DIVIDEND, ("ex_date",))
+    assert [(str(r.ex_date), float(r.value), float(r.unadjusted_value), str(r.payment_date), r.currency) for r in dividends.collect()] == [("2026-03-30", 1.25, 2.5, "2026-06-01", None)]
+    symbols, _ = records.bulk(spark.createDataFrame([("g", '[{"Code":"X","Name":"X Inc","Type":"Common Stock","Isin":null}]')], "file string, value string"), records.BULK_SYMBOL, ("code",))
+    assert [(r.code, r.name, r.security_type, r.isin) for r in symbols.collect()] == [("X", "X Inc", "Common Stock", None)]

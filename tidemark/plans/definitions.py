@@ -12,7 +12,7 @@ from ..sources import commits, files
 from ..sources import market as m
 from ..sources import records
 from ..sources.scratch import scratch_dir
-from .registry import query
+from .registry import q, query, sq
 
 SEGMENTS = ("PRIME_DOMESTIC", "STANDARD_DOMESTIC", "GROWTH_DOMESTIC", "PRIME_FOREIGN", "PRO_MARKET", "UNKNOWN", "OTHER_BOARD")
 KINDS = ("COMMON_STOCK", "COMMON_STOCK", "COMMON_STOCK", "ETF", "ETN", "REIT_OR_FUND", "INVESTMENT_CERTIFICATE", "PREFERRED", "WARRANT", "OTHER", "FOREIGN_COMMON_STOCK", "UNKNOWN", "ADR", "UNIT", "RIGHT")
@@ -238,3 +238,19 @@ def chart_history(spark, d):
     x.select(doc.alias("value")).write.text(path)
     out, _, _ = files.chart_history(spark, path)
     return out.select("symbol", "trade_date", "open", "close", "volume", "turnover")
+
+
+@query(
+    "bulk_bars",
+    f"""WITH {m.BARS_SQL} SELECT 'S' || symbol AS code, trade_date, CASE WHEN symbol % 2 = 0 THEN 'X' END AS exchange, {sq('open')} AS open, CASE WHEN symbol % 13 <> 3 THEN {sq('high')} END AS high, {sq('close')} AS close, volume::DOUBLE AS volume FROM bars WHERE symbol % 17 <> 4""",
+)
+def bulk_bars(spark, d):
+    """A bulk response for each day, half of its records under other names; a record without its code is refused, NA is no number."""
+    s, text = F.col("symbol"), lambda n: F.col(n).cast("string")
+    bars = m.bars(spark, d)
+    one = F.struct(F.when(s % 17 != 4, F.concat(F.lit("S"), text("symbol"))).alias("code"), text("trade_date").alias("date"), F.lit("X").alias("exchange_short_name"), "open", F.when(s % 13 == 3, "NA").otherwise(text("high")).alias("high"), "low", "close", "volume")
+    two = F.struct(F.when(s % 17 != 4, F.concat(F.lit("S"), text("symbol"))).alias("Code"), text("trade_date").alias("Date"), text("open").alias("Open"), F.when(s % 13 == 3, "").otherwise(text("high")).alias("High"), F.col("low").alias("Low"), F.col("close").alias("Close"), F.col("volume").alias("Volume"))
+    record = F.when(s % 2 == 0, F.to_json(one)).otherwise(F.to_json(two))
+    days = bars.groupBy(F.col("trade_date").cast("string").alias("file")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(record), ","), F.lit("]")).alias("value"))
+    rows, _ = records.bulk(days, records.BULK_BAR, ("code", "trade_date"))
+    return rows.select("code", "trade_date", "exchange", *[q(F.col(n).cast("double"), n) for n in ("open", "high", "close")], F.col("volume").cast("double").alias("volume"))

@@ -43,6 +43,30 @@ def bars_json(spark: SparkSession, path: str) -> DataFrame:
     return out.where("native_symbol is not null and trade_date is not null")
 
 
+# The names that a bulk response's fields go by; those of the first entry must be there.
+BULK_BAR = {"code": ("code", "Code"), "trade_date": ("date", "Date"), "exchange": ("exchange_short_name", "Ex", "exchange"), "open": ("open", "Open"), "high": ("high", "High"), "low": ("low", "Low"), "close": ("close", "Close"), "adjusted_close": ("adjusted_close", "Adjusted_close"), "volume": ("volume", "Volume")}
+BULK_DIVIDEND = {"ex_date": ("date",), "value": ("value",), "unadjusted_value": ("unadjustedValue",), "currency": ("currency",), "declaration_date": ("declarationDate",), "record_date": ("recordDate",), "payment_date": ("paymentDate",), "period": ("period",)}
+BULK_SYMBOL = {"code": ("Code", "code"), "name": ("Name", "name"), "exchange": ("Exchange", "exchange"), "country": ("Country", "country"), "currency": ("Currency", "currency"), "security_type": ("Type", "type"), "isin": ("Isin", "isin")}
+_NUMBERS = ("open", "high", "low", "close", "adjusted_close", "volume", "value", "unadjusted_value")
+
+
+def bulk(files: DataFrame, names: dict[str, tuple[str, ...]], required: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """(rows, refused: file, record, missing) of bulk responses (file, value): JSON arrays, fields under any of their names.
+
+    A number that can't be read, NA and empty text among them, is null; a record without a required field is told, not guessed.
+    """
+    records = files.select("file", F.explode(envelope(F.col("value"), "data")).alias("r"))
+
+    def field(name: str) -> Column:
+        x = F.nullif(F.trim(first_of("r", *names[name])), F.lit(""))
+        return x.try_cast("decimal(30,10)") if name in _NUMBERS else x.try_cast("date") if name.endswith("date") else x
+
+    rows = records.select("file", F.col("r").alias("record"), *[field(n).alias(n) for n in names])
+    missing = F.array_compact(F.array(*[F.when(F.col(n).isNull(), F.lit(n)) for n in required]))
+    rows = rows.withColumn("missing", missing)
+    return rows.where(F.size("missing") == 0).drop("record", "missing"), rows.where(F.size("missing") > 0).select("file", "record", "missing")
+
+
 def split_ratio(text: str) -> dict[str, Column]:
     """split_to and split_from of "new/old"; null where it can't be read."""
     parts = F.split(text, "/")
