@@ -148,3 +148,13 @@ MEASUREMENTS = (
     *("bb_mid_20", "bb_upper_20", "bb_lower_20", "bb_width_20", "bb_percent_b", "vwap_day", "vwap_source", "gap_pct", "body_pct", "upper_wick_pct", "lower_wick_pct", "close_location_value"),
     *("range_5d_pct", "range_20d_pct", "range_contraction_ratio", "breakout_distance_pct", "consecutive_up_days", "resistance_20d", "resistance_60d", "support_20d", "support_60d"),
 )
+
+
+def screen_at(bars: DataFrame, symbols: DataFrame, day: str) -> DataFrame:
+    """One date's screen: (symbol, routes, outcome) of every symbol; bars as features takes them, none of them after the date.
+
+    A symbol without a bar on the date has no screen, whatever its history.
+    """
+    rows = evaluate_routes(features(bars)).where(F.col("trade_date") == F.lit(day).cast("date")).select("symbol", "routes", "blocked")
+    outcome = F.when(F.col("blocked").isNull(), "NO_BAR_ON_DATE").when(F.col("blocked"), "REFUSED").when(F.size("routes") > 0, "PASSED").otherwise("NOT_PASSED")
+    return symbols.select("symbol").join(rows, "symbol", "left").select("symbol", "routes", outcome.alias("outcome"))

@@ -296,3 +296,15 @@ def route_coverage(spark, d):
 def route_performance(spark, d):
     rows = ft.evaluate_routes(feature_rows(spark, d)).select("symbol", "market_code", F.explode("routes").alias("route"))
     return rows.groupBy("route", "market_code").agg(F.count("*").alias("n"), F.count_distinct("symbol").alias("n_symbols"))
+
+
+S0 = "1997-06-16"
+
+
+@query("screen_s0", f"WITH {CANDIDATES_SQL}, s AS (SELECT symbol, codes, blocked FROM candidates JOIN (SELECT symbol, trade_date, blocked FROM features) USING (symbol, trade_date) WHERE trade_date = DATE '{S0}') SELECT symbol, codes, CASE WHEN blocked IS NULL THEN 'NO_BAR_ON_DATE' WHEN blocked THEN 'REFUSED' WHEN codes <> '' THEN 'PASSED' ELSE 'NOT_PASSED' END AS outcome FROM markets LEFT JOIN s USING (symbol)")
+def screen_s0(spark, d):
+    """Every symbol screened on one date, from what was there by then."""
+    day = F.lit(S0).cast("date")
+    bars = rs.latest_basis(m.bars(spark, d).where(F.col("trade_date") <= day), m.actions(spark, d).where(F.col("ex_date") <= day))
+    markets = m.markets(spark, d)
+    return ft.screen_at(bars.join(markets, "symbol"), markets, S0).select("symbol", F.array_join("routes", ",").alias("codes"), "outcome")
