@@ -163,15 +163,15 @@ def calendar_page(spark, d):
 
 @query(
     "committed_artifacts",
-    """WITH c AS (SELECT c_custkey, c_custkey // 500 AS part, '{"key":' || c_custkey || ',"name":"' || c_name || '","nation":' || coalesce(CAST(CASE WHEN c_custkey % 5 <> 0 THEN c_nationkey END AS VARCHAR), 'null') || '}' || chr(10) AS line FROM customer),
+    """WITH c AS (SELECT c_custkey, c_custkey // 50 AS part, '{"key":' || c_custkey || ',"name":"' || c_name || '","nation":' || coalesce(CAST(CASE WHEN c_custkey % 5 <> 0 THEN c_nationkey END AS VARCHAR), 'null') || '}' || chr(10) AS line FROM customer),
     v AS (SELECT 1 AS version, * FROM c WHERE part % 2 = 0 UNION ALL SELECT 2, * FROM c WHERE part % 2 = 1)
     SELECT version, version - 1 AS parent, part, sum(octet_length(encode(line)))::BIGINT AS bytes, sha256(string_agg(line, '' ORDER BY c_custkey)) AS sha256, count(*) AS n FROM v GROUP BY version, part""",
 )
 def committed_artifacts(spark, d):
-    """Customers as JSON lines, 500 keys a file, in two commits; the second writer first tries to build on a head that has moved."""
+    """Customers as JSON lines, 50 keys a file, in two commits; the second writer first tries to build on a head that has moved."""
     log = scratch_dir(spark)
     key = F.col("c_custkey")
-    rows = m.table(spark, d, "customer").select(F.floor(key / 500).alias("part"), key.alias("key"), F.col("c_name").alias("name"), F.when(key % 5 != 0, F.col("c_nationkey")).alias("nation"))
+    rows = m.table(spark, d, "customer").select(F.floor(key / 50).alias("part"), key.alias("key"), F.col("c_name").alias("name"), F.when(key % 5 != 0, F.col("c_nationkey")).alias("nation"))
     for name, odd in (("first", 0), ("second", 1)):
         commits.jsonl(rows.where(F.col("part") % 2 == odd), f"{log}/{name}", "part", "key")
     commits.commit(spark, log, "first", "2026-01-05", on=0)
