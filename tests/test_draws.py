@@ -97,3 +97,15 @@ def test_redaction_by_many_names(spark):
     for most in (10_000, 50):
         got = {r.id: r.t for r in redaction.redact(spark.createDataFrame(texts, "id int, t string"), "t", spark.createDataFrame(names, "n string"), "n", most=most).collect()}
         assert got == {i: plain_redaction(t, [n for n, in names], None) for i, t in texts}
+
+
+def test_redaction_holds_few_spans(tmp_path):
+    """A task holds the spans of SLICE texts, packed, however large the batch that comes: texts may be nothing but names."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    pq.write_table(pa.table({"v": ["ab", "abc"]}), tmp_path / "w.parquet")
+    batch = pa.RecordBatch.from_pydict({"t": pa.array(["abcab" * 50] * 1000), "__spans": pa.array([b""] * 1000, pa.binary())})
+    out = list(redaction._find(str(tmp_path), "t")([batch]))
+    assert max(b.num_rows for b in out) <= redaction.SLICE and sum(b.num_rows for b in out) == 1000
+    assert sum(b.column(1).nbytes for b in out) < 1000 * (100 * 8 + 16)
