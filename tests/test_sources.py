@@ -6,6 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.plans import QUERIES
 from tidemark.sources import files, records, sinks
 
 
@@ -132,3 +133,11 @@ def test_bulk(spark):
     assert [(str(r.ex_date), float(r.value), float(r.unadjusted_value), str(r.payment_date), r.currency) for r in dividends.collect()] == [("2026-03-30", 1.25, 2.5, "2026-06-01", None)]
     symbols, _ = records.bulk(spark.createDataFrame([("g", '[{"Code":"X","Name":"X Inc","Type":"Common Stock","Isin":null}]')], "file string, value string"), records.BULK_SYMBOL, ("code",))
     assert [(r.code, r.name, r.security_type, r.isin) for r in symbols.collect()] == [("X", "X Inc", "Common Stock", None)]
+
+
+def test_feeds_larger_than_a_file_may_be(spark, tmp_path):
+    """All items of 24ths whose one file would be refused for its size."""
+    n, long = 1600, "s" * 1800
+    spark.range(n).selectExpr("id * 24 as doc_id", "'en' as lang", f"'{long}' as source", "id as n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["feed_documents"](spark, str(tmp_path))
+    assert n * len(long) * 2 > records.MOST_FEED_BYTES and got.where("file = 0").select("id").distinct().count() == got.count() == n

@@ -55,6 +55,8 @@ def universe_definition(spark, d):
     return un.classify(rows, listed(31), listed(37)).select("p_partkey", "decision", "reason")
 
 
+#: Documents of one page of a feed: some 200 kB.
+FEED_PAGE = 500
 PHRASES = ("volume confirms the base", "enter now at market", "should return to its prior high", "", "a measured advance", "support held twice")
 
 
@@ -84,7 +86,10 @@ def analysis_validation(spark, d):
     SELECT g AS file, 'd' || doc_id AS id, title, CASE WHEN doc_id % 5 <> 0 OR g % 3 = 1 THEN 'http://x/' || doc_id || '?a=1&b=2' END AS url, CASE WHEN doc_id % 7 <> 0 THEN '<b>' || title || '</b>' END AS summary, CASE g % 3 WHEN 0 THEN 'Mon, 05 Jan 2026 10:00:00 +0900' WHEN 1 THEN '2026-01-05' ELSE '2026-01-05T01:02:03Z' END AS published FROM f WHERE g NOT IN (5, 7, 11)""",
 )
 def feed_documents(spark, d):
-    """Feeds of three kinds, a file for 24th of the documents; a document type, text cut off and another root refuse theirs."""
+    """Feeds of three kinds, by 24ths of the documents; a document type, text cut off and another root refuse theirs.
+
+    A feed comes in pages of FEED_PAGE ids, each a document of its own: so none nears the cap on a file, however many documents there are.
+    """
     k, g = F.col("doc_id"), F.col("doc_id") % 24
     esc = lambda x: F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     part = lambda n: F.coalesce(F.col(n).cast("string"), F.lit(""))
@@ -98,7 +103,7 @@ def feed_documents(spark, d):
     links = F.concat(F.lit('<link rel="self" href="no"/>'), F.lit('<link href="'), esc(url), F.lit('"/>'))
     atom = F.concat(F.lit("<entry>"), tag("id", id_), tag("title", esc(title), ' type="html"'), some(k % 5 != 0, links), tag("updated", F.lit("2026-02-01T00:00:00Z")), tag("published", F.lit("2026-01-05T01:02:03Z")), some(k % 7 != 0, tag("content", cdata, ' type="html"')), F.lit("</entry>"))
     each = F.when(g % 3 == 0, rss).when(g % 3 == 1, rdf).otherwise(atom)
-    body = m.table(spark, d, "documents").where("doc_id is not null").select(g.alias("g"), each.alias("x")).groupBy("g").agg(F.array_join(F.collect_list("x"), "\n").alias("b"))
+    body = m.table(spark, d, "documents").where("doc_id is not null").select(g.alias("g"), F.floor(k / (24 * FEED_PAGE)).alias("page"), each.alias("x")).groupBy("g", "page").agg(F.array_join(F.collect_list("x"), "\n").alias("b"))
     head = F.when(F.col("g") % 3 == 0, F.lit('<?xml version="1.0"?>\n<!-- a feed --><rss version="2.0" xmlns:media="m"><channel><title>c</title>')).when(F.col("g") % 3 == 1, F.lit('<rdf:RDF xmlns:rdf="r" xmlns="http://purl.org/rss/1.0/" xmlns:dc="d" xmlns:content="c">')).otherwise(F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><title>f</title>'))
     foot = F.when(F.col("g") % 3 == 0, F.lit("</channel></rss>")).when(F.col("g") % 3 == 1, F.lit("</rdf:RDF>")).otherwise(F.lit("</feed>"))
     whole = F.concat(head, "b", foot)
