@@ -109,3 +109,12 @@ def test_redaction_holds_few_spans(tmp_path):
     out = list(redaction._find(str(tmp_path), "t")([batch]))
     assert max(b.num_rows for b in out) <= redaction.SLICE and sum(b.num_rows for b in out) == 1000
     assert sum(b.column(1).nbytes for b in out) < 1000 * (100 * 8 + 16)
+
+
+def test_reduced_moves_few_rows(spark):
+    """Each task gives on at most the largest size of a cohort's rows: the rank is bounded before the shuffle."""
+    rows = spark.range(2000).selectExpr("string(id) as s", "if(id % 2 = 0, 'A', 'B') as c")
+    out = sampling.reduced(rows, "c", "s", {"A": 3, "B": 2}, "seed")
+    assert out._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") == 2
+    assert sorted((r.c, r.draw) for r in out.collect()) == [("A", 1), ("A", 2), ("A", 3), ("B", 1), ("B", 2)]
+    assert sampling.reduced(rows, "c", "s", {}, "seed").count() == 0

@@ -75,13 +75,16 @@ def spaced(rows: DataFrame, code: str, at: str, key: str, spacing: int = SPACING
 def round_robin(rows: DataFrame, month: str, key: str, most: int) -> DataFrame:
     """At most so many rows, one of each month in turn: every month's first by key, then every month's second, ..."""
     turn = F.row_number().over(Window.partitionBy(month).orderBy(key))
-    # Ordered by turn, then month: a top-k, without a sort of all rows.
-    return rows.withColumn("turn", turn).orderBy("turn", month, key).limit(most)
+    # No month gives more than all asked for, so only so many of each are moved.  Ordered by turn, then month: a top-k, without a sort of all rows.
+    return rows.withColumn("turn", turn).where(F.col("turn") <= most).orderBy("turn", month, key).limit(most)
 
 
 def reduced(samples: DataFrame, cohort: str, sample: str, sizes: dict[str, int], seed: str) -> DataFrame:
-    """So many samples of each cohort, those of lowest key of sample and seed; nothing else enters."""
+    """So many samples of each cohort, those of lowest key of sample and seed; nothing else enters.
+
+    The largest size bounds every cohort's rank by a number, so each task gives on that many rows of a cohort, not all of them.
+    """
     rank = F.row_number().over(Window.partitionBy(cohort).orderBy(draw_key(seed, F.col(sample))))
     most = F.coalesce(*[F.when(F.col(cohort) == k, n) for k, n in sizes.items()], F.lit(0))
-    return samples.withColumn("draw", rank).where(F.col("draw") <= most)
+    return samples.withColumn("draw", rank).where((F.col("draw") <= max(sizes.values(), default=0)) & (F.col("draw") <= most))
 
