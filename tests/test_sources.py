@@ -141,3 +141,13 @@ def test_feeds_larger_than_a_file_may_be(spark, tmp_path):
     spark.range(n).selectExpr("id * 24 as doc_id", "'en' as lang", f"'{long}' as source", "id as n_chars").write.parquet(f"{tmp_path}/documents.parquet")
     got = QUERIES["feed_documents"](spark, str(tmp_path))
     assert n * len(long) * 2 > records.MOST_FEED_BYTES and got.where("file = 0").select("id").distinct().count() == got.count() == n
+
+
+def test_bulk_parses_a_record_once(spark):
+    """Fields come out of one parsed record, not each out of its text again; numbers, nulls, nested values and strays as before."""
+    text = '[{"Code":"A","Date":"2026-01-05","Open":1.50,"Close":null,"High":{"x":1}}, 7, {"code":"","date":"2026-01-05"}]'
+    files_ = spark.createDataFrame([("f", text), ("g", ' {"data": [{"code":"B","date":"2026-01-06","volume":"12"}]}')], "file string, value string")
+    rows, refused = records.bulk(files_, records.BULK_BAR, ("code", "trade_date"))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("get_json_object") <= 1
+    assert sorted((r.code, float(r.open or 0), r.close, r.high, int(r.volume or 0)) for r in rows.collect()) == [("A", 1.5, None, None, 0), ("B", 0.0, None, None, 12)]
+    assert sorted((r.record, r.missing) for r in refused.collect()) == [("7", ["code", "trade_date"]), ('{"code":"","date":"2026-01-05"}', ["code"])]

@@ -26,7 +26,8 @@ def first_of(document: str, *names: str) -> Column:
 
 def envelope(document: Column, *names: str) -> Column:
     """The records of a response, whichever envelope they come in; a bare array counts."""
-    inside = F.coalesce(*[F.get_json_object(document, f"$.{n}") for n in names], document)
+    bare = F.when(document.rlike(r"^\s*\["), document)
+    inside = F.coalesce(bare, *[F.get_json_object(document, f"$.{n}") for n in names], document)
     return F.from_json(inside, "array<string>")
 
 
@@ -56,9 +57,11 @@ def bulk(files: DataFrame, names: dict[str, tuple[str, ...]], required: tuple[st
     A number that can't be read, NA and empty text among them, is null; a record without a required field is told, not guessed.
     """
     records = files.select("file", F.explode(envelope(F.col("value"), "data")).alias("r"))
+    # A record is parsed once, for all its fields: the row is made before they are taken out of it.
+    records = records.select("file", "r", F.explode(F.array(F.coalesce(F.from_json("r", "map<string,string>"), F.create_map().cast("map<string,string>")))).alias("m"))
 
     def field(name: str) -> Column:
-        x = F.nullif(F.trim(first_of("r", *names[name])), F.lit(""))
+        x = F.nullif(F.trim(F.coalesce(*[F.try_element_at("m", F.lit(n)) for n in names[name]])), F.lit(""))
         return x.try_cast("decimal(30,10)") if name in _NUMBERS else x.try_cast("date") if name.endswith("date") else x
 
     rows = records.select("file", F.col("r").alias("record"), *[field(n).alias(n) for n in names])
