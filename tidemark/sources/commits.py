@@ -24,10 +24,16 @@ class Conflict(RuntimeError):
 
 
 def jsonl(rows: DataFrame, folder: str, part: str, order: str) -> None:
-    """rows as JSON lines, a file for each value of part, in order; keys as the columns stand, nulls included."""
+    """rows as JSON lines, a file for each value of part, in order; keys as the columns stand, nulls included.
+
+    Tasks put their files in place themselves, not the driver one after the other: nothing reads them before a commit, and a
+    task that is tried again writes the same names.  The shuffle has its number of partitions by name, since what takes time
+    is the files, not their bytes: adaptive plans would give all to one task.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     line = F.to_json(F.struct(*[c for c in rows.columns if c != part]), {"ignoreNullFields": "false"}).alias("value")
-    spread = rows.select(part, F.col(order).alias("__order"), line).repartition(F.col(part)).sortWithinPartitions(part, "__order")
-    spread.select(part, "value").write.partitionBy(part).mode("errorifexists").text(folder)
+    spread = rows.select(part, F.col(order).alias("__order"), line).repartition(n, F.col(part)).sortWithinPartitions(part, "__order")
+    spread.select(part, "value").write.partitionBy(part).mode("errorifexists").option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(folder)
 
 
 def described(spark: SparkSession, folder: str) -> DataFrame:
@@ -79,7 +85,10 @@ def commit(spark: SparkSession, log: str, artifacts: str, at: str, on: int | Non
     """Make the artifacts below {log}/{artifacts} the next commit; its number.
 
     on: the head that this commit builds on; if another writer has gone ahead, Conflict.  Without it the next free number is taken.
+    Where that is seen before the files are read, they are not described, and may be offered again as they are.
     """
+    if on is not None and head(spark, log) > on:
+        raise Conflict(f"commit {on + 1} of {log} is another writer's")
     described(spark, f"{log}/{artifacts}").coalesce(1).write.mode("errorifexists").parquet(f"{log}/manifests/{artifacts}")
     # A sum over the files, so that it needs no order and no place where all names meet.
     each = F.conv(F.substring(F.sha2(F.concat_ws("\u001f", "name", "sha256"), 256), 1, 15), 16, 10).cast("decimal(38,0)")
