@@ -207,3 +207,21 @@ def test_query(spark, duck, name):
     assert cols == sorted(want.columns)
     rows = lambda x: sorted(repr(tuple(norm(v) for v in r)) for r in x[cols].itertuples(index=False, name=None))
     assert rows(got) == rows(want)
+
+
+def test_rolling_blocks(spark):
+    """Windows put together from blocks give what frames of n rows give, holes, offsets and equal highs included, and no frame of n rows is left."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    x = [None if k in (33, 120) else float(rng.randrange(20)) for k in range(230)]
+    rows = frame(spark, x).withColumn("seq", F.row_number().over(i.by_symbol()).cast("long"))
+    want = {f"{kind}{n}_{o}": (kind, "close", n, o) for kind in ("mean", "max", "min") for n in (1, 2, 5, 7, 20, 25, 60) for o in (0, 1)} | {f"since{n}": ("since_max", "close", n) for n in (5, 20, 60)} | {f"{kind}{n}": (kind, "close", n) for kind in ("deviation", "sample_deviation") for n in (5, 20)}
+    plain = {"mean": F.avg, "max": F.max, "min": F.min, "deviation": F.stddev_pop, "sample_deviation": F.stddev_samp}
+    got = i.with_rolling(rows, **want)
+    assert "specifiedwindowframe(RowFrame, -19" not in got._jdf.queryExecution().optimizedPlan().toString().replace("RowFrame, -19, -19)", "")
+    for r, p in zip(got.orderBy("trade_date").collect(), rows.select("trade_date", *[(i.bars_since_max("close", n) if kind == "since_max" else i.guarded(plain[kind]("close").over(i.tail(n, *o)), "close", n, *o)).alias(k) for k, (kind, _, n, *o) in want.items()]).orderBy("trade_date").collect(), strict=True):
+        for k in want:
+            assert r[k] == pytest.approx(p[k], abs=1e-9), (k, r.trade_date)
