@@ -225,3 +225,30 @@ def test_rolling_blocks(spark):
     for r, p in zip(got.orderBy("trade_date").collect(), rows.select("trade_date", *[(i.bars_since_max("close", n) if kind == "since_max" else i.guarded(plain[kind]("close").over(i.tail(n, *o)), "close", n, *o)).alias(k) for k, (kind, _, n, *o) in want.items()]).orderBy("trade_date").collect(), strict=True):
         for k in want:
             assert r[k] == pytest.approx(p[k], abs=1e-9), (k, r.trade_date)
+
+
+def test_leakage_partitions_grow(spark, monkeypatch):
+    """A task of the join holds a bounded number of lines, so partitions grow with the table."""
+    from tidemark.plans import evaluation as ev
+
+    want = sorted(map(tuple, ev.leakage_violations(spark, SF).collect()))
+    monkeypatch.setattr(ev, "LINES", 500)
+    got = ev.leakage_violations(spark, SF)
+    assert got.rdd.getNumPartitions() >= 12 and sorted(map(tuple, got.collect())) == want
+
+
+def test_save_leaves_no_shuffle(spark):
+    """A saved table's own shuffle files are gone once it stands, the switch is as it was, and drop removes the table."""
+    import glob
+
+    from tidemark.sources import scratch
+
+    root = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].getPath()
+    files = lambda: set(glob.glob(f"{root}/**/shuffle_*.data", recursive=True))
+    before, switch = files(), spark.conf.get(scratch.CLEAN, "false")
+    table = scratch.save(spark.range(100000).repartition(7, "id"))
+    left = files()
+    assert left <= before and table.count() == 100000 and spark.conf.get(scratch.CLEAN, "false") == switch
+    path = table.inputFiles()[0].removeprefix("file://")
+    scratch.drop(table)
+    assert not os.path.exists(path)
