@@ -1,6 +1,11 @@
 import hashlib
 import re
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
+
+from tidemark.llm import substring_dedup as operator
 from tidemark.llm.substring_dedup import substring_dedup
 
 SCHEMA = "doc_id long, text string, n_words string, lang string"
@@ -68,3 +73,27 @@ def test_sample_table(spark):
     want = brute([(r.doc_id, r.text) for r in df.collect()])
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup(df, digest=True).collect()}
     assert got == want
+
+
+def _peak(step, batches):
+    tracemalloc.start()
+    out = list(step(iter(batches)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return out, peak
+
+
+def test_memory_of_a_task():
+    """A slab's runs and a group's suffixes take little more memory than the words that stand in them."""
+    rng = np.random.default_rng(5)
+    names = np.array([f"w{i:x}" for i in range(20_000)])
+    texts = [" ".join(names[rng.integers(0, len(names), 3_000)]) for _ in range(200)]
+    texts[7] = texts[3]
+    ids = pa.array(range(len(texts)), pa.int64())
+    batch = pa.RecordBatch.from_arrays([ids, ids, pa.array(texts)], names=[operator.KEY, operator.ROW, "text"])
+    size, none = sum(map(len, texts)), [np.empty(0, np.uint64)] * 2
+    sent, peak = _peak(operator.leaves(13, none, 1), [batch])
+    assert peak < 40 * size, peak / size
+    found, peak = _peak(operator.subtrees(13), sent)
+    assert peak < 40 * size, peak / size
+    assert [x.to_pylist() for x in found] == [[{operator.KEY: 7, operator.ROW: 7, "start": 0, "stop": 3_000}]]

@@ -10,7 +10,8 @@
 3.  Before the shuffle every slab of documents keeps, of runs of equal words, those of the smallest
     doc_id; the others are known to repeat it and are reported at once.  So a passage that a third of all
     documents share sends a run per slab, not one per document.
-4.  A group's task orders its suffixes word by word (words are compared by their bytes) and finds the
+4.  A group's task takes its prefixes in LANES lanes, one after the other, so that its arrays are those of
+    a lane; it orders a lane's suffixes word by word (words are compared by their bytes) and finds the
     suffix tree's deep internal nodes: leaves whose common prefix has min_words words or more.  The
     node's smallest document keeps its words; the other leaves' windows are reported as spans.
 5.  Spans meet their documents in a join; together they are the maximal repeated spans, which are cut.
@@ -40,6 +41,8 @@ MIN_WORDS = 13
 PREFIX_WORDS = 3
 #: Suffixes that one group should hold; the groups' tasks (more groups share tasks, one after the other).
 GROUP_WORDS, MOST_TASKS = 700_000, 100_000
+#: Parts of a group, by prefix, whose suffixes are put in order one after the other.
+LANES = 8
 #: Text bytes within which equal runs are joined before the shuffle.
 SLAB_BYTES = 4 << 20
 #: Sampled text bytes that find heavy prefixes: at least, and for each group.
@@ -125,25 +128,38 @@ def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
 
 
-def runs(words: c.Words, k: int, heavy: list[np.ndarray], groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows of one document and group: first word, word after the last, group."""
+def _parts(size: np.ndarray):
+    """Runs of about STRIDE words together: first run, run after the last."""
+    ends = np.cumsum(size)
+    a = 0
+    while a < len(size):
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] - size[a] + c.STRIDE, side="right")))
+        yield a, b
+        a = b
+
+
+def runs(words: c.Words, k: int, heavy: list[np.ndarray], groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows of one document and prefix: first word, word after the last, group, lane of the group."""
     at = words.whole(k)
     if not len(at):
-        return at, at, at
+        return at, at, at, at
     mark = smallest(prefixes(words.codes, heavy), k - len(heavy))[at]
     doc = np.searchsorted(words.first, at, side="right")
     new = np.ones(len(at), bool)
     new[1:] = (mark[1:] != mark[:-1]) | (doc[1:] != doc[:-1])
     start = np.flatnonzero(new)
     last = np.append(start[1:], len(at)) - 1
-    return at[start], at[last] + k, (c.mix(mark[start]) % np.uint64(groups)).astype(np.int64)
+    lane, group = np.divmod(c.mix(mark[start]), np.uint64(groups))
+    return at[start], at[last] + k, group.astype(np.int64), (lane % np.uint64(LANES)).astype(np.uint8)
 
 
 def _unlike(words: c.Words, start: np.ndarray, size: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Runs to send, and runs whose words a run of a smaller document in the same slab has too."""
-    word = _spread(start, size)
-    run = np.repeat(np.arange(len(start)), size)
-    code = np.add.reduceat(c.mix(words.codes[word] + (word - start[run]).astype(np.uint64) * c.STEP), np.cumsum(size) - size)
+    code = np.empty(len(start), np.uint64)
+    for a, b in _parts(size):
+        first, n = start[a:b], size[a:b]
+        word = _spread(first, n)
+        code[a:b] = np.add.reduceat(c.mix(words.codes[word] + (word - np.repeat(first, n)).astype(np.uint64) * c.STEP), np.cumsum(n) - n)
     order = np.lexsort((key, code, size))
     o, p = order[1:], order[:-1]
     head = np.ones(len(order), bool)
@@ -151,10 +167,11 @@ def _unlike(words: c.Words, start: np.ndarray, size: np.ndarray, key: np.ndarray
     first = np.empty(len(order), np.int64)
     first[order] = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
     later = np.flatnonzero(key > key[first])
-    pair = _spread(start[later], size[later])
-    same = c.same_words(words, pair, words, _spread(start[first[later]], size[later]))
-    if len(later):
-        later = later[np.logical_and.reduceat(same, np.cumsum(size[later]) - size[later])]
+    same = np.empty(len(later), bool)
+    for a, b in _parts(size[later]):
+        i, n = later[a:b], size[later[a:b]]
+        same[a:b] = np.logical_and.reduceat(c.same_words(words, _spread(start[i], n), words, _spread(start[first[i]], n)), np.cumsum(n) - n)
+    later = later[same]
     sent = np.ones(len(start), bool)
     sent[later] = False
     return np.flatnonzero(sent), later
@@ -175,7 +192,7 @@ def leaves(k: int, heavy: list[np.ndarray], groups: int):
     def run(batches):
         for part, raw in c.blocks(batches, limit=SLAB_BYTES):
             words = c.Words(raw)
-            start, stop, group = runs(words, k, heavy, groups)
+            start, stop, group, lane = runs(words, k, heavy, groups)
             if not len(start):
                 continue
             doc = np.searchsorted(words.first, start, side="right") - 1
@@ -186,16 +203,13 @@ def leaves(k: int, heavy: list[np.ndarray], groups: int):
             if len(known):
                 rows.append(_row(int(key[known[0]]) % groups, 1, [key[known], row[known], begin[known], begin[known] + (stop - start)[known]]))
             sent = sent[np.argsort(group[sent], kind="stable")]
-            low = words.starts[start[sent]]
-            size = words.ends[stop[sent] - 1] - low + 1
-            flat = np.frombuffer(words.data.translate(_ONE_LINE), np.uint8)[_spread(low, size)]
-            ends = np.cumsum(size)
-            flat[ends - 1] = 10
-            flat = flat.tobytes()
+            low, high = words.starts[start[sent]], words.ends[stop[sent] - 1]
+            line = words.data.translate(_ONE_LINE)
             cut = np.flatnonzero(np.diff(group[sent], prepend=-1))
             for a, b in zip(cut, [*cut[1:], len(sent)], strict=True):
                 i = sent[a:b]
-                rows.append(_row(group[i[0]], 0, [key[i], row[i], begin[i]], flat[ends[a] - size[a] : ends[b - 1]]))
+                text = b"\n".join([*(line[x:y] for x, y in zip(low[a:b].tolist(), high[a:b].tolist(), strict=True)), b""])
+                rows.append(_row(group[i[0]], 0, [key[i], row[i], begin[i], lane[i]], text))
                 if len(rows) >= 64:
                     yield _batch(rows)
                     rows = []
@@ -251,20 +265,28 @@ def subtrees(k: int):
     """Rows of a group follow each other: order its suffixes, find deep nodes, report leaves that are not the node's first."""
 
     def tree(got: list):
-        key, row, begin = (np.concatenate([x[i] for x in got]) for i in range(3))
-        words = c.Words(b"".join(x[3] for x in got).split(b"\n")[:-1])
+        key, row, begin, lane = (np.concatenate([x[i] for x in got]) for i in range(4))
+        texts = [y for x in got for y in x[4].split(b"\n")[:-1]]
+        got.clear()
+        order = np.argsort(lane, kind="stable")
+        found = [lane_tree(key[own], row[own], begin[own], [texts[i] for i in own.tolist()]) for own in np.split(order, np.flatnonzero(np.diff(lane[order])) + 1)]
+        found = [x for x in found if x]
+        if found:
+            yield _reports(*(np.concatenate(x) for x in zip(*found, strict=True)))
+
+    def lane_tree(key, row, begin, texts):
+        words = c.Words(texts)
         at = words.whole(k)
         leaf, node = deep_nodes(c.word_ids(words), at, k)
         if not len(leaf):
-            return
+            return None
         at = at[leaf]
         run = np.searchsorted(words.first, at, side="right") - 1
         own = key[run]
         owner = np.repeat(np.minimum.reduceat(own, node), np.diff(np.append(node, len(own))))
         later = np.flatnonzero(own > owner)
-        if len(later):
-            start = (begin[run] + at - words.first[run])[later]
-            yield _reports(own[later], row[run[later]], start, start + k)
+        start = (begin[run] + at - words.first[run])[later]
+        return spans(own[later], row[run[later]], start, start + k) if len(later) else None
 
     def run(batches):
         now, got = None, []
@@ -279,7 +301,7 @@ def subtrees(k: int):
                     if got:
                         yield from tree(got)
                     now, got = r["group"], []
-                got.append((*np.frombuffer(load, np.int64, 3 * n).reshape(3, n), load[24 * n :]))
+                got.append((*np.frombuffer(load, np.int64, 3 * n).reshape(3, n), np.frombuffer(load, np.uint8, n, 24 * n), load[25 * n :]))
         if got:
             yield from tree(got)
 
