@@ -227,6 +227,25 @@ def test_rolling_blocks(spark):
             assert r[k] == pytest.approx(p[k], abs=1e-9), (k, r.trade_date)
 
 
+def test_close_on_its_mean(spark):
+    """A close that equals the mean of its 25 is at 0 whatever the order of adding left, and a gap of a hundredth of a cent is one."""
+    import random
+
+    from tidemark.operators import features as ft
+
+    rng, rows = random.Random(5), []
+    for symbol in range(80):
+        cents = [rng.randrange(1000, 10_000_000) for _ in range(39)]
+        cents[-1] -= sum(cents[-24:]) % 24
+        mean = sum(cents[-24:]) // 24
+        prices = [*(c / 100 for c in cents), mean / 100 if symbol < 40 else (mean * 100 + 1) / 10_000]
+        rows += [(symbol, dt.date(2026, 1, 5) + dt.timedelta(days=k), x) for k, x in enumerate(prices)]
+    bars = spark.createDataFrame(rows, "symbol long, trade_date date, close double").select("*", *[F.col("close").alias(x) for x in ("open", "high", "low")], F.lit(10.0).alias("volume"), F.lit(10.0).alias("turnover"), F.lit("US").alias("market_code"), F.lit(False).alias("blocked"))
+    got = ft.features(bars).withColumn("b", ft.route_predicates()["B"]).where("seq = 40").collect()
+    assert len(got) == 80 and all(r.close_vs_sma25 == 0.0 if r.symbol < 40 else 0 < r.close_vs_sma25 < 1e-3 for r in got)
+    assert all(r.b == (r.lowest_gap < 0) for r in got)
+
+
 def test_leakage_partitions_grow(spark, monkeypatch):
     """A task of the join holds a bounded number of lines, so partitions grow with the table."""
     from tidemark.plans import evaluation as ev
