@@ -256,6 +256,18 @@ def test_leakage_partitions_grow(spark, monkeypatch):
     assert got.rdd.getNumPartitions() >= 12 and sorted(map(tuple, got.collect())) == want
 
 
+def test_feature_row_shuffles_lines_once(spark, monkeypatch):
+    """Lines are dealt by symbol once, to partitions that grow with them, and nothing made of them is shuffled again."""
+    from tidemark.plans import feature_row as fr
+
+    want = sorted(map(repr, fr.feature_row(spark, SF).collect()))
+    monkeypatch.setattr(fr, "LINES", 500)
+    got = fr.feature_row(spark, SF)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 1 and "Exchange hashpartitioning(symbol" in plan and not any("Exchange" in line and "trade_date" in line for line in plan.splitlines())
+    assert got.rdd.getNumPartitions() >= 12 and sorted(map(repr, got.collect())) == want
+
+
 def test_save_leaves_no_shuffle(spark):
     """A saved table's own shuffle files are gone once it stands, the switch is as it was, and drop removes the table."""
     import glob
